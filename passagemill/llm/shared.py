@@ -89,3 +89,29 @@ class BoundedCache(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """An equi-join in which nulls match; right must hold each key once and share no other name."""
+    from pyspark.sql import functions as F
+
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = [left[k].eqNullSafe(named[f"__{k}"]) for k in keys]
+    return left.join(named, on, how).drop(*[F.col(f"__{k}") for k in keys])
+
+
+def drop_lines(documents: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
+    """documents without the lines that removed(keys..., __lines array<int>) numbers from 0.
+
+    documents must have the key columns; n_chars, where there is one, follows the text.
+    """
+    from pyspark.sql import functions as F
+
+    lines = F.split(F.col("text"), "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines"))
+    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    out = null_safe_join(documents, removed, keys).withColumn("text", text).drop("__lines")
+    if "n_chars" in documents.columns:
+        changed = F.length("text").cast(documents.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", changed)
+    return out
