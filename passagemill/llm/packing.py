@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stage, task_id
-from .tokenize import PieceEncoder
+from .tokenize import encoder_of
 
 PIECES = "block long, doc_id long, piece int, start long, length int, rank long, ids binary"
 
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, block = PieceEncoder(path), struct.pack("<I", end_id), task_id()
+        encoder, end, block = encoder_of(path), struct.pack("<I", end_id), task_id()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
             rows = []

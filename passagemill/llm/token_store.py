@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import fresh_path, stage
-from .tokenize import PieceEncoder
+from .tokenize import encoder_of
 
 MAGIC, TRAILER = b"TIDS", "\nSDIT\n"
 HEADER = struct.Struct("<4sHH8Q")
 SAMPLE = 256
 #: Ids gathered before a segment is closed; a document is never parted.
-SEGMENT_IDS = 4_000_000
+SEGMENT_IDS = 2_000_000
 
 
 class EliasFano:
@@ -119,7 +119,7 @@ def pack_segment(doc_ids: list[int | None], lengths: list[int], ids: bytes, widt
 
 def _segments(path: str, end_id: int, width: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = PieceEncoder(path), struct.pack("<I", end_id)
+        encoder, end = encoder_of(path), struct.pack("<I", end_id)
         docs: list[int | None] = []
         lengths: list[int] = []
         ids = bytearray()

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import lru_cache
 
 #: White space and letters or digits up to ASCII punctuation, a space or the end; else white space
 #: and all up to the next white space. The four separators that only Python counts as white space
@@ -40,7 +41,7 @@ class PieceEncoder:
     that has such a place goes the general way, over PIECE. Only speed depends on the memos' size.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 250_000):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
@@ -64,3 +65,9 @@ class PieceEncoder:
             return self.general(first) + b"".join(map(self.words.__getitem__, rest))
         except TypeError:
             return self.general(text)
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> PieceEncoder:
+    """One encoder a Python worker, whose memo stays warm from task to task."""
+    return PieceEncoder(path)
