@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, lm_score, packing, quality, simhash_dedup, token_store, warc_index
+from . import chat_format, decontaminate, line_dedup, lm_score, packing, quality, simhash_dedup, token_store, warc_index
 from .shared import table
 
 
@@ -17,6 +17,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], conversations.schema)
+    return chat_format.digests(chat_format.format_chats(conversations.unionByName(more)))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = token_store.encode_corpus(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -54,6 +61,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_token_store": op2_token_store,
     "op3_warc_index": op3_warc_index,
     "op4_lm_score": op4_lm_score,
