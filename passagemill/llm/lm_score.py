@@ -44,6 +44,18 @@ END = 0
 END_HASH = np.uint64(0x2545F4914F6CDD1D)
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _wide(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
 class _Vocabulary(dict):
     def __missing__(self, word: bytes) -> int:
         value = self[word] = len(self) + 1
@@ -66,7 +78,7 @@ def _blocks(modulus: int, held: int, limit: int):
             flags = np.array(train, bool)
             counts = np.bincount(ids[np.repeat(flags, lengths)], minlength=len(hashes))
             busy = np.flatnonzero(counts * HOT_SHARE >= max(1, counts.sum()))
-            row = [[task_id()], [docs], [lengths], [flags.tobytes()], [ids.tobytes()], [hashes.tobytes()], [int(counts.sum())], [hashes[busy].view(np.int64).tolist()], [counts[busy].tolist()]]
+            row = [[task_id()], [docs], [lengths], [flags.tobytes()], [_squeezed(ids)], [hashes.tobytes()], [int(counts.sum())], [hashes[busy].view(np.int64).tolist()], [counts[busy].tolist()]]
             longs = pa.list_(pa.int64())
             kinds = [pa.int64(), longs, longs, pa.binary(), pa.binary(), pa.binary(), pa.int64(), longs, longs]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
@@ -141,7 +153,7 @@ def _deal(hashes: np.ndarray, p: Pairs, hot: np.ndarray, buckets: int) -> Deal:
 
 def _of_block(row: dict) -> tuple[np.ndarray, ...]:
     lengths = np.array(row["lengths"], np.int64)
-    return np.frombuffer(row["ids"], np.uint32), lengths, np.frombuffer(row["train"], bool), np.frombuffer(row["hashes"], np.uint64)
+    return _wide(row["ids"], np.uint32), lengths, np.frombuffer(row["train"], bool), np.frombuffer(row["hashes"], np.uint64)
 
 
 QUESTION = "bucket int, block long, words binary, word_n binary, lefts binary, followers binary, rights binary, pair_n binary"
@@ -162,7 +174,13 @@ def _questions(hot: np.ndarray, buckets: int):
                     left = hashes[p.left[q]]
                     starts = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]])) if len(q) else np.zeros(0, np.int64)
                     n = np.diff(np.append(starts, len(q))).astype(np.uint32)
-                    out.append((b, row["block"], hashes[w].tobytes(), counts[w].astype(np.uint32).tobytes(), left[starts].tobytes(), n.tobytes(), hashes[p.right[q]].tobytes(), p.counts[q].astype(np.uint32).tobytes()))
+                    # A context is named by its place among this bucket's words, a hot one by its own.
+                    own, own_left = hashes[w], left[starts]
+                    code = np.searchsorted(own, own_left).astype(np.int32)
+                    if len(hot):
+                        heat = np.minimum(np.searchsorted(hot, own_left), len(hot) - 1)
+                        code = np.where(hot[heat] == own_left, -1 - heat, code).astype(np.int32)
+                    out.append((b, row["block"], own.tobytes(), _squeezed(counts[w].astype(np.uint32)), _squeezed(code), _squeezed(n), hashes[p.right[q]].tobytes(), _squeezed(p.counts[q].astype(np.uint32))))
                 kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
                 for at in range(0, len(out), 64):
                     columns = zip(*out[at : at + 64], strict=True)
@@ -191,9 +209,11 @@ def _sums(keys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.nd
 def _answers(hot: np.ndarray):
     def run(key, held):
         u8 = lambda c: [np.frombuffer(x, np.uint64) for x in held[c].to_pylist()]
-        u4 = lambda c: [np.frombuffer(x, np.uint32).astype(np.int64) for x in held[c].to_pylist()]
+        u4 = lambda c: [_wide(x, np.uint32).astype(np.int64) for x in held[c].to_pylist()]
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        words, lefts, rights, followers = u8("words"), u8("lefts"), u8("rights"), u4("followers")
+        words, rights, followers = u8("words"), u8("rights"), u4("followers")
+        codes = [_wide(x, np.int32) for x in held["lefts"].to_pylist()]
+        lefts = [np.concatenate([w, hot[::-1]])[c] for w, c in zip(words, codes, strict=True)]
         word_group, word_total = _sums([join(words)], join(u4("word_n")))
         left = np.repeat(join(lefts), join(followers))
         pair_group, pair_total = _sums([left, join(rights)], join(u4("pair_n")))
@@ -211,7 +231,7 @@ def _answers(hot: np.ndarray):
         for k, block in enumerate(blocks):
             at = np.searchsorted(contexts, lefts[k])
             whole = (contexts[busy].view(np.int64).tolist(), n[busy].tolist(), t[busy].tolist(), int((word_total > 0).sum()), int((pair_total == 1).sum()), int((pair_total == 2).sum())) if not k else ([], [], [], 0, 0, 0)
-            rows.append((block, bucket, word_n[k].tobytes(), pair_n[k].tobytes(), n[at].astype(np.uint64).tobytes(), t[at].astype(np.uint64).tobytes(), *whole))
+            rows.append((block, bucket, _squeezed(word_n[k]), _squeezed(pair_n[k]), _squeezed(n[at].astype(np.uint64)), _squeezed(t[at].astype(np.uint64)), *whole))
         longs = pa.list_(pa.int64())
         kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, longs, longs, longs, *[pa.int64()] * 3]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in ANSWER.split(", ")])
@@ -241,7 +261,7 @@ def _scores(model: Model, buckets: int):
         p = _bigrams(ids, lengths, flags)
         deal = _deal(hashes, p, model.hot, buckets)
         told = {a["bucket"]: a for a in answers.select(["bucket", "word_n", "pair_n", "left_n", "left_t"]).to_pylist()}
-        all_of = lambda c, kind: np.frombuffer(b"".join(told[b][c] for b in deal.buckets.tolist()), kind).astype(np.int64)
+        all_of = lambda c, kind: np.concatenate([_wide(told[b][c], kind) for b in deal.buckets.tolist()]).astype(np.int64)
         word_n = np.zeros(len(hashes), np.int64)
         word_n[deal.words] = all_of("word_n", np.uint64)
         pair_n = np.zeros(len(p.left), np.int64)
