@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import release, stage
+from .shared import null_safe_join, release, stage
 
 BITS = 64
 #: Seconds for making, moving and sorting one probe, and for verifying one candidate pair.
@@ -58,14 +58,16 @@ def _fingerprints(width: int, seed: int):
                 for at in range(0, n, 65536):
                     votes += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                 out[row] = np.packbits(2 * votes > n, bitorder="little").view("<u8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_key"])
 
     return run
 
 
 def fingerprints(documents: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """documents(doc_id, text) as (doc_id, fp): the SimHash of ``width``-word shingles as a long."""
-    return documents.select("doc_id", "text").mapInArrow(_fingerprints(width, seed), "doc_id long, fp long")
+    """documents(doc_id, text) as (doc_id, fp, text_key): the SimHash of ``width``-word shingles as a
+    long, and xxhash64(text)."""
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(_fingerprints(width, seed), "doc_id long, fp long, text_key long")
 
 
 def _bit_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,12 +256,12 @@ def near_links(distinct: DataFrame, k: int, plan: list[tuple[list[int], int]] |
     return met.mapInArrow(_links(k), "a long, b long").distinct()
 
 
-def near_duplicates(documents: DataFrame, k: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
+def near_duplicates(documents: DataFrame, k: int = 4, width: int = 4, seed: int = 42, keep_key: bool = False) -> DataFrame:
     """documents(doc_id, text) as (doc_id, fp, component_id); component_id is the least doc_id reachable.
 
     A null or blank text has fingerprint zero, which links like any other. Rows that repeat a doc_id
     keep one row each. A null doc_id takes part; it never is a component_id unless all are null.
-    An empty table gives no rows. Other columns are not read.
+    An empty table gives no rows. Other columns are not read. keep_key adds text_key, xxhash64(text).
     """
     spark = documents.sparkSession
     rows = stage(fingerprints(documents, width, seed), "fingerprints")
@@ -273,4 +275,14 @@ def near_duplicates(documents: DataFrame, k: int = 4, width: int = 4, seed: int
         classes = stage(classes.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
     else:
         classes = classes.select("fp", F.col("least").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", *["text_key"] * keep_key)
+
+
+def keep_one(documents: DataFrame, k: int = 4) -> DataFrame:
+    """The row of each group with the least doc_id (of rows that share it, that of least text hash)."""
+    keyed = documents.withColumn("__key", F.xxhash64("text"))
+    groups = near_duplicates(documents, k, keep_key=True)
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    chosen = first.select("first.doc_id", F.col("first.text_key").alias("__key")).distinct()
+    chosen = stage(chosen.withColumn("__kept", F.lit(True)), "kept-documents")
+    return null_safe_join(keyed, chosen, ["doc_id", "__key"], "inner").dropDuplicates(["doc_id", "__key"]).select(*documents.columns)
