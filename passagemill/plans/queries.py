@@ -1,6 +1,6 @@
 """All registered queries of the library proper."""
 
-from . import stats_queries  # noqa: F401
+from . import retrieval_queries, stats_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
