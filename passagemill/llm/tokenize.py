@@ -33,29 +33,66 @@ class Memo(dict):
         return value
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies have for each byte: itself where it is
+    printable in Latin-1, else the next free one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class PieceEncoder:
     """ids(text): its ids as little-endian unsigned 32-bit bytes.
 
     The common way cuts at single spaces only. What a space and the text up to the next one give is
     kept in ``words``; None where another space follows, as those two must not be parted. A text
-    that has such a place goes the general way, over PIECE. Only speed depends on the memos' size.
+    that has such a place goes the general way, over PIECE.
+
+    A word of letters is one pre-token, so the library's BPE model can be asked for it directly;
+    this is taken up only if it agrees with the whole tokenizer on the words of PROBES. Only speed
+    depends on that and on the memos' sizes.
     """
 
-    def __init__(self, path: str, memo: int = 250_000):
+    PROBES = ("the", "The", "Zebra", "unbelievably", "été", "Größe", "ñandú", "ÀÉ", "слово", "x")
+
+    def __init__(self, path: str, memo: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.pieces = Memo(self.piece, memo)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.encode = self.tokenizer.encode_batch_fast
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
+        self.pieces = Memo(self.piece, memo // 8)
         self.words = Memo(self.word, memo)
+        self.direct = True
+        self.direct = all(self.of_letters(w) == self.piece(" " + w) for w in self.PROBES)
 
     def piece(self, text: str) -> bytes:
         return array("I", self.encode([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def of_letters(self, word: str) -> bytes:
+        """The ids of a space and a word of letters."""
+        if not self.direct or max(word) >= "\u0500":
+            return self.piece(" " + word)
+        token = " " + word
+        if self.normalizer is not None:
+            token = self.normalizer.normalize_str(token).strip(" ")
+            if not token.isalpha():
+                return self.piece(" " + word)
+        mapped = token.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
     def general(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
 
     def word(self, rest: str) -> bytes | None:
-        return self.general(" " + rest) if rest and not rest[-1].isspace() else None
+        if rest.isalpha():
+            return self.of_letters(rest)
+        if not rest or rest[-1].isspace():
+            return None
+        if rest[:-1].isalpha() and rest[-1] in ".,;:!?":
+            return self.words[rest[:-1]] + self.pieces[rest[-1]]
+        return self.general(" " + rest)
 
     def ids(self, text: str) -> bytes:
         first, *rest = text.split(" ")
