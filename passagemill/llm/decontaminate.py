@@ -199,23 +199,33 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
         now = held.mapInArrow(_matches(index, "text"), f"{names}, n_words long, spans array<array<long>>, items array<long>")
         if not first:
-            merge = F.udf(merge_spans, "array<array<long>>")
-            now = now.withColumn("spans", F.when(F.size("spans_") == 0, F.col("spans")).when(F.size("spans") == 0, F.col("spans_")).otherwise(merge(F.concat("spans_", "spans"))))
+            merge = F.udf(lambda a, b: merge_spans([*a, *b]), "array<array<long>>")
+            now = now.withColumn("spans", merge("spans_", "spans"))
             now = now.withColumn("items", F.array_distinct(F.concat("items_", "items"))).drop("n_words_", "spans_", "items_")
         out, first = now, False
     return out
 
 
+def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        texts = [cut_spans(t.as_py(), s) if (s := spans.as_py()) else t.as_py() for t, spans in zip(batch.column(at), batch.column("spans"), strict=True)]
+        own = batch.set_column(at, "text", pa.array(texts, pa.string()))
+        yield own.select([c for c in own.schema.names if c not in ("n_words", "spans", "items")])
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """documents without their hit spans; n_chars, where there is one, follows. No row is dropped."""
-    names = documents.columns
-    cut = F.udf(lambda text, spans: cut_spans(text, spans), "string")
+    """documents without their hit spans; n_chars, where there is one, follows. No row is dropped.
+
+    Columns that are called n_words, spans or items are given up.
+    """
     found = contamination(documents, benchmark, window)
-    text = F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
+    names = [c for c in documents.columns if c not in ("n_words", "spans", "items")]
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
+    out = found.mapInArrow(_without_spans, schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return out.select(*names)
+    return out
 
 
 def digests(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
