@@ -19,7 +19,8 @@ to its own questions. Contexts that hold over a thousandth of all words would sw
 bigrams are dealt by bigram, and their sums (a thousand rows at most) are joined on the driver.
 
 Hashes have 64 bits. Among a hundred million distinct words the chance that any two share one is
-about 3 in 10,000; such two would share a count.
+about 3 in 10,000; such two would share a count. The words after one context are told apart by 48 of
+the bits: for a context with a million of them, any two agree with a chance of 2 in 1,000.
 """
 
 from __future__ import annotations
@@ -56,6 +57,17 @@ def _wide(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _six(hashes: np.ndarray) -> bytes:
+    """Six of the eight bytes of each: enough to tell the words after one context apart."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _eight(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
 class _Vocabulary(dict):
     def __missing__(self, word: bytes) -> int:
         value = self[word] = len(self) + 1
@@ -180,7 +192,7 @@ def _questions(hot: np.ndarray, buckets: int):
                     if len(hot):
                         heat = np.minimum(np.searchsorted(hot, own_left), len(hot) - 1)
                         code = np.where(hot[heat] == own_left, -1 - heat, code).astype(np.int32)
-                    out.append((b, row["block"], own.tobytes(), _squeezed(counts[w].astype(np.uint32)), _squeezed(code), _squeezed(n), hashes[p.right[q]].tobytes(), _squeezed(p.counts[q].astype(np.uint32))))
+                    out.append((b, row["block"], own.tobytes(), _squeezed(counts[w].astype(np.uint32)), _squeezed(code), _squeezed(n), _six(hashes[p.right[q]]), _squeezed(p.counts[q].astype(np.uint32))))
                 kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
                 for at in range(0, len(out), 64):
                     columns = zip(*out[at : at + 64], strict=True)
@@ -189,7 +201,7 @@ def _questions(hot: np.ndarray, buckets: int):
     return run
 
 
-ANSWER = "block long, bucket int, word_n binary, pair_n binary, left_n binary, left_t binary, hot array<long>, hot_n array<long>, hot_t array<long>, known long, ones long, twos long"
+ANSWER = "block long, bucket int, word_n binary, pair_n binary, left_t binary, hot array<long>, hot_t array<long>, known long, ones long, twos long"
 
 
 def _sums(keys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +223,8 @@ def _answers(hot: np.ndarray):
         u8 = lambda c: [np.frombuffer(x, np.uint64) for x in held[c].to_pylist()]
         u4 = lambda c: [_wide(x, np.uint32).astype(np.int64) for x in held[c].to_pylist()]
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        words, rights, followers = u8("words"), u8("rights"), u4("followers")
+        words, followers = u8("words"), u4("followers")
+        rights = [_eight(x) for x in held["rights"].to_pylist()]
         codes = [_wide(x, np.int32) for x in held["lefts"].to_pylist()]
         lefts = [np.concatenate([w, hot[::-1]])[c] for w, c in zip(words, codes, strict=True)]
         word_group, word_total = _sums([join(words)], join(u4("word_n")))
@@ -220,7 +233,6 @@ def _answers(hot: np.ndarray):
         first = np.zeros(len(pair_total), np.int64)
         first[pair_group] = np.arange(len(pair_group))
         contexts, of = np.unique(left[first], return_inverse=True)
-        n = np.bincount(of, pair_total, minlength=len(contexts)).astype(np.int64)
         t = np.bincount(of, pair_total > 0, minlength=len(contexts)).astype(np.int64)
         busy = np.isin(contexts, hot)
         sizes = lambda parts: np.cumsum([len(x) for x in parts])[:-1]
@@ -230,10 +242,10 @@ def _answers(hot: np.ndarray):
         rows = []
         for k, block in enumerate(blocks):
             at = np.searchsorted(contexts, lefts[k])
-            whole = (contexts[busy].view(np.int64).tolist(), n[busy].tolist(), t[busy].tolist(), int((word_total > 0).sum()), int((pair_total == 1).sum()), int((pair_total == 2).sum())) if not k else ([], [], [], 0, 0, 0)
-            rows.append((block, bucket, _squeezed(word_n[k]), _squeezed(pair_n[k]), _squeezed(n[at].astype(np.uint64)), _squeezed(t[at].astype(np.uint64)), *whole))
+            whole = (contexts[busy].view(np.int64).tolist(), t[busy].tolist(), int((word_total > 0).sum()), int((pair_total == 1).sum()), int((pair_total == 2).sum())) if not k else ([], [], 0, 0, 0)
+            rows.append((block, bucket, _squeezed(word_n[k]), _squeezed(pair_n[k]), _squeezed(t[at].astype(np.uint64)), *whole))
         longs = pa.list_(pa.int64())
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, longs, longs, longs, *[pa.int64()] * 3]
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3, longs, longs, *[pa.int64()] * 3]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in ANSWER.split(", ")])
 
     return run
@@ -247,7 +259,6 @@ class Model:
     known: int
     discount: float
     hot: np.ndarray
-    hot_n: np.ndarray
     hot_t: np.ndarray
 
 
@@ -260,21 +271,22 @@ def _scores(model: Model, buckets: int):
         ids, lengths, flags, hashes = _of_block(row)
         p = _bigrams(ids, lengths, flags)
         deal = _deal(hashes, p, model.hot, buckets)
-        told = {a["bucket"]: a for a in answers.select(["bucket", "word_n", "pair_n", "left_n", "left_t"]).to_pylist()}
+        told = {a["bucket"]: a for a in answers.select(["bucket", "word_n", "pair_n", "left_t"]).to_pylist()}
         all_of = lambda c, kind: np.concatenate([_wide(told[b][c], kind) for b in deal.buckets.tolist()]).astype(np.int64)
         word_n = np.zeros(len(hashes), np.int64)
         word_n[deal.words] = all_of("word_n", np.uint64)
         pair_n = np.zeros(len(p.left), np.int64)
         pair_n[deal.pairs] = all_of("pair_n", np.uint32)
-        context_n, context_t = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        # Every word but the end is followed by one, so a context's count is its word's.
+        context_n, context_t = np.where(np.arange(len(hashes)) == END, 0, word_n), np.zeros(len(hashes), np.int64)
         asked, to = p.left[deal.pairs], deal.pair_bucket
         starts = np.flatnonzero(np.concatenate([[True], (asked[1:] != asked[:-1]) | (to[1:] != to[:-1])])) if len(asked) else np.zeros(0, np.int64)
-        context_n[asked[starts]], context_t[asked[starts]] = all_of("left_n", np.uint64), all_of("left_t", np.uint64)
+        context_t[asked[starts]] = all_of("left_t", np.uint64)
         order = np.argsort(hashes)
-        for h, n, t in zip(model.hot, model.hot_n, model.hot_t, strict=True):
+        for h, t in zip(model.hot, model.hot_t, strict=True):
             at = order[min(np.searchsorted(hashes, h, sorter=order), len(order) - 1)]
             if hashes[at] == h:
-                context_n[at], context_t[at] = n, t
+                context_t[at] = t
         unigram = (word_n + 1.0) / (model.words + model.known + 1)
         # The automaton of this block: an arc's weight for each bigram, a failure weight for each state.
         total = np.maximum(context_n, 1)
@@ -313,8 +325,8 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, block_words: in
     release(spark)
     sums = answers.agg(*(F.sum(c).alias(c) for c in ("known", "ones", "twos"))).first()
     ones, twos = sums["ones"] or 0, sums["twos"] or 0
-    zipped = answers.select(F.explode(F.arrays_zip("hot", "hot_n", "hot_t")).alias("h")).groupBy(F.col("h.hot").alias("word"))
-    of_hot = {r.word: (r.n, r.t) for r in zipped.agg(F.sum("h.hot_n").alias("n"), F.sum("h.hot_t").alias("t")).collect()}
-    both = np.array([of_hot.get(int(w), (0, 0)) for w in hot.view(np.int64)], np.int64).reshape(-1, 2).T
-    model = Model(n, sums["known"] or 0, ones / (ones + 2 * twos) if ones else 0.5, hot, both[0], both[1])
-    return blocks.groupBy("block").cogroup(answers.drop("hot", "hot_n", "hot_t", "known", "ones", "twos").groupBy("block")).applyInArrow(_scores(model, buckets), SCORE)
+    zipped = answers.select(F.explode(F.arrays_zip("hot", "hot_t")).alias("h")).groupBy(F.col("h.hot").alias("word"))
+    of_hot = {r.word: r.t for r in zipped.agg(F.sum("h.hot_t").alias("t")).collect()}
+    hot_t = np.array([of_hot.get(int(w), 0) for w in hot.view(np.int64)], np.int64)
+    model = Model(n, sums["known"] or 0, ones / (ones + 2 * twos) if ones else 0.5, hot, hot_t)
+    return blocks.groupBy("block").cogroup(answers.drop("hot", "hot_t", "known", "ones", "twos").groupBy("block")).applyInArrow(_scores(model, buckets), SCORE)
