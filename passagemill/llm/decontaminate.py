@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -160,6 +161,22 @@ def _matches(index, column: str):
     return run
 
 
+def _cut(index):
+    """The batch with its texts cut, in the pass that finds the spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = []
+            for text in batch.column(at).to_pylist():
+                spans = own.match(words_of(text))[0]
+                texts.append(cut_spans(text, spans) if spans else text)
+            yield batch.set_column(at, "text", pa.array(texts, pa.string()))
+
+    return run
+
+
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, list[bytes]]]]:
     """The items in blocks of about ``most`` words, one block at a time on the driver."""
     block, n = [], 0
@@ -214,15 +231,20 @@ def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield own.select([c for c in own.schema.names if c not in ("n_words", "spans", "items")])
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """documents without their hit spans; n_chars, where there is one, follows. No row is dropped.
 
     Columns that are called n_words, spans or items are given up.
     """
-    found = contamination(documents, benchmark, window)
     names = [c for c in documents.columns if c not in ("n_words", "spans", "items")]
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
-    out = found.mapInArrow(_without_spans, schema)
+    first, *more = islice(_blocks(benchmark, automaton_words), 2)
+    if more:
+        found = contamination(documents, benchmark, window, automaton_words)
+        out = found.mapInArrow(_without_spans, schema)
+    else:
+        index = documents.sparkSession.sparkContext.broadcast(ItemIndex(first, window))
+        out = documents.select(*names).mapInArrow(_cut(index), schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out

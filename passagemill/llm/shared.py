@@ -110,7 +110,8 @@ def drop_lines(documents: DataFrame, removed: DataFrame, keys: list[str]) -> Dat
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines"))
     text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    out = null_safe_join(documents, removed, keys).withColumn("text", text).drop("__lines")
+    # The lists are hashed and the texts not sorted; both sides are dealt out at any size.
+    out = null_safe_join(documents, removed.hint("shuffle_hash"), keys).withColumn("text", text).drop("__lines")
     if "n_chars" in documents.columns:
         changed = F.length("text").cast(documents.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", changed)

@@ -55,7 +55,7 @@ class PieceEncoder:
 
     PROBES = ("the", "The", "Zebra", "unbelievably", "été", "Größe", "ñandú", "ÀÉ", "слово", "x")
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -35,7 +35,7 @@ def _hashes() -> BoundedCache:
     if _MEMO is None:
         from xxhash import xxh64_intdigest
 
-        _MEMO = BoundedCache(xxh64_intdigest, 500_000)
+        _MEMO = BoundedCache(xxh64_intdigest, 200_000)
     return _MEMO
 
 

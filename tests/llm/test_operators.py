@@ -289,6 +289,7 @@ def test_decontamination_matches_brute_force(spark):
     digest = {r.doc_id: r.items_sha256 for r in decontaminate.digests(frame(spark, rows), benchmark).collect()}
     assert digest == {i: v[3] for i, v in want.items()}
     clean = {r.doc_id: r.text for r in decontaminate.decontaminate(frame(spark, rows), benchmark).collect()}
+    assert clean == {r.doc_id: r.text for r in decontaminate.decontaminate(frame(spark, rows), benchmark, automaton_words=20).collect()}
     assert len(clean) == len(rows) and clean[40] is None and "solitary" not in "".join(t or "" for t in clean.values())
     assert decontaminate.digests(frame(spark, EMPTY), benchmark).count() == 0
     none = decontaminate.digests(frame(spark, rows), benchmark.limit(0)).collect()
