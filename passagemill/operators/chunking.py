@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -99,15 +99,26 @@ def _sections(cut: re.Pattern, merge: bool, text: str) -> list[str]:
     return merge_small(sections) if merge else sections
 
 
-def _splitter(sections_of: Callable[[str], list[str]] | None):
-    """Rows of PIECES; a section of at most SIZE characters stays whole."""
+def _one_or_none(cut: Callable[[str], list[str]], text: str) -> list[str]:
+    sections = cut(text)
+    return sections if len(sections) > 1 else []
+
+
+ARTICLES, SHEETS, POINTS, REPORTS = ["CCTP", "DPGF", "etude_thermique"], ["fiche_technique"], ["CR"], ["rapport_amiante", "etude_sol"]
+
+
+def _splitter(ways: dict[str | None, Callable[[str], list[str]]]):
+    """Rows of PIECES for (doc_id, text, type): the way of the type cuts sections, else there are none.
+
+    A section of at most SIZE characters stays whole; a text without sections goes by paragraphs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seq = 0
-                sections = sections_of(text) if sections_of else []
+            for doc, text, kind in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                seq, way = 0, ways.get(kind)
+                sections = way(text) if way else []
                 for i, section in enumerate(sections or ([text] if text.strip() else [])):
                     parts = [section] if sections and len(section) <= SIZE else pieces_of(section)
                     for j, part in enumerate(parts):
@@ -137,24 +148,36 @@ def _described(pieces: DataFrame) -> DataFrame:
     return pieces.withColumns(more).drop("section")
 
 
+def _pieces(texts: DataFrame, way: Callable[[str], list[str]] | None = None) -> DataFrame:
+    return texts.select("doc_id", "text", F.lit("any").alias("type")).mapInArrow(_splitter({"any": way} if way else {}), PIECES)
+
+
+_SHEET_WAY = partial(_one_or_none, partial(_sections, _python(P.SHEET_CUT), False))
+_POINT_WAY = partial(_sections, _python(P.POINT_CUT), True)
+_ARTICLE_WAY = partial(_sections, _python(P.ARTICLE_CUT), False)
+WAYS = dict.fromkeys(SHEETS, _SHEET_WAY) | dict.fromkeys(POINTS, _POINT_WAY) | dict.fromkeys(ARTICLES, _ARTICLE_WAY)
+
+
 def by_paragraphs(texts: DataFrame) -> DataFrame:
     """C8."""
-    return _described(texts.select("doc_id", "text").mapInArrow(_splitter(None), PIECES))
+    return _described(_pieces(texts))
 
 
 def by_sheet_sections(texts: DataFrame) -> DataFrame:
     """At ``## `` lines; a text of one section goes by paragraphs."""
-    cut = partial(_sections, _python(P.SHEET_CUT), False)
-    return _described(texts.select("doc_id", "text").mapInArrow(_splitter(lambda t: s if len(s := cut(t)) > 1 else []), PIECES))
+    return _described(_pieces(texts, _SHEET_WAY))
 
 
-def by_points(texts: DataFrame) -> DataFrame:
-    """Numbered points; a title holds until the next."""
-    pieces = texts.select("doc_id", "text").mapInArrow(_splitter(partial(_sections, _python(P.POINT_CUT), True)), PIECES)
+def _point_title() -> Column:
+    """The title of a numbered point holds until the next."""
     first = T.strip(F.substring_index("text", "\n", 1))
     titled = F.when((F.col("position") == F.col("section")) & first.rlike(P.POINT_HEADING), first)
-    so_far = Window.partitionBy("doc_id").orderBy("chunk_seq")
-    return _described(pieces.withColumn("section_title", F.coalesce(F.last(titled, ignorenulls=True).over(so_far), F.lit(""))))
+    return F.coalesce(F.last(titled, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("chunk_seq")), F.lit(""))
+
+
+def by_points(texts: DataFrame) -> DataFrame:
+    """Numbered points."""
+    return _described(_pieces(texts, _POINT_WAY).withColumn("section_title", _point_title()))
 
 
 def _stacks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,19 +196,27 @@ def _stacks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sections, pa.int32()), pa.array(out, pa.list_(pa.string()))], ["doc_id", "section", "parent_sections"])
 
 
-def by_articles(texts: DataFrame) -> DataFrame:
-    """Before Article, LOT and numbered headings; the stack and the lot carry on."""
-    pieces = texts.select("doc_id", "text").mapInArrow(_splitter(partial(_sections, _python(P.ARTICLE_CUT), False)), PIECES)
+def _headings(pieces: DataFrame) -> DataFrame:
+    """(doc_id, section, parent_sections, chunk_lot): the stack and the lot carry on."""
     found = T.heading_level(F.substring_index("text", "\n", 1))
-    heads = pieces.where("position = section").withColumn("found", found)
+    heads = pieces.where("position = section").select("doc_id", "section", found.alias("found"))
     listed = F.array_sort(F.collect_list(F.struct("section", F.col("found.level").alias("level"), F.col("found.heading").alias("heading"))))
     stacks = heads.groupBy("doc_id").agg(listed.alias("headings")).mapInArrow(_stacks, "doc_id long, section int, parent_sections array<string>")
     lot = F.when(F.col("found.level") == 0, F.substring(F.col("found.heading"), 5, 1 << 20))
     so_far = Window.partitionBy("doc_id").orderBy("section")
     lots = heads.select("doc_id", "section", F.coalesce(F.last(lot, ignorenulls=True).over(so_far), F.lit("")).alias("chunk_lot"))
-    joined = pieces.join(stacks, ["doc_id", "section"]).join(lots, ["doc_id", "section"])
-    title = F.coalesce(F.try_element_at("parent_sections", F.lit(-1)), F.lit(""))
-    return _described(joined.withColumns({"section_title": title, "heading_prefix": F.array_join("parent_sections", " > ")}))
+    return stacks.join(lots, ["doc_id", "section"])
+
+
+def _last(stack: str) -> Column:
+    return F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit(""))
+
+
+def by_articles(texts: DataFrame) -> DataFrame:
+    """Before Article, LOT and numbered headings."""
+    pieces = _pieces(texts, _ARTICLE_WAY)
+    joined = pieces.join(_headings(pieces), ["doc_id", "section"])
+    return _described(joined.withColumns({"section_title": _last("parent_sections"), "heading_prefix": F.array_join("parent_sections", " > ")}))
 
 
 def plan_pages(pages: DataFrame) -> DataFrame:
@@ -237,23 +268,26 @@ def remove_empty_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_documents(pages: DataFrame, types: DataFrame) -> DataFrame:
-    """C17: pages and types(doc_id, type) to chunks, by the way that suits each type."""
-    routes = {
-        "sheet": (["fiche_technique"], by_sheet_sections),
-        "articles": (["CCTP", "DPGF", "etude_thermique"], by_articles),
-        "points": (["CR"], by_points),
-        "report": (["rapport_amiante", "etude_sol"], diagnostic_report),
-    }
+    """C17: pages and types(doc_id, type) to chunks, by the way that suits each type.
+
+    One pass splits all texts; what depends on the type is chosen by column expressions after it.
+    """
     typed = pages.join(types, "doc_id", "left").withColumn("type", F.coalesce("type", F.lit("autre")))
-    routed = [t for names, _ in routes.values() for t in names]
-    other = lambda t: ~t.isin("plan", *routed)
-    parts = [find_page(way(document_texts(own := typed.where(F.col("type").isin(names)))), own) for names, way in routes.values()]
-    own = typed.where(other(F.col("type")))
-    parts.append(find_page(by_paragraphs(document_texts(own)), own))
-    out = plan_pages(typed.where("type = 'plan'"))
-    for part in parts:
-        out = out.unionByName(part)
-    return remove_empty_chunks(merge_tiny_chunks(out))
+    flat = typed.where("type != 'plan'")
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    joined = F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n")
+    texts = flat.groupBy("doc_id").agg(joined.alias("text"), F.first("type").alias("type"))
+    pieces = texts.select("doc_id", "text", "type").mapInArrow(_splitter(WAYS), PIECES).join(types.select("doc_id", "type"), "doc_id", "left")
+    stacks = _headings(pieces.where(F.col("type").isin(ARTICLES)))
+    text, none = F.col("text"), F.array().cast("array<string>")
+    title = F.when(F.col("type").isin(ARTICLES), _last("parent_sections")).when(F.col("type").isin(POINTS), F.col("point_title"))
+    report = F.col("type").isin(REPORTS)
+    rows = pieces.withColumn("point_title", _point_title()).join(stacks, ["doc_id", "section"], "left")
+    rows = rows.withColumns({"parent_sections": F.coalesce("parent_sections", none), "chunk_lot": F.coalesce("chunk_lot", F.lit(""))})
+    rows = rows.withColumns({"heading_prefix": F.array_join("parent_sections", " > "), "section_title": F.coalesce(title.when(report, T.diagnostic_section(text)), F.lit(""))})
+    kind = F.when(report, T.diagnostic_content(text)).otherwise(F.col("content_type"))
+    chunks = find_page(_described(rows).withColumn("content_type", kind).drop("type", "point_title"), flat)
+    return remove_empty_chunks(merge_tiny_chunks(plan_pages(typed.where("type = 'plan'")).unionByName(chunks)))
 
 
 def document_outcome(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
