@@ -55,7 +55,7 @@ class PieceEncoder:
 
     PROBES = ("the", "The", "Zebra", "unbelievably", "été", "Größe", "ñandú", "ÀÉ", "слово", "x")
 
-    def __init__(self, path: str, memo: int = 120_000):
+    def __init__(self, path: str, memo: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,18 +64,22 @@ class PieceEncoder:
         self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
         self.pieces = Memo(self.piece, memo // 8)
         self.words = Memo(self.word, memo)
+        self.lowers = self.normalizer is not None and self.normalizer.normalize_str(" AbZ") == " abz"
         self.direct = True
         self.direct = all(self.of_letters(w) == self.piece(" " + w) for w in self.PROBES)
+        self.lowers &= self.direct
 
     def piece(self, text: str) -> bytes:
         return array("I", self.encode([text], add_special_tokens=False)[0].ids).tobytes()
 
     def of_letters(self, word: str) -> bytes:
         """The ids of a space and a word of letters."""
-        if not self.direct or max(word) >= "\u0500":
-            return self.piece(" " + word)
         token = " " + word
-        if self.normalizer is not None:
+        if self.lowers and word.isascii():
+            token = word.lower()
+        elif not self.direct or max(word) >= "\u0500":
+            return self.piece(token)
+        elif self.normalizer is not None:
             token = self.normalizer.normalize_str(token).strip(" ")
             if not token.isalpha():
                 return self.piece(" " + word)
