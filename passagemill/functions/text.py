@@ -85,18 +85,17 @@ def pad2(number: Column) -> Column:
 
 def content_type(text: Column) -> Column:
     """Table, heading, the signal with more than 0.6 of all, or mixed."""
-    counts = {
-        "quantity": F.regexp_count(text, F.lit(P.QUANTITY)),
-        "admin": F.regexp_count(text, F.lit(P.ADMIN)),
-        "specification": F.regexp_count(text, F.lit(P.SPECIFICATION)),
-        "description": F.regexp_count(text, F.lit(P.DESCRIPTION)),
-    }
-    total = reduce(lambda a, b: a + b, counts.values())
+    signals = {"quantity": P.QUANTITY, "admin": P.ADMIN, "specification": P.SPECIFICATION, "description": P.DESCRIPTION}
+    counted = F.struct(*(F.regexp_count(text, F.lit(p)).alias(name) for name, p in signals.items()))
+
+    def strongest(n: Column) -> Column:
+        total = reduce(lambda a, b: a + b, (n[name] for name in signals))
+        return reduce(lambda out, name: out.when(n[name] > 0.6 * total, name), signals, F.when(F.lit(False), "")).otherwise("mixed")
+
     heading = (F.length(text) < 100) & (text.rlike(P.LOT) | text.rlike(P.ARTICLE) | text.rlike(P.SUBARTICLE))
-    out = F.when(text.contains("<!-- TABLE -->"), "table").when(heading, "heading")
-    for name, n in counts.items():
-        out = out.when(n > 0.6 * total, name)
-    return out.otherwise("mixed")
+    # A lambda over one struct counts each signal once.
+    other = F.get(F.transform(F.array(counted), strongest), 0)
+    return F.when(text.contains("<!-- TABLE -->"), "table").when(heading, "heading").otherwise(other)
 
 
 def _mentions(text: Column, families: list[str]) -> Column:
