@@ -1,5 +1,5 @@
 """Listings, small reports and rule-based enrichment of questions (P7, P8, P10, P13, A9, A11, A17, A19,
-A20, O2, O3, O8, J12, J16, T21-T23, T26, R13, R20, U7, K7)."""
+A20, O2, O8, J12, J16, T21-T23, T26, T29, T30, R11, R13, R18-R20, U7, K7)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from .context import JOINT, add_forced
+from .retrieval import search_by_lot, search_merged
 from .stats import scored
 
 BROAD = (
@@ -216,3 +218,32 @@ def in_section(hits: DataFrame, configs: DataFrame) -> DataFrame:
     """Hits of each section's document types and not of its excluded content types; no types means all."""
     joined = hits.join(configs.select("section", "types", "excluded"), "section")
     return joined.where(((F.size("types") == 0) | F.array_contains("types", F.col("type"))) & ~F.array_contains("excluded", F.col("content_type"))).drop("types", "excluded")
+
+
+def search_passages(questions: DataFrame, points: DataFrame, limit: int = 8) -> DataFrame:
+    """The best passages of each question, with a flag for texts that speak to a model."""
+    hits = search_merged(questions, points, limit)
+    return hits.withColumn("suspect", T.looks_like_injection(F.col("text")))
+
+
+def run_search(questions: DataFrame, forced: DataFrame, points: DataFrame, limit: int = 20) -> DataFrame:
+    """Broad questions by lot, the others merged over variants; hits of forced questions come behind.
+
+    questions and forced have query_id, variant, tenant_id, text and vector; scope is read from the first
+    variant's text.
+    """
+    scope = questions.where("variant = 0").select("query_id", scope_of(F.col("text")).alias("scope"))
+    routed = questions.join(scope, "query_id")
+    broad = search_by_lot(routed.where("scope = 'broad'").drop("scope"), points).select("query_id", "point_id", "score")
+    narrow = search_merged(routed.where("scope = 'specific'").drop("scope"), points, limit).select("query_id", "point_id", "score")
+    more = search_merged(forced, points, limit).select("query_id", "point_id", "score")
+    return add_forced(broad.unionByName(narrow), more)
+
+
+def reorder_for_table(block: Column, most: int = 12000) -> Column:
+    """Price-list passages with an amount first, then other price-list passages, then the rest."""
+    parts = F.split(block, JOINT)
+    listed = lambda p: F.contains(F.upper(F.substring_index(p, "\n", 1)), F.lit("DPGF"))
+    amount = lambda p: p.rlike(P.AMOUNT)
+    groups = [F.filter(parts, lambda p: listed(p) & amount(p)), F.filter(parts, lambda p: listed(p) & ~amount(p)), F.filter(parts, lambda p: ~listed(p))]
+    return F.left(F.array_join(F.concat(*groups), JOINT), F.lit(most))

@@ -40,14 +40,14 @@ def merge_copies(spark: SparkSession, sf: str) -> DataFrame:
     return context.merge_article_copies(rows).select("query_id", "seq", F.size("copies").alias("copies"))
 
 
-@query(f"""WITH {C.CHUNKS_SQL}, few AS (SELECT document_id % 20 AS query_id, * FROM chunks WHERE position < 2),
+@query(f"""WITH {C.CHUNKS_SQL}, few AS (SELECT document_id // 3 AS query_id, * FROM chunks),
  parts AS (SELECT query_id, row_number() OVER w AS n, CASE WHEN lots > 1 AND (lag(lot) OVER w IS NULL OR lag(lot) OVER w <> lot) THEN chr(10) || '=== ' || lot || ' ===' || chr(10) || chr(10) || '---' || chr(10) ELSE '' END
  || '[' || filename || ', p.' || page || ']' || chr(10) || text AS part FROM (SELECT f.*, l.lots FROM few f JOIN (SELECT query_id, count(DISTINCT lot) AS lots FROM few GROUP BY 1) l USING (query_id)) g
  WINDOW w AS (PARTITION BY query_id ORDER BY lot, filename, position))
  SELECT query_id, sha256(string_agg(part, chr(10) || '---' || chr(10) ORDER BY n)) AS block FROM parts GROUP BY query_id""")
 def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
     header = F.concat(F.lit("["), "filename", F.lit(", p."), F.col("page").cast("string"), F.lit("]"))
-    rows = C.chunks(spark, sf).where("position < 2").withColumns({"query_id": F.col("document_id") % 20, "seq": F.col("document_id"), "header": header})
+    rows = C.chunks(spark, sf).withColumns({"query_id": F.floor(F.col("document_id") / 3), "seq": F.col("document_id"), "header": header})
     return context.context_block(rows).select("query_id", F.sha2("block", 256).alias("block"))
 
 

@@ -100,14 +100,14 @@ def adjacent_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return S.adjacent(C.chunks(spark, sf))
 
 
-@query(f"""WITH {C.CHUNKS_SQL}, hits AS (SELECT document_id % 10 AS query_id, * FROM chunks WHERE content_type IN ('heading', 'mixed') AND document_id % 3 = 0),
+@query(f"""WITH {C.CHUNKS_SQL}, hits AS (SELECT document_id % 10 AS query_id, * FROM chunks WHERE content_type IN ('heading', 'mixed')),
  found AS (SELECT h.query_id, c.document_id, c.position, substring(c.text, 1, 200) AS key FROM hits h JOIN chunks c ON h.document_id = c.document_id AND c.position BETWEEN h.position + 1 AND h.position + 3
  WHERE h.content_type = 'heading' AND length(c.text) >= 50)
  SELECT query_id, document_id, position, 0.45::DOUBLE AS score FROM found f WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = f.query_id AND substring(h.text, 1, 200) = f.key)
  QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY document_id, position) = 1""")
 def heading_expansion(spark: SparkSession, sf: str) -> DataFrame:
     chunks = C.chunks(spark, sf)
-    hits = chunks.where("content_type in ('heading', 'mixed') and document_id % 3 = 0").withColumn("query_id", F.col("document_id") % 10)
+    hits = chunks.where("content_type in ('heading', 'mixed')").withColumn("query_id", F.col("document_id") % 10)
     return S.heading_expansion(hits, chunks)
 
 
