@@ -107,9 +107,13 @@ def drop_lines(documents: DataFrame, removed: DataFrame, keys: list[str]) -> Dat
     """
     from pyspark.sql import functions as F
 
-    lines = F.split(F.col("text"), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines"))
-    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    def left(lines):
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lines"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    # As a variable of a lambda, the lines are split once and not for each of them.
+    text = F.get(F.transform(F.array(F.split(F.col("text"), "\n", -1)), left), 0)
+    text = F.when(F.col("__lines").isNull(), F.col("text")).otherwise(text)
     # The lists are hashed and the texts not sorted; both sides are dealt out at any size.
     out = null_safe_join(documents, removed.hint("shuffle_hash"), keys).withColumn("text", text).drop("__lines")
     if "n_chars" in documents.columns:
