@@ -261,7 +261,8 @@ def near_duplicates(documents: DataFrame, k: int = 4, width: int = 4, seed: int
 
     A null or blank text has fingerprint zero, which links like any other. Rows that repeat a doc_id
     keep one row each. A null doc_id takes part; it never is a component_id unless all are null.
-    An empty table gives no rows. Other columns are not read. keep_key adds text_key, xxhash64(text).
+    An empty table gives no rows. Other columns are not read. keep_key adds text_key, xxhash64(text),
+    and root, a fingerprint that names the component also where component_id is null or repeats.
     """
     spark = documents.sparkSession
     rows = stage(fingerprints(documents, width, seed), "fingerprints")
@@ -272,17 +273,21 @@ def near_duplicates(documents: DataFrame, k: int = 4, width: int = 4, seed: int
         roots = components(links).select(F.col("a").alias("fp"), F.col("b").alias("root"))
         classes = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
         least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-        classes = stage(classes.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
+        classes = stage(classes.select("fp", "root").join(least, "root").select("fp", "component_id", "root"), "components")
     else:
-        classes = classes.select("fp", F.col("least").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", *["text_key"] * keep_key)
+        classes = classes.select("fp", F.col("least").alias("component_id"), F.col("fp").alias("root"))
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", *["text_key", "root"] * keep_key)
 
 
-def keep_one(documents: DataFrame, k: int = 4) -> DataFrame:
-    """The row of each group with the least doc_id (of rows that share it, that of least text hash)."""
+def first_rows(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each root of groups(doc_id, text_key, root), the row of documents with the least doc_id, then text_key."""
     keyed = documents.withColumn("__key", F.xxhash64("text"))
-    groups = near_duplicates(documents, k, keep_key=True)
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    first = groups.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     chosen = first.select("first.doc_id", F.col("first.text_key").alias("__key")).distinct()
     chosen = stage(chosen.withColumn("__kept", F.lit(True)), "kept-documents")
     return null_safe_join(keyed, chosen, ["doc_id", "__key"], "inner").dropDuplicates(["doc_id", "__key"]).select(*documents.columns)
+
+
+def keep_one(documents: DataFrame, k: int = 4) -> DataFrame:
+    """The row of each group with the least doc_id (of rows that share it, that of least text hash)."""
+    return first_rows(documents, near_duplicates(documents, k, keep_key=True))

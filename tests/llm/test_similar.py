@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("xxhash")
-from passagemill.llm import line_dedup  # noqa: E402
+from passagemill.llm import line_dedup, simhash_dedup  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -43,3 +43,11 @@ def test_a_large_group_of_different_near_lines_is_one(spark):
         rows.append((i, " ".join(own)))
     gone = sum(r.n_removed for r in line_dedup.digests(frame(spark, rows)).collect())
     assert gone == 399
+
+
+@pytest.mark.parametrize("keep_one", [simhash_dedup.keep_one])
+def test_unlike_texts_without_an_id_or_under_one_id_all_stay(spark, keep_one):
+    rng = random.Random(34)
+    text = lambda: " ".join(f"u{rng.getrandbits(24)}" for _ in range(40))
+    rows = [(None, text()), (None, text()), (7, text()), (7, text())]
+    assert sorted(r.text for r in keep_one(frame(spark, rows)).collect()) == sorted(t for _, t in rows)
