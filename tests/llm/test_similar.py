@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("xxhash")
-from passagemill.llm import line_dedup, simhash_dedup  # noqa: E402
+from passagemill.llm import line_dedup, similar_documents, simhash_dedup  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,7 +45,26 @@ def test_a_large_group_of_different_near_lines_is_one(spark):
     assert gone == 399
 
 
-@pytest.mark.parametrize("keep_one", [simhash_dedup.keep_one])
+def test_documents_of_similarity_are_linked_and_no_others(spark):
+    import corpus_pipeline
+
+    rng = random.Random(33)
+    words = [f"v{k}" for k in range(5000)]
+    rows = []
+    for i in range(80):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 500))]
+        other = list(base)
+        for k in rng.sample(range(len(base)), max(1, round(len(base) * rng.choice((0.005, 0.01, 0.02, 0.03))))):
+            other[k] = rng.choice(words)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    near = {b for (a, x), (b, y) in zip(rows[::2], rows[1::2], strict=True) if similar_documents.jaccard(x, y, 5) >= 0.8}
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()}
+    gone = {i for i, _ in rows} - kept
+    print("recall", len(gone & near), "of", len(near), "other", len(gone - near))
+    assert 20 < len(near) < 80 and gone <= near and len(gone) >= 0.97 * len(near)
+
+
+@pytest.mark.parametrize("keep_one", [simhash_dedup.keep_one, similar_documents.keep_one])
 def test_unlike_texts_without_an_id_or_under_one_id_all_stay(spark, keep_one):
     rng = random.Random(34)
     text = lambda: " ".join(f"u{rng.getrandbits(24)}" for _ in range(40))
