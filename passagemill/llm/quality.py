@@ -20,8 +20,8 @@ from .shared import drop_lines, null_safe_join, pair, stage
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
-#: A line is above the limit in more than both of these: documents, and percent of the host's.
-LINE_DOCS, LINE_PERCENT = 10, 10
+#: A line is above the limit in more distinct texts of its host than this, however large the host is.
+LINE_DOCS = 10
 #: Percent of a document's words that must be left.
 LEFT_PERCENT = 20
 
@@ -77,7 +77,7 @@ def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(v, pa.int64()) for v in numbers), column], [*batch.schema.names[:3], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
 
 
-def assess(documents: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_percent: int = LINE_PERCENT, left_percent: int = LEFT_PERCENT) -> DataFrame:
+def assess(documents: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left_percent: int = LEFT_PERCENT) -> DataFrame:
     """One row for each row of documents(doc_id, text, host): measures, verdict, ``removed`` line numbers.
 
     A null text has no words and fails. A null host is a host of its own; null and repeated doc_ids
@@ -89,9 +89,7 @@ def assess(documents: DataFrame, host: str = "source", line_docs: int = LINE_DOC
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "line-measures")
     lines = rows.select("row", "host", "text_key", F.explode("lines").alias("line")).select("row", "host", "text_key", "line.*")
     texts = lines.groupBy("host", "hash").agg(F.count_distinct("text_key").alias("docs")).where(F.col("docs") > line_docs)
-    hosts = rows.groupBy("host").agg(F.count_distinct("text_key").alias("all"))
-    common = null_safe_join(texts, hosts, ["host"], "inner").where(F.col("docs") * 100 > F.col("all") * line_percent)
-    above = stage(common.select("host", "hash", F.lit(True).alias("above")), "common-lines")
+    above = stage(texts.select("host", "hash", F.lit(True).alias("above")), "common-lines")
     cut = null_safe_join(lines.drop("text_key"), above, ["host", "hash"], "inner")
     cut = cut.groupBy("row").agg(F.sum("words").alias("removed_words"), F.sort_array(F.collect_list("no")).alias("removed"))
     out = rows.drop("lines").join(cut, "row", "left").drop("row")

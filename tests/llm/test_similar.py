@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("xxhash")
-from passagemill.llm import line_dedup, similar_documents, simhash_dedup  # noqa: E402
+from passagemill.llm import line_dedup, quality, similar_documents, simhash_dedup  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -70,3 +70,14 @@ def test_unlike_texts_without_an_id_or_under_one_id_all_stay(spark, keep_one):
     text = lambda: " ".join(f"u{rng.getrandbits(24)}" for _ in range(40))
     rows = [(None, text()), (None, text()), (7, text()), (7, text())]
     assert sorted(r.text for r in keep_one(frame(spark, rows)).collect()) == sorted(t for _, t in rows)
+
+
+def test_a_common_line_of_a_large_host_is_found(spark):
+    rng = random.Random(35)
+    own = lambda: " ".join(f"t{rng.getrandbits(24)}" for _ in range(15))
+    banner = "subscribe to our letter to read on"
+    rows = [(i, f"{own()}\n{banner}\n{own()}" if i < 30 else own()) for i in range(600)]
+    rows[30] = (30, "\n".join([banner, banner, "go on now please"]))
+    got = {r.doc_id: r for r in quality.assess(frame(spark, rows)).collect()}
+    assert all(got[i].removed == [1] for i in range(30)) and all(not got[i].removed for i in range(31, 600))
+    assert got[30].depleted or got[30].removed == [0, 1]
