@@ -25,20 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage, task_id
-from .tokenize import encoder_of
+from .shared import stage, task_id, trim
+from .tokenize import encoded
 
 PIECES = "block long, doc_id long, piece int, start long, length int, rank long, ids binary"
 
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, block = encoder_of(path), struct.pack("<I", end_id), task_id()
+        end, block = struct.pack("<I", end_id), task_id()
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.ids(text.as_py() or "") + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded(path, batch.column(1), end), strict=True):
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     length = len(own) // 4
@@ -49,6 +48,7 @@ def _cut(path: str, end_id: int, capacity: int):
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 names = ["block", "doc_id", "piece", "start", "length", "rank", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        trim()
 
     return run
 
