@@ -3,8 +3,8 @@
 A template is any function from turns to a text. Successive prefixes of a conversation are rendered
 and each output is compared with the one before: if the new output starts with the old one, what was
 added is the new turn's span; if not, the template has rewritten history, and the turn is marked so.
-Nothing is asked of the template but its output. The loss mask is the place of the assistant's
-escaped text inside its turn's span.
+Nothing is asked of the template but its output. The loss mask is found in the same way: the turn is
+rendered with each of two probes for its text, and the two outputs differ just where the text stands.
 """
 
 from __future__ import annotations
@@ -83,18 +83,42 @@ def render(turns: list[Turn], template: Callable[[list[Turn]], str]) -> Rendered
     return out
 
 
-def loss_spans(out: Rendered, turns: list[Turn], role: str, escaped: Callable[[str], str]) -> list[tuple[int, int]]:
-    """Where the texts of ``role`` stand, each sought from the end of its own turn's span."""
-    spans = []
-    for (a, b), (who, text) in zip(out.spans, turns, strict=True):
-        if who == role:
-            at = out.text.rfind(own := escaped(text), a, b)
-            if at >= 0:
-                spans.append((at, at + len(own)))
-    return spans
+#: Two one-letter texts that no template escapes.
+PROBES = ("0", "1")
 
 
-FORMATTED = "conv_id long, n_turns long, formatted string, turn_starts array<int>, turn_ends array<int>, loss_starts array<int>, loss_ends array<int>, rewrites array<int>"
+def text_place(turns: list[Turn], k: int, template: Callable[[list[Turn]], str]) -> tuple[str, str]:
+    """What the template puts before and behind the text of turn k, the last one rendered."""
+    one, other = (template([*turns[:k], (turns[k][0], probe)]) for probe in PROBES)
+    start = common_prefix(one, other)
+    return one[:start], one[start + 1 :]
+
+
+def loss_spans(out: Rendered, turns: list[Turn], role: str, template: Callable[[list[Turn]], str], escaped: Callable[[str], str] | None) -> tuple[list[tuple[int, int]], list[int]]:
+    """Where the texts of ``role`` stand, and the turns of that role whose text has no place in the output.
+
+    The frame of a text (how much of its turn's span stands before and behind it) is found by probes. It
+    is taken for the next turn of the role too if the text's escaped form then stands just there;
+    otherwise, or where ``escaped`` is not known, the turn is probed itself.
+    """
+    spans, lost, frame = [], [], None
+    for k, ((a, b), (who, text)) in enumerate(zip(out.spans, turns, strict=True)):
+        if who != role:
+            continue
+        if frame and escaped and out.text[a + frame[0] : b - frame[1]] == escaped(text) and b - a >= sum(frame):
+            spans.append((a + frame[0], b - frame[1]))
+            continue
+        before, behind = text_place(turns, k, template)
+        start, end = len(before), b - len(behind)
+        if a <= start <= end <= b and out.text.startswith(before) and out.text[end:b] == behind:
+            spans.append((start, end))
+            frame = start - a, b - end
+        else:
+            lost.append(k)
+    return spans, lost
+
+
+FORMATTED = "conv_id long, n_turns long, formatted string, turn_starts array<int>, turn_ends array<int>, loss_starts array<int>, loss_ends array<int>, rewrites array<int>, unmasked array<int>"
 
 
 def _formatted(template, role: str, escaped):
@@ -112,12 +136,12 @@ def _formatted(template, role: str, escaped):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ints, names = pa.list_(pa.int32()), [c.split()[0] for c in FORMATTED.split(", ")]
-        kinds = [pa.int64(), pa.int64(), pa.string(), ints, ints, ints, ints, ints]
+        kinds = [pa.int64(), pa.int64(), pa.string(), ints, ints, ints, ints, ints, ints]
         rows, size = [], 0
         for conv, turns in conversations(batches):
             out = render(turns, template)
-            masks = loss_spans(out, turns, role, escaped)
-            rows.append((conv, len(turns), out.text, [a for a, _ in out.spans], [b for _, b in out.spans], [a for a, _ in masks], [b for _, b in masks], out.rewrites))
+            masks, lost = loss_spans(out, turns, role, template, escaped)
+            rows.append((conv, len(turns), out.text, [a for a, _ in out.spans], [b for _, b in out.spans], [a for a, _ in masks], [b for _, b in masks], out.rewrites, lost))
             size += len(out.text)
             if size > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -128,13 +152,17 @@ def _formatted(template, role: str, escaped):
     return run
 
 
-def format_chats(conversations: DataFrame, template: Callable[[list[Turn]], str] = turn_template, role: str = "assistant", escaped: Callable[[str], str] = escape) -> DataFrame:
+def format_chats(conversations: DataFrame, template: Callable[[list[Turn]], str] = turn_template, role: str = "assistant", escaped: Callable[[str], str] | None = escape) -> DataFrame:
     """conversations(conv_id, turn, role, text) as a row a conversation: text, turn spans, loss spans, rewrites.
 
+    ``rewrites`` and ``unmasked`` number the turns that changed earlier output, and those of ``role``
+    whose text no longer stands in the output. ``escaped`` is the template's way with a text, where known.
+
     Turns are ordered by turn, then role and text, nulls first. A null role or text counts as empty;
     rows of a null conv_id are one conversation; repeated rows are turns of their own; an empty table
     gives no rows. Other columns are not read. Offsets count code points. One task holds one
-    conversation at a time, however many it has; a conversation is never parted.
+    conversation at a time, however many it has; a conversation is never parted, and rendering all
+    its prefixes takes time in proportion to the square of its length.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
