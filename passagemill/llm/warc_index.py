@@ -7,7 +7,8 @@ that ends every record, so that commits are safe on any file system.
 The capture index is built by an external merge. Each archive gives a run of entries sorted by URL
 key and timestamp. Runs are cut at common key ranges, and each range is merged from its k runs by a
 loser tree, which names the next entry after one comparison a level. The ranges are in order, so the
-merged parts are one globally ordered capture history.
+merged parts are one globally ordered capture history. There are so many ranges that each has about
+RANGE_ROWS entries at any size of the archives; a task holds its range's runs as Arrow columns.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,11 @@ from .shared import fresh_path, stage
 END = "\r\n\r\n"
 VERSION = b"WARC/1.1\r\n"
 MIN_PAYLOAD = 0
+#: Bytes in an archive, about; it is read back as one value, which must stay below 2 GB.
+ARCHIVE_BYTES = 256 << 20
+#: Entries in a range of the merge, about.
+RANGE_ROWS = 250_000
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
 def url_key(url: str | None) -> str:
@@ -41,8 +48,8 @@ def url_key(url: str | None) -> str:
 
 
 def _header_value(text: str) -> str:
-    """A header line can't hold line ends; they and % are percent-coded, as in URLs."""
-    return text.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    """A header line can't hold line ends; they are percent-coded, as in URLs."""
+    return text.replace("\r", "%0D").replace("\n", "%0A")
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +70,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if revisit:
                 head += [f"WARC-Refers-To: <urn:page:{keeper}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
                 data = b""
-            head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(data)}"]
+            else:
+                data = HTTP.format(len(data)).encode() + data
+            head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(data)}"]
             out.append("\r\n".join(head).encode() + END.encode() + data)
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
@@ -73,7 +82,8 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD,
 
     Of equal payloads of at least ``min_payload`` bytes, that with the largest page_id is the response.
     A null html is an empty payload and a null url an empty one; a null page_id gets an empty name and
-    never is what others refer to. Repeated rows get a record each. ``fetched_at``, where pages has
+    never is what others refer to. Repeated rows get a record each; those that repeat page_id and
+    payload are alike, so all of them are responses if their page is the one referred to. ``fetched_at``, where pages has
     it as an ISO string, dates a record; else ``stamp`` does. An empty table gives no records. Other
     columns are not read.
     """
@@ -82,8 +92,10 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD,
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), date.alias("date"), F.sha1(html).alias("sha1"))
     shared = rows.where(F.octet_length("html") >= min_payload).groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
     keepers = stage(shared.where("n > 1").select("sha1", "keeper"), "keepers")
+    sizes = rows.agg(F.sum(F.octet_length("html") + 500).alias("bytes"), F.count("*").alias("n")).first()
+    per_file = max(1, ARCHIVE_BYTES * sizes["n"] // (sizes["bytes"] or 1))
     records = rows.join(keepers, "sha1", "left").select("page_id", "url", "html", "date", "sha1", "keeper").mapInArrow(_records, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).text(path)
+    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
     return path
 
 
@@ -124,9 +136,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at, length, head, payload in records_of(memoryview(content.as_py())):
                 size, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
                 if head["WARC-Type"] == "response":
+                    payload = payload[bytes(payload).index(END.encode()) + len(END) :]
                     size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                url = head["WARC-Target-URI"].replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-                run.append((url_key(url), head["WARC-Date"], _named(head["WARC-Record-ID"]), path, at, length, head["WARC-Type"], size, digest, _named(head.get("WARC-Refers-To"))))
+                run.append((url_key(head["WARC-Target-URI"]), head["WARC-Date"], _named(head["WARC-Record-ID"]), path, at, length, head["WARC-Type"], size, digest, _named(head.get("WARC-Refers-To"))))
             run.sort(key=_order)
             columns = zip(*run, strict=True) if run else [[]] * len(NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)], NAMES)
@@ -135,7 +147,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LoserTree:
     """Merges sorted sequences: each inner node keeps the loser of its match, the root the winner."""
 
-    def __init__(self, runs: list[list], key):
+    def __init__(self, runs: list[Iterable], key):
         self.k, self.key = max(1, len(runs)), key
         self.runs = [iter(r) for r in runs] or [iter(())]
         self.heads = [self._next(i) for i in range(self.k)]
@@ -170,16 +182,35 @@ class LoserTree:
             self.winner = i
 
 
+def _entries(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """A run's entries, a few at a time as Python values."""
+    for at in range(0, batch.num_rows, 1000):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True)
+
+
+def _run_of(pieces: list[pa.RecordBatch]) -> Iterator[tuple]:
+    for piece in pieces:
+        yield from _entries(piece)
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One key range: its rows stand run by run, each run sorted."""
-    runs: list[list[tuple]] = []
+    runs: list[list[pa.RecordBatch]] = []
+    last = None
     for batch in batches:
-        for entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if not runs or runs[-1][-1][3] != entry[3]:
+        names = batch.column(NAMES.index("run"))
+        coded = names.dictionary_encode()
+        numbers = coded.indices.to_numpy()
+        edges = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if names[a].as_py() != last:
                 runs.append([])
-            runs[-1].append(entry)
+                last = names[a].as_py()
+            runs[-1].append(batch.slice(a, b - a))
     out = []
-    for entry in LoserTree(runs, _order):
+    for entry in LoserTree([_run_of(run) for run in runs], _order):
         out.append(entry)
         if len(out) == 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), KINDS, strict=True)], NAMES)
@@ -196,7 +227,9 @@ def capture_index(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").load(path).where(F.col("path").contains("/part-")).select("path", "content")
     runs = stage(files.mapInArrow(_runs, ENTRY), "capture-runs")
-    ranges = runs.repartitionByRange("url_key", "date", "page_id").sortWithinPartitions("run", "url_key", "date", "page_id", "at")
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(usual, -(-runs.count() // RANGE_ROWS))
+    ranges = runs.repartitionByRange(n, "url_key", "date", "page_id").sortWithinPartitions("run", "url_key", "date", "page_id", "at")
     return ranges.mapInArrow(_merge, ENTRY)
 
 
