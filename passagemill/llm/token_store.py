@@ -31,14 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, stage
-from .tokenize import encoder_of
+from .shared import fresh_path, stage, trim
+from .tokenize import encoded
 
 MAGIC, TRAILER = b"TIDS", "\nSDIT\n"
 HEADER = struct.Struct("<4sHH8Q")
 SAMPLE = 256
 #: Ids gathered before a segment is closed; a document is never parted.
-SEGMENT_IDS = 2_000_000
+SEGMENT_IDS = 500_000
+#: Segments in a file; a file is read as one value, which must stay below 2 GB.
+FILE_SEGMENTS = 32
 
 
 class EliasFano:
@@ -106,12 +108,19 @@ class Segment:
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
+    def offsets(self) -> np.ndarray:
+        """Where each document begins, by select(), with the number of all ids behind the last."""
+        return np.array([0, *map(self.ends.select, range(self.n))], np.int64)
+
 
 def pack_segment(doc_ids: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
     ends = np.cumsum(np.array(lengths, np.int64))
     t = int(ends[-1])
     ef = EliasFano.encode(ends, t)
-    narrow = np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes()
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) >> 8 * width:
+        raise ValueError(f"an id above {(1 << 8 * width) - 1} doesn't fit in {width} bytes")
+    narrow = wide.astype(f"<u{width}").tobytes()
     keys = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + bytes(d is None for d in doc_ids)
     parts = [keys, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes(), narrow]
     return HEADER.pack(MAGIC, 1, width, len(doc_ids), t, ef.l, *map(len, parts)) + b"".join(parts)
@@ -119,7 +128,7 @@ def pack_segment(doc_ids: list[int | None], lengths: list[int], ids: bytes, widt
 
 def _segments(path: str, end_id: int, width: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(path), struct.pack("<I", end_id)
+        end = struct.pack("<I", end_id)
         docs: list[int | None] = []
         lengths: list[int] = []
         ids = bytearray()
@@ -130,8 +139,7 @@ def _segments(path: str, end_id: int, width: int, limit: int):
             return pa.RecordBatch.from_arrays([out], ["segment"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = encoder.ids(text.as_py() or "") + end
+            for doc, own in zip(batch.column(0).to_pylist(), encoded(path, batch.column(1), end), strict=True):
                 docs.append(doc)
                 lengths.append(len(own) // 4)
                 ids += own
@@ -139,6 +147,7 @@ def _segments(path: str, end_id: int, width: int, limit: int):
                     yield close()
         if docs:
             yield close()
+        trim()
 
     return run
 
@@ -148,11 +157,12 @@ def write_store(documents: DataFrame, path: str, tokenizer: str, end_id: int = 0
 
     A null text counts as empty; a null doc_id comes first; equal doc_ids stay neighbours in no set
     order; an empty table gives a store without segments. Other columns are not read. ``width`` is
-    2 for vocabularies of at most 65,536 ids, else 4.
+    2 for vocabularies of at most 65,536 ids, else 4; an id that doesn't fit is an error. A file has at
+    most FILE_SEGMENTS segments, so that it can be read whole.
     """
     ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     rows = ordered.mapInArrow(_segments(tokenizer, end_id, width, segment_ids), "segment binary")
-    rows.select(F.col("segment").cast("string").alias("value")).write.option("lineSep", TRAILER).text(path)
+    rows.select(F.col("segment").cast("string").alias("value")).write.option("lineSep", TRAILER).option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
     return path
 
 
@@ -163,8 +173,8 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = 0
             while at < len(data):
                 segment = Segment(data[at:])
-                ends = segment.ends.all()
-                starts = np.concatenate([[0], ends[:-1]])
+                offsets = segment.offsets()
+                starts, ends = offsets[:-1], offsets[1:]
                 wide = memoryview(segment.ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 docs = pa.array(segment.doc_ids, mask=segment.nulls.astype(bool))
@@ -177,14 +187,18 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a store, read back from its files: file, doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` adds up the segments before; one row a segment is ordered for that, not the documents.
+    ``start`` adds up the files before, then the segments before in the file; one row a file is
+    ordered in one task, not the segments or documents.
     """
     files = spark.read.format("binaryFile").load(path).where(F.col("path").contains("/part-")).select("path", "content")
     rows = files.mapInArrow(_documents, "file string, at long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
     rows = stage(rows, "token-documents")
     sizes = rows.groupBy("file", "at").agg(F.sum("n_tokens").alias("ids"), F.min("doc_id").alias("first"))
-    before = F.sum("ids").over(Window.orderBy(F.asc_nulls_first("first"), "file", "at")) - F.col("ids")
-    bases = sizes.select("file", "at", before.alias("base"))
+    files = sizes.groupBy("file").agg(F.sum("ids").alias("ids"), F.min("first").alias("first"), F.count_if(F.col("first").isNull()).alias("nulls"))
+    before = F.sum("ids").over(Window.orderBy(F.desc(F.col("nulls") > 0), F.asc_nulls_first("first"), "file")) - F.col("ids")
+    within = F.sum("ids").over(Window.partitionBy("file").orderBy("at")) - F.col("ids")
+    bases = sizes.withColumn("within", within).join(files.select("file", before.alias("before")), "file")
+    bases = bases.select("file", "at", (F.col("before") + F.col("within")).alias("base"))
     joined = rows.join(bases, ["file", "at"])
     return joined.select("file", "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 

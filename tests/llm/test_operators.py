@@ -8,12 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from passagemill.llm import chat_format, decontaminate, line_dedup, lm_score, packing, quality, simhash_dedup, token_store, toxicity, warc_index  # noqa: E402
+from passagemill.llm import chat_format, decontaminate, line_dedup, lm_score, packing, quality, simhash_dedup, token_store, tokenize, toxicity, warc_index  # noqa: E402
 from passagemill.llm.components import components  # noqa: E402
 from passagemill.llm.shared import fresh_path  # noqa: E402
 from passagemill.llm.tokenize import PieceEncoder  # noqa: E402
@@ -51,6 +52,35 @@ def test_pieces_give_the_ids_of_whole_texts():
             assert np.frombuffer(own.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_pieces_with_marks_and_letters_of_odd_normal_form():
+    rng = random.Random(3)
+    alphabet = ["a", "B", "\u0130", "\u01c5", "\u0308", "\u0301", "-", ".", "_", " ", "\n", "\n\n", "1", "\u00bd", "\u03a3", "\u0958", "\u05d0", "\u05b0", "\ud55c", "'s", "<|endoftext|>", "word", " the", "\u2126", "\u212a", "\ufb01", "\u00a0", "\u3000", "\u2009", "\x00", "\U0001f600"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14))) for _ in range(6000)]
+    texts += [f"{c}{p}" for c in "\u0130\u01c5\u0958" for p in "-._, \n"]
+    for path in (BYTE, WORD):
+        own, whole = PieceEncoder(path, memo=60), Tokenizer.from_file(path)
+        for at in range(0, len(texts), 100):
+            some = texts[at : at + 100]
+            for t, ids in zip(some, own.slice_ids([t.encode() for t in some]), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_long_texts_are_parted_without_a_trace(monkeypatch):
+    monkeypatch.setattr(tokenize, "SLICE", 50)
+    text = "It's a long text of words, numbers 12 and\nlines; " * 40 + "x" * 200 + " the end"
+    for path in (BYTE, WORD):
+        assert len(tokenize.parts(text.encode())) > 10
+        ids = next(tokenize.encoded(path, pa.array([text]), b""))
+        assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_ids_that_need_more_bytes_are_refused():
+    ids = struct.pack("<2I", 70_000, 1)
+    with pytest.raises(ValueError):
+        token_store.pack_segment([1], [2], ids, 2)
+    assert token_store.Segment(memoryview(token_store.pack_segment([1], [2], ids, 4))).document(0).tolist() == [70_000, 1]
+
+
 def test_elias_fano_selects_every_value():
     rng = np.random.default_rng(3)
     for n, top in ((1, 1), (5, 5), (700, 900), (3000, 10**6)):
@@ -73,6 +103,12 @@ def test_token_store_round_trip(spark):
         ids = whole.encode(text or "", add_special_tokens=False).ids + [0]
         assert (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))) in got[doc]
         start += len(ids)
+    path = token_store.write_store(frame(spark, rows), fresh_path(spark, "small-segments"), BYTE, width=4, segment_ids=300)
+    again = {}
+    for r in token_store.read_store(spark, path).collect():
+        again.setdefault(r.doc_id, []).append((r.start, r.n_tokens, r.ids_crc32))
+    assert {k: sorted(x[1:] for x in v) for k, v in again.items()} == {k: sorted(x[1:] for x in v) for k, v in got.items()}
+    assert sorted(x[0] for v in again.values() for x in v)[-1] == sorted(x[0] for v in got.values() for x in v)[-1]
     assert token_store.encode_corpus(spark, frame(spark, EMPTY), BYTE).count() == 0
 
 
@@ -80,6 +116,14 @@ def test_packing_is_whole_and_tight(spark):
     cap = 64
     cut = packing.pieces(frame(spark, sample_rows()), WORD, capacity=cap)
     places = packing.pack(cut.drop("ids"), cap).collect()
+    whole, wanted = Tokenizer.from_file(WORD), Counter()
+    for doc, text in sample_rows():
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), cap)):
+            own = ids[at : at + cap]
+            wanted[doc, k, at, len(own), zlib.crc32(struct.pack(f"<{len(own)}I", *own))] += 1
+    digests = packing.packed_digests(frame(spark, sample_rows()), WORD, cap).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in digests) == wanted
     assert len(places) == cut.count()
     by = defaultdict(list)
     for p in places:
@@ -187,8 +231,6 @@ def test_components_of_chains_and_stars(spark):
 
 
 def test_line_dedup_matches_brute_force(spark):
-    from xxhash import xxh64_intdigest
-
     rng = random.Random(8)
     vocabulary = [f"w{k}x" for k in range(200)]
     common = [" ".join(rng.choice(vocabulary) for _ in range(40)) for _ in range(6)]
@@ -206,17 +248,10 @@ def test_line_dedup_matches_brute_force(spark):
     for i, t in rows:
         for no, line in enumerate((t or "").split("\n")):
             words = line.encode().lower().split()
-            if len(words) >= 5:
+            if words:
                 places.append((i, no, keys.setdefault(b" ".join(words).decode(), len(keys))))
-    lines, sims = list(keys), []
-    for k in lines:
-        h = [xxh64_intdigest(w) for w in set(k.encode().split())]
-        sims.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
-    linked = []
-    for a in range(len(lines)):
-        for b in range(a + 1, len(lines)):
-            if (sims[a] ^ sims[b]).bit_count() <= 3 and line_dedup.similar(lines[a], lines[b], 0.8):
-                linked.append((a, b))
+    lines = list(keys)
+    linked = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if line_dedup.similar(lines[a], lines[b], 0.8)]
     assert linked
     group, seen, gone = brute_components(range(len(lines)), linked), set(), defaultdict(list)
     for i, no, k in sorted(places):
@@ -248,15 +283,6 @@ def test_edit_distance():
         assert got == want if want <= most else got > most
 
 
-def test_block_plan_covers_every_pair():
-    rng = random.Random(3)
-    for n in (10, 10**7, 10**9, 10**11):
-        plan = line_dedup.block_plan(n)
-        for _ in range(200):
-            differ = set(rng.sample(range(64), 3))
-            assert any(not differ & set(bits) for bits, _ in plan)
-
-
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(6)
     vocabulary = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -395,11 +421,31 @@ def test_warc_round_trip(spark):
             assert r.payload_bytes == 10
     assert {(r.page_id, r.record_type, r.refers_to) for r in got if r.payload_bytes == 0} == {(3, "revisit", 4), (4, "response", None)}
     assert len({r.url_key for r in got if r.page_id in (1, 2)}) == 2
+    keys = {r.page_id: r.url_key for r in got}
+    assert keys[6] == warc_index.url_key("http://c.org/é%0A") and keys[5] == warc_index.url_key("http://b.org/%0D%0AX: y")
     kept = warc_index.capture_index(spark, warc_index.write_archives(pages, fresh_path(spark, "w"), min_payload=1)).collect()
     assert [r.record_type for r in kept if r.payload_bytes == 0] == ["response", "response"]
     assert warc_index.archive(spark, pages.limit(0)).count() == 0
 
 
+def test_warc_digests_match_a_plain_version(spark):
+    import base64
+
+    rng = random.Random(40)
+    bodies = ["", "<p>a</p>", "b" * 70_000, "é\r\n\r\nWARC/1.1\r\n", "<html>"]
+    rows = [(k, f"http://h{k % 3}.org/{k}%20x", rng.choice(bodies) if k % 7 else f"own {k}") for k in range(120)]
+    keeper = {}
+    for k, _, html in rows:
+        keeper[html] = max(k, keeper.get(html, -1))
+    sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    want = {(k, len(h.encode()), sha(h), "response" if keeper[h] == k else "revisit", None if keeper[h] == k else keeper[h]) for k, _, h in rows}
+    path = warc_index.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), fresh_path(spark, "w"))
+    got = warc_index.capture_index(spark, path)
+    assert {tuple(r) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()} == want
+    text = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect())
+    assert text.count(b"WARC-Target-URI: http://h1.org/1%20x\r\n") == 1
+
+
 def test_loser_tree_merges():
     rng = random.Random(13)
     for k in (0, 1, 2, 5, 33):
@@ -421,6 +467,29 @@ def test_chat_formatting(spark):
     assert chat_format.format_chats(table.limit(0)).count() == 0
 
 
+def test_the_loss_mask_stands_on_the_text_itself():
+    says = ["turn", "n", "u", " ", ">", "", "</turn>", "assistant", "### ", ": ", "ok", "0", "1", "\n"]
+    turns = [t for k, x in enumerate(says) for t in (("user", x), ("assistant", x), *[("assistant", "again")] * (k % 2))]
+    for escaped in (chat_format.escape, None):
+        out = chat_format.render(turns, chat_format.turn_template)
+        spans, lost = chat_format.loss_spans(out, turns, "assistant", chat_format.turn_template, escaped)
+        want, at = [], 0
+        for role, text in turns:
+            start = at + len(f"### {role}: ")
+            at = start + len(chat_format.escape(text)) + len(" </turn>\n")
+            if role == "assistant":
+                want.append((start, start + len(chat_format.escape(text))))
+        assert spans == want and not lost
+
+
+def test_very_long_conversations_and_texts(spark):
+    rows = [(1, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(600)] + [(2, 0, "assistant", "x#\n" * 200_000)]
+    got = {r.conv_id: r for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1].formatted[a:b] for a, b in zip(got[1].loss_starts, got[1].loss_ends)] == [f"turn {k}" for k in range(1, 600, 2)]
+    assert chat_format.unescape(got[2].formatted[got[2].loss_starts[0] : got[2].loss_ends[0]]) == rows[-1][3]
+    assert not got[1].rewrites and not got[1].unmasked
+
+
 def test_rewriting_templates_are_found():
     def last_only(turns):
         return "".join(f"[{r}]{t if k == len(turns) - 1 or r != 'assistant' else '(cut)'}\n" for k, (r, t) in enumerate(turns))
@@ -428,6 +497,7 @@ def test_rewriting_templates_are_found():
     turns = [("user", "a"), ("assistant", "long thought"), ("user", "b")]
     out = chat_format.render(turns, last_only)
     assert out.rewrites == [2] and out.text == last_only(turns)
+    assert chat_format.loss_spans(out, turns, "assistant", last_only, lambda t: t) == ([], [1])
     plain = chat_format.render(turns, chat_format.turn_template)
     assert plain.rewrites == [] and plain.spans[-1][1] == len(plain.text)
     assert chat_format.parse(plain.text) == turns
