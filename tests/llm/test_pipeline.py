@@ -8,9 +8,8 @@ import pytest
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from tokenizers import Tokenizer  # noqa: E402
-from xxhash import xxh64_intdigest  # noqa: E402
 
-from passagemill.llm import decontaminate, line_dedup, quality  # noqa: E402
+from passagemill.llm import decontaminate, line_dedup, quality, similar_documents  # noqa: E402
 from passagemill.llm.queries import tokenizer_path  # noqa: E402
 
 
@@ -49,16 +48,11 @@ def groups(keys, linked):
     return {k: find(k) for k in keys}
 
 
-def majority(hashes):
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
-
-
 def plain(docs, items):
     # 8: rules and common lines of a host
-    seen, hosts = defaultdict(set), defaultdict(set)
+    seen = defaultdict(set)
     split = lambda t: [(no, b" ".join(line.lower().split())) for no, line in enumerate((t or "").encode().split(b"\n"))]
     for _, t, _, host, _ in docs:
-        hosts[host].add(t)
         for _, line in split(t):
             seen[host, line].add(t)
     out = []
@@ -66,7 +60,7 @@ def plain(docs, items):
         words = (t or "").split()
         if len(words) < 10 or 100 * quality.repeated_words([w.encode() for w in words], 5) > 20 * len(words):
             continue
-        gone = {no for no, line in split(t) if line and len(seen[host, line]) > 10 and 100 * len(seen[host, line]) > 10 * len(hosts[host])}
+        gone = {no for no, line in split(t) if line and len(seen[host, line]) > 10}
         left = [line for no, line in enumerate(t.split("\n")) if no not in gone]
         if gone and 100 * len(" ".join(left).split()) < 20 * len(words):
             continue
@@ -75,11 +69,10 @@ def plain(docs, items):
     keys, places = {}, []
     for i, t in out:
         for no, line in split(t):
-            if len(line.split()) >= 5:
+            if line:
                 places.append((i, no, keys.setdefault(line.decode(), len(keys))))
     lines = list(keys)
-    sims = [majority([xxh64_intdigest(w) for w in set(k.encode().split())]) for k in lines]
-    linked = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if (sims[a] ^ sims[b]).bit_count() <= 3 and line_dedup.similar(lines[a], lines[b], 0.8)]
+    linked = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if line_dedup.similar(lines[a], lines[b], 0.8)]
     group, first, gone = groups(range(len(lines)), linked), set(), defaultdict(set)
     for i, no, k in sorted(places):
         if group[k] in first:
@@ -87,14 +80,9 @@ def plain(docs, items):
         first.add(group[k])
     out = [(i, "\n".join(line for no, line in enumerate(t.split("\n")) if no not in gone[i])) for i, t in out]
     # 10: near-duplicate documents
-    def fingerprint(t):
-        words = t.encode().lower().split()
-        h = [xxh64_intdigest(b" ".join(words[k : k + 4]), 42) for k in range(max(1, len(words) - 3))] if words else []
-        return majority(h)
-
-    fp = {i: fingerprint(t) for i, t in out}
-    ids = sorted(fp)
-    group = groups(ids, [(a, b) for a in ids for b in ids if a < b and (fp[a] ^ fp[b]).bit_count() <= 4])
+    texts = dict(out)
+    ids = sorted(texts)
+    group = groups(ids, [(a, b) for a in ids for b in ids if a < b and similar_documents.jaccard(texts[a], texts[b], 5) >= 0.8])
     out = [(i, t) for i, t in out if group[i] == i]
     # 6: benchmark passages
     windows = {tuple(w[k : k + 10]) for _, t in items for w in [decontaminate.words_of(t)] for k in range(len(w) - 9)}
