@@ -9,8 +9,10 @@ column functions inside the JVM. Every chunk has ``chunk_seq``, its number in th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,23 +23,37 @@ from ..functions import text as T
 
 SIZE, OVERLAP, TINY = 2500, 300, 250
 OPEN, CLOSE = "<!-- TABLE -->", "<!-- /TABLE -->"
-PIECES = "doc_id long, chunk_seq int, position int, section int, text string"
+_BLANK, _SENTENCE = re.compile(r"(?=\n\n)"), re.compile(r"\. ")
+_TABLE = re.compile(rf"{OPEN}\n(.*?)\n{CLOSE}", re.DOTALL)
+
+
+def pieces_schema(texts: DataFrame) -> str:
+    """The rows that splitters give; ids keep the type that they have."""
+    return f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, chunk_seq int, position int, section int, text string"
+
+
+def _windows(text: str, size: int, overlap: int) -> Iterator[slice]:
+    """Windows of ``size``; one ends at its last blank line, or without any at its last sentence, if
+    that lies in its second half. All places to end at are found once and looked up by bisection."""
+    blanks, sentences = ([m.start() for m in pattern.finditer(text)] for pattern in (_BLANK, _SENTENCE))
+
+    def last_of(places: list[int], low: int, high: int) -> int | None:
+        at = bisect_right(places, high) - 1
+        return places[at] if at >= 0 and places[at] >= low else None
+
+    begin = 0
+    while begin < len(text):
+        stop = begin + size
+        if stop < len(text):
+            place = last_of(blanks, begin, stop - 2)
+            place = last_of(sentences, begin, stop - 2) if place is None else place
+            stop = place + 1 if place is not None and place - begin > size // 2 else stop
+        yield slice(begin, stop)
+        begin = stop - overlap
 
 
 def overlapping(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Windows that end at the last blank line, or else the last sentence, of their second half."""
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            window = text[start:end]
-            stop = window.rfind("\n\n")
-            stop = window.rfind(". ") if stop < 0 else stop
-            if stop > size // 2:
-                end = start + stop + 1
-        out.append(text[start:end].strip())
-        start = end - overlap
-    return [piece for piece in out if piece]
+    return list(filter(None, (text[window].strip() for window in _windows(text, size, overlap))))
 
 
 def table_parts(table: str, size: int = SIZE) -> list[str]:
@@ -58,35 +74,36 @@ def table_parts(table: str, size: int = SIZE) -> list[str]:
     return [wrap([*head, *group]) for group in groups]
 
 
+def _table_pieces(table: str) -> list[str]:
+    framed = f"{OPEN}\n{table}\n{CLOSE}"
+    return table_parts(table) if len(framed) > SIZE else [framed]
+
+
+def _prose_pieces(prose: str) -> list[str]:
+    return overlapping(prose) if len(prose) > SIZE else [prose]
+
+
 def pieces_of(text: str) -> list[str]:
     """Tables stay whole or are cut by rows; what is between them overlaps."""
+    tables = list(_TABLE.finditer(text))
     if OPEN not in text:
         return overlapping(text)
-    out: list[str] = []
-    for k, part in enumerate(re.split(rf"{OPEN}\n(.*?)\n{CLOSE}", text, flags=re.DOTALL)):
-        part = part.strip()
-        if part and k % 2:
-            whole = f"{OPEN}\n{part}\n{CLOSE}"
-            out += [whole] if len(whole) <= SIZE else table_parts(part)
-        elif part:
-            out += overlapping(part) if len(part) > SIZE else [part]
-    return out
+    prose = [text[a:b] for a, b in zip([0, *(t.end() for t in tables)], [*(t.start() for t in tables), len(text)], strict=True)]
+    parts = [(_prose_pieces, prose[0]), *(x for t, after in zip(tables, prose[1:], strict=True) for x in ((_table_pieces, t[1]), (_prose_pieces, after)))]
+    return [piece for cut, part in parts if part.strip() for piece in cut(part.strip())]
 
 
 def merge_small(sections: list[str], least: int = TINY) -> list[str]:
-    """C11: a section below ``least`` goes in front of the next, the last one behind the one before."""
-    out: list[str] = []
-    held = ""
-    for section in sections:
-        held = f"{held}\n\n{section}" if held else section
-        if len(held) >= least:
-            out.append(held)
-            held = ""
-    if held and out:
-        out[-1] += "\n\n" + held
-    elif held:
-        out.append(held)
-    return out
+    """C11: a run of sections ends where it reaches ``least`` characters; what is left joins the last run.
+
+    With reach[k] the length of the first k sections and their joints, the end of a run is found by bisection.
+    """
+    reach = list(accumulate((len(x) + 2 for x in sections), initial=0))
+    edges = [0]
+    while (end := bisect_left(reach, reach[edges[-1]] + least + 2, edges[-1] + 1)) < len(reach):
+        edges.append(end)
+    edges[-1:] = [len(sections)] if len(edges) > 1 else [0, len(sections)]
+    return ["\n\n".join(sections[a:b]) for a, b in pairwise(edges) if a < b]
 
 
 def _python(pattern: str) -> re.Pattern:
@@ -108,7 +125,7 @@ ARTICLES, SHEETS, POINTS, REPORTS = ["CCTP", "DPGF", "etude_thermique"], ["fiche
 
 
 def _splitter(ways: dict[str | None, Callable[[str], list[str]]]):
-    """Rows of PIECES for (doc_id, text, type): the way of the type cuts sections, else there are none.
+    """Rows of pieces_schema() for (doc_id, text, type): the way of the type cuts sections, else there are none.
 
     A section of at most SIZE characters stays whole; a text without sections goes by paragraphs.
     """
@@ -125,8 +142,8 @@ def _splitter(ways: dict[str | None, Callable[[str], list[str]]]):
                         rows.append((doc, seq, i + j, i, part))
                         seq += 1
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
+                kinds = [batch.schema.types[0], pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "chunk_seq", "position", "section", "text"])
 
     return run
 
@@ -149,7 +166,8 @@ def _described(pieces: DataFrame) -> DataFrame:
 
 
 def _pieces(texts: DataFrame, way: Callable[[str], list[str]] | None = None) -> DataFrame:
-    return texts.select("doc_id", "text", F.lit("any").alias("type")).mapInArrow(_splitter({"any": way} if way else {}), PIECES)
+    rows = texts.select("doc_id", "text", F.lit("any").alias("type"))
+    return rows.mapInArrow(_splitter({"any": way} if way else {}), pieces_schema(texts))
 
 
 _SHEET_WAY = partial(_one_or_none, partial(_sections, _python(P.SHEET_CUT), False))
@@ -193,7 +211,7 @@ def _stacks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = [len(h) for h in batch.column(1).to_pylist()]
         docs = [d for d, n in zip(batch.column(0).to_pylist(), lengths, strict=True) for _ in range(n)]
         sections = [h["section"] for hs in batch.column(1).to_pylist() for h in hs]
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sections, pa.int32()), pa.array(out, pa.list_(pa.string()))], ["doc_id", "section", "parent_sections"])
+        yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.types[0]), pa.array(sections, pa.int32()), pa.array(out, pa.list_(pa.string()))], ["doc_id", "section", "parent_sections"])
 
 
 def _headings(pieces: DataFrame) -> DataFrame:
@@ -201,7 +219,8 @@ def _headings(pieces: DataFrame) -> DataFrame:
     found = T.heading_level(F.substring_index("text", "\n", 1))
     heads = pieces.where("position = section").select("doc_id", "section", found.alias("found"))
     listed = F.array_sort(F.collect_list(F.struct("section", F.col("found.level").alias("level"), F.col("found.heading").alias("heading"))))
-    stacks = heads.groupBy("doc_id").agg(listed.alias("headings")).mapInArrow(_stacks, "doc_id long, section int, parent_sections array<string>")
+    kind = pieces.schema["doc_id"].dataType.simpleString()
+    stacks = heads.groupBy("doc_id").agg(listed.alias("headings")).mapInArrow(_stacks, f"doc_id {kind}, section int, parent_sections array<string>")
     lot = F.when(F.col("found.level") == 0, F.substring(F.col("found.heading"), 5, 1 << 20))
     so_far = Window.partitionBy("doc_id").orderBy("section")
     lots = heads.select("doc_id", "section", F.coalesce(F.last(lot, ignorenulls=True).over(so_far), F.lit("")).alias("chunk_lot"))
@@ -277,7 +296,7 @@ def chunk_documents(pages: DataFrame, types: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
     joined = F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n")
     texts = flat.groupBy("doc_id").agg(joined.alias("text"), F.first("type").alias("type"))
-    pieces = texts.select("doc_id", "text", "type").mapInArrow(_splitter(WAYS), PIECES).join(types.select("doc_id", "type"), "doc_id", "left")
+    pieces = texts.select("doc_id", "text", "type").mapInArrow(_splitter(WAYS), pieces_schema(texts)).join(types.select("doc_id", "type"), "doc_id", "left")
     stacks = _headings(pieces.where(F.col("type").isin(ARTICLES)))
     text, none = F.col("text"), F.array().cast("array<string>")
     title = F.when(F.col("type").isin(ARTICLES), _last("parent_sections")).when(F.col("type").isin(POINTS), F.col("point_title"))
@@ -307,14 +326,20 @@ def classification_input(pages: DataFrame, most: int = 3000, per_page: int = 30)
     return texts.select("doc_id", F.substring("text", 1, most).alias("excerpt"), F.when(chars == 0, "default").otherwise(route).alias("route"))
 
 
+def embedding_text(chunks: DataFrame) -> Column:
+    """What is embedded: the chunk's text under its heading prefix, where it has one."""
+    prefix = F.coalesce("heading_prefix", F.lit("")) if "heading_prefix" in chunks.columns else F.lit("")
+    return F.when(prefix != "", F.concat(prefix, F.lit("\n\n"), "text")).otherwise(F.col("text"))
+
+
 def embed(chunks: DataFrame, function: Callable[[list[str]], list[list[float]]], batch: int = 10) -> DataFrame:
-    """C20: a ``dense`` vector for each chunk from a function over lists of at most ``batch`` texts."""
+    """C20: a ``dense`` vector for each chunk from a function over lists of at most ``batch`` embedding texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = rows.column(rows.schema.get_field_index("text")).to_pylist()
+            texts = rows.column(rows.num_columns - 1).to_pylist()
             vectors = [v for at in range(0, len(texts), batch) for v in function(texts[at : at + batch])]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(vectors, pa.list_(pa.float32()))], [*rows.schema.names, "dense"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(vectors, pa.list_(pa.float32()))], [*rows.schema.names[:-1], "dense"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
-    return chunks.mapInArrow(run, f"{schema}, dense array<float>")
+    return chunks.withColumn("__embedded", embedding_text(chunks)).mapInArrow(run, f"{schema}, dense array<float>")

@@ -131,12 +131,12 @@ def _rendered(rows: pd.DataFrame, several: bool) -> int:
 def select_by_score(passages: DataFrame, budget: int) -> DataFrame:
     """K4: passages by falling score while their exact rendering fits; the first that does not ends it.
 
-    A question's passages are one group, which is bounded by the pool that search keeps. A native
-    bound drops what can't fit before: texts alone are already longer than the budget.
+    A block is never shorter than the texts in it, so passages behind a running sum of lengths above the
+    budget can't be kept; they are dropped natively, and no question's group holds more than the budget.
     """
     bound = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq").rowsBetween(Window.unboundedPreceding, 0)
     few = passages.withColumns({"length": F.length("text"), "key": T.article_dedup_key(F.col("text"))})
-    few = few.withColumns({"lot_": F.coalesce(F.nullif(F.col("lot"), F.lit("")), F.lit("unknown")), "best": F.max(F.col("length")).over(bound)}).where(F.col("best") <= budget).drop("best", "length")
+    few = few.withColumns({"lot_": F.coalesce(F.nullif(F.col("lot"), F.lit("")), F.lit("unknown")), "sum": F.sum("length").over(bound)}).where(F.col("sum") <= budget).drop("sum", "length")
 
     names, schema = passages.columns, passages.schema
 

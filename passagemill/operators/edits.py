@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from .retrieval import postings
+from .retrieval import SCOPE, postings
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
@@ -17,9 +17,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
 
 def copy_hybrid(points: DataFrame) -> DataFrame:
     """Points with a sparse vector of their text; the same input always gives the same rows."""
-    weights = postings(points).groupBy("tenant_id", "point_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "weight")))).alias("sparse"))
+    keys = [*SCOPE, "point_id"]
+    weights = postings(points).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "weight")))).alias("sparse"))
     none = F.create_map().cast("map<string,double>")
-    return points.drop("sparse").join(weights, ["tenant_id", "point_id"], "left").withColumn("sparse", F.coalesce("sparse", none))
+    return points.drop("sparse").join(weights, keys, "left").withColumn("sparse", F.coalesce("sparse", none))
 
 
 def split_chunks(chunks: DataFrame, edits: DataFrame) -> DataFrame:

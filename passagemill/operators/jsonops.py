@@ -1,7 +1,7 @@
 """Handling of what a model returned (Y1-Y13): JSON inside columns.
 
-Parsing, filtering and defaults are column functions; only folds whose result depends on the order of
-string concatenation (Y4, Y5, Y9) are small Arrow functions.
+Parsing, repair, filtering, merging and defaults are column functions; only the flattening of sections
+nested at will (Y5) is a small Python function.
 """
 
 from __future__ import annotations
@@ -71,19 +71,6 @@ def parse_reformulation(rows: DataFrame, column: str = "raw", first: str = "firs
     return rows.withColumn("query", F.when((query != "") & ~again, query))
 
 
-def repaired(raw: str | None) -> str | None:
-    """The smallest object that cutting 1 to 200 characters and closing gives."""
-    for n in range(min(len(raw or ""), 200), 0, -1):
-        for closing in ("]}", '"]}', '"}'):
-            try:
-                value = json.loads(raw[:-n] + closing)
-            except ValueError:
-                continue
-            if isinstance(value, dict):
-                return json.dumps(value, ensure_ascii=False)
-    return None
-
-
 def flattened(raw: str | None) -> str | None:
     """Nested sections as one object of description, kpis, details and schema."""
     data = json.loads(raw) if raw else None
@@ -99,36 +86,6 @@ def flattened(raw: str | None) -> str | None:
     return json.dumps({"description": " ".join(said), "kpis": kpis[:5], "details": details, "schema": schema}, ensure_ascii=False)
 
 
-def _key(text: str) -> str:
-    import unicodedata
-
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return " ".join(plain.lower().split())
-
-
-def merged_rows(columns: list[str], rows: list[dict[str, str]]) -> list[dict[str, str]]:
-    """Rows of one element: amounts added as text, new places appended, the longest description."""
-    names = [c.lower().replace("é", "e").replace(" ", "_") for c in columns]
-    if len(rows) < 2 or len(names) < 2:
-        return rows
-    last = lambda part: next((n for n in reversed(names) if part in n), None)
-    amount, place, out = last("quantite"), last("localisation"), {}
-    for row in rows:
-        row = dict(row)
-        kept = out.setdefault(_key(row.get(names[0], "")), row)
-        if kept is row:
-            continue
-        old, new = kept.get(amount, ""), row.get(amount, "")
-        if old and new and old != new:
-            kept[amount] = f"{old} + {new}"
-        old, new = kept.get(place, ""), row.get(place, "")
-        if old and new and _key(new) not in _key(old):
-            kept[place] = f"{old}, {new}"
-        if len(row.get(names[1], "")) > len(kept.get(names[1], "")):
-            kept[names[1]] = row[names[1]]
-    return list(out.values())
-
-
 def _each(function: Callable, kind: str, *columns: str) -> Column:
     @F.pandas_udf(kind)
     def apply(*series: pd.Series) -> pd.Series:
@@ -137,9 +94,18 @@ def _each(function: Callable, kind: str, *columns: str) -> Column:
     return apply(*columns)
 
 
-def repair_json(rows: DataFrame, column: str = "raw") -> DataFrame:
-    """``repaired``, null where nothing helps or nothing had to be cut."""
-    return rows.withColumn("repaired", _each(repaired, "string", column))
+#: What may close a JSON text that was cut off, in the order of trial: fixed values.
+CLOSINGS = ("]}", '"]}', '"}')
+
+
+def repair_json(rows: DataFrame, column: str = "raw", most: int = 200) -> DataFrame:
+    """``repaired``, the text with 1 to ``most`` characters cut off and closed again: of all such texts
+    that are JSON objects the one that loses most; null where there is none."""
+    raw = F.coalesce(F.col(column), F.lit(""))
+    lost = F.sequence(F.least(F.length(raw), F.lit(most)), F.lit(1), F.lit(-1))
+    tries = F.flatten(F.transform(lost, lambda n: F.transform(F.array(*map(F.lit, CLOSINGS)), lambda end: F.concat(F.left(raw, F.length(raw) - n), end))))
+    readable = F.filter(tries, lambda t: F.coalesce(F.schema_of_variant(F.try_parse_json(t)).startswith("OBJECT"), F.lit(False)))
+    return rows.withColumn("repaired", F.when(F.length(raw) > 0, F.get(readable, 0)))
 
 
 def normalize_section(rows: DataFrame, column: str = "raw") -> DataFrame:
@@ -177,13 +143,51 @@ def assemble_summary(sections: DataFrame) -> DataFrame:
     return sections.groupBy("project_id").agg(of("constructif", F.lit(True)).alias("building"), of("contrainte", some).alias("constraints"), status.alias("status"))
 
 
+def _plain_name(name: Column) -> Column:
+    return F.replace(F.replace(F.lower(name), F.lit("é"), F.lit("e")), F.lit(" "), F.lit("_"))
+
+
+def _said(row: Column, name: Column) -> Column:
+    return F.coalesce(F.try_element_at(row, name), F.lit(""))
+
+
+def merge_elements(rows: Column, names: Column) -> Column:
+    """Rows that name the same element become one: amounts that differ are added as text, new places are
+    appended, the longest description wins. Elements keep the order in which they first appear.
+
+    names are the plain column names: the first holds the element, the second its description; amounts and
+    places stand in the last columns so called.
+    """
+    last = lambda part: F.try_element_at(F.filter(names, lambda n: n.contains(part)), F.lit(-1))
+    amount, place, about = last("quantite"), last("localisation"), F.get(names, 1)
+    keyed = F.transform(rows, lambda r: F.struct(T.normalise_key(_said(r, F.get(names, 0))).alias("key"), r.alias("row")))
+
+    def joined(kept: Column, more: Column) -> Column:
+        def value(name: Column, old: Column) -> Column:
+            new = _said(more, name)
+            both = (F.coalesce(old, F.lit("")) != "") & (new != "")
+            out = F.when((name == amount) & both & (old != new), F.concat(old, F.lit(" + "), new))
+            out = out.when((name == place) & both & ~F.contains(T.normalise_key(old), T.normalise_key(new)), F.concat(old, F.lit(", "), new))
+            return out.when((name == about) & (F.length(new) > F.length(F.coalesce(old, F.lit("")))), new).otherwise(old)
+
+        whole = F.when(F.map_contains_key(kept, about), kept).otherwise(F.map_concat(kept, F.create_map(about, F.lit(""))))
+        return F.transform_values(F.when(_said(more, about) != "", whole).otherwise(kept), value)
+
+    def folded(key: Column) -> Column:
+        own = F.transform(F.filter(keyed, lambda x: x["key"] == key), lambda x: x["row"])
+        return F.aggregate(F.slice(own, 2, 1 << 30), F.get(own, 0), joined)
+
+    merged = F.transform(F.array_distinct(F.transform(keyed, lambda x: x["key"])), folded)
+    return F.when((F.size(rows) < 2) | (F.size(names) < 2), rows).otherwise(merged)
+
+
 def table_rows(tables: DataFrame, most: int = 8) -> DataFrame:
     """tables(columns, rows): rows without an amount go, rows of one element merge, sparse tables go."""
     name = F.element_at(F.filter(F.transform("columns", lambda c: F.replace(F.lower(c), F.lit("é"), F.lit("e"))), lambda c: c == "quantite"), 1)
     name = F.when(F.exists("columns", lambda c: F.replace(F.lower(c), F.lit("é"), F.lit("e")) == "quantite"), name)
     kept = F.filter(F.slice("rows", 1, most), lambda r: name.isNull() | ~T.strip(F.coalesce(F.try_element_at(r, name), F.lit(""))).rlike(UNSAID))
-    merged = tables.withColumn("__json", F.to_json(kept)).withColumn("__json", _each(lambda columns, rows: json.dumps(merged_rows(list(columns), json.loads(rows)), ensure_ascii=False), "string", "columns", "__json"))
-    rows = merged.withColumn("rows", F.from_json("__json", "array<map<string,string>>")).drop("__json")
+    rows = tables.withColumns({"rows": kept, "__names": F.transform("columns", _plain_name)})
+    rows = rows.withColumn("rows", merge_elements(F.col("rows"), F.col("__names"))).drop("__names")
     filled = F.aggregate("rows", F.lit(0), lambda n, r: n + F.size(F.filter(F.map_values(r), lambda x: ~T.strip(x).isin("", "—"))))
     return rows.where((filled >= 3) & (filled >= 0.4 * F.size("rows") * F.size("columns")))
 

@@ -1,8 +1,9 @@
 """Retrieval over a table of questions.
 
-points(point_id, tenant_id, ..., dense), questions(query_id, variant, tenant_id, text, vector). Every
-operator that matches questions to points joins on the scope columns first; filters stand below the
-ranking windows. Scores are rounded to six places and ties end with point_id, so orders are total.
+points(point_id, tenant_id, project_id, ..., dense), questions(query_id, variant, tenant_id, project_id,
+text, vector). Every operator that matches questions to points joins on tenant and project, so that no
+question sees another project's points; filters stand below the ranking windows. Ids may be numbers or
+strings. Scores are rounded to six places and ties end with point_id, so orders are total.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.patterns import CONTENT_PRIORITY, DIAGNOSTIC_TERMS, VERSIONED_TYPES
+from .stats import scored
 
 K1, B, MEAN_LENGTH = 1.2, 0.75, 256
-SCOPE = ("tenant_id",)
+SCOPE = ("tenant_id", "project_id")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,14 +49,29 @@ def dense_topk(questions: DataFrame, points: DataFrame, k: int, threshold: float
     return top(dense_scores(questions, points, threshold, scope), k, ("query_id", "variant"))
 
 
-def postings(points: DataFrame) -> DataFrame:
-    """R2: (tenant_id, point_id, token, tf, weight) of each point's text."""
-    rows = points.select("tenant_id", "point_id", T.tokenize(F.col("text")).alias("tokens"))
-    each = rows.select("tenant_id", "point_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    counted = each.groupBy("tenant_id", "point_id", "length", "token").agg(F.count("*").alias("tf"))
+def filtered(points: DataFrame, lot: str | None = None, phase: str | None = None, kind: str | None = None) -> DataFrame:
+    """Points of one lot, phase and document type, where these are given; applied before any ranking."""
+    for name, value in (("lot", lot), ("phase", phase), ("type", kind)):
+        points = points if value is None else points.where(F.col(name) == value)
+    return points
+
+
+def postings(points: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFrame:
+    """R2: (scope, point_id, token, tf, weight) of each point's text.
+
+    A point is one row, so its tokens are counted inside the row: sorted, each run of equal tokens is one
+    posting. Nothing is shuffled.
+    """
+    keys = [*scope, "point_id"]
+    rows = points.select(*keys, F.array_sort(T.tokenize(F.col("text"))).alias("__sorted")).where(F.size("__sorted") > 0)
+    n = F.size("__sorted")
+    opens = lambda i: (i == 0) | (F.get("__sorted", i) != F.get("__sorted", i - 1))
+    rows = rows.withColumn("__starts", F.filter(F.sequence(F.lit(0), n - 1), opens))
+    run = lambda at, k: F.struct(F.get("__sorted", at).alias("token"), (F.coalesce(F.get("__starts", k + 1), n) - at).cast("long").alias("tf"))
+    each = rows.select(*keys, n.alias("length"), F.explode(F.transform("__starts", run)).alias("t")).select(*keys, "length", "t.token", "t.tf")
     tf = F.col("tf")
     weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / MEAN_LENGTH))
-    return counted.select("tenant_id", "point_id", "token", "tf", weight.alias("weight"))
+    return each.select(*keys, "token", "tf", weight.alias("weight"))
 
 
 def token_idf(posted: DataFrame, n_points: DataFrame) -> DataFrame:
@@ -69,10 +86,15 @@ def query_tokens(questions: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFr
     return questions.select("query_id", *scope, F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
 
 
-def sparse_topk(questions: DataFrame, posted: DataFrame, idf: DataFrame, k: int) -> DataFrame:
-    """The sum of weight times idf over common tokens."""
-    asked = query_tokens(questions).join(idf.select("token", "idf"), "token")
-    pairs = posted.join(asked, ["tenant_id", "token"])
+def asked_only(posted: DataFrame, questions: DataFrame) -> DataFrame:
+    """The postings of tokens that some question has; the rest is dropped before any shuffle."""
+    return posted.join(query_tokens(questions).select("token").distinct(), "token", "left_semi")
+
+
+def sparse_topk(questions: DataFrame, posted: DataFrame, idf: DataFrame, k: int, scope: tuple[str, ...] = SCOPE) -> DataFrame:
+    """The sum of weight times idf over common tokens of the question's scope."""
+    asked = query_tokens(questions, scope).join(idf.select("token", "idf"), "token")
+    pairs = posted.join(asked, [*scope, "token"])
     return top(pairs.groupBy("query_id", "point_id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score")), k)
 
 
@@ -91,8 +113,10 @@ def latest_version(hits: DataFrame, by: tuple[str, ...] = ("query_id",), case_se
     kind = F.col("type") if case_sensitive else F.lower("type")
     versioned = kind.isin(VERSIONED_TYPES) & F.col("ingested_at").isNotNull()
     newest = hits.where(versioned).groupBy(*by, "type", "document_id").agg(F.max("ingested_at").alias("at"), F.max("score").alias("best"))
-    chosen = newest.groupBy(*by, "type").agg(F.max(F.struct("at", "best", -F.col("document_id"))).alias("m"), F.count("*").alias("n"))
-    chosen = chosen.where("n > 1").select(*by, "type", (-F.col("m.col3")).alias("__newest"))
+    w = Window.partitionBy(*by, "type")
+    order = w.orderBy(F.desc("at"), F.desc("best"), F.asc("document_id"))
+    chosen = newest.withColumns({"n": F.count("*").over(w), "place": F.row_number().over(order)})
+    chosen = chosen.where("n > 1 and place = 1").select(*by, "type", F.col("document_id").alias("__newest"))
     joined = hits.join(chosen, [*by, "type"], "left")
     return joined.where(F.col("__newest").isNull() | (F.col("document_id") == F.col("__newest"))).drop("__newest")
 
@@ -144,10 +168,12 @@ def _priority(kind: Column) -> Column:
 def search_by_lot(questions: DataFrame, points: DataFrame, pool: int = 250, threshold: float = 0.3, cover: int = 5, relevant: int = 8) -> DataFrame:
     """Of each lot the first five chunks by content and position, then the eight most relevant others."""
     lot = F.coalesce(F.nullif("lot", F.lit("")), F.lit("unknown"))
-    asked = questions.select("query_id", "tenant_id").distinct()
-    rows = points.drop("dense").withColumns({"lot": lot, "priority": _priority(F.col("content_type"))})
-    scoped = latest_version(rows.join(asked, "tenant_id").withColumn("score", F.lit(0.5)))
-    first = top(scoped.where("priority < 3"), cover, ("query_id", "lot"), [F.col("priority"), F.col("position"), F.col("point_id")])
+    asked = questions.select("query_id", *SCOPE).distinct()
+    rows = points.drop("dense").withColumns({"lot": lot, "priority": _priority(F.col("content_type")), "score": F.lit(0.5)})
+    # The first chunks of a lot are the same for all questions of a scope: ranked once, then joined.
+    covered = latest_version(rows, SCOPE).where("priority < 3")
+    ranked = top(covered, cover, (*SCOPE, "lot"), [F.col("priority"), F.col("position"), F.col("point_id")])
+    first = ranked.join(asked, list(SCOPE))
     hits = latest_version(dense_topk(questions, points, pool, threshold), ("query_id", "variant"))
     best = top(hits, 1, ("query_id", "point_id"), [F.desc("score"), F.col("variant")]).withColumns({"lot": lot, "priority": _priority(F.col("content_type"))})
     others = penalised(best, questions, admin=False).join(first.select("query_id", "point_id"), ["query_id", "point_id"], "left_anti")
@@ -169,7 +195,7 @@ def search_merged(questions: DataFrame, points: DataFrame, limit: int = 10, thre
 
 def find_similar(chosen: DataFrame, points: DataFrame, k: int = 5, threshold: float = 0.25) -> DataFrame:
     """The k nearest other points of each chosen(point_id) in its scope."""
-    asked = points.join(chosen.select("point_id"), "point_id", "left_semi").select(F.col("point_id").alias("query_id"), F.lit(0).alias("variant"), "tenant_id", F.col("dense").alias("vector"))
+    asked = points.join(chosen.select("point_id"), "point_id", "left_semi").select(F.col("point_id").alias("query_id"), F.lit(0).alias("variant"), *SCOPE, F.col("dense").alias("vector"))
     return top(dense_scores(asked, points, threshold).where("point_id != query_id"), k)
 
 
@@ -182,9 +208,23 @@ def duplicate_pairs(points: DataFrame, threshold: float = 0.92) -> DataFrame:
 
 
 def query_limits(questions: DataFrame, limit: int) -> DataFrame:
-    """What each of n queries of a question may bring: limit / n, a quarter of limit at least."""
-    n = F.count("*")
-    return questions.groupBy("query_id").agg(F.greatest(F.floor(F.lit(limit) / n), F.floor(F.lit(limit) / 4), F.lit(1)).cast("long").alias("each"))
+    """How many passages the main and the forced queries of a question may bring together.
+
+    questions(query_id, forced boolean), a row a query. Each query adds a quarter of limit, one at least;
+    together they never have less than limit.
+    """
+    each = max(1, limit // 4)
+    many = lambda forced: F.greatest(F.lit(limit), F.count_if(F.col("forced") == forced) * each).cast("long")
+    return questions.groupBy("query_id").agg(many(False).alias("main_limit"), many(True).alias("forced_limit"))
+
+
+def semantic_search(questions: DataFrame, points: DataFrame, chunks: DataFrame, k: int = 10, threshold: float = 0.25) -> DataFrame:
+    """The best points of each question with their chunk rows and quality scores, in order of rank.
+
+    Hits without a chunk row are left out; ranks stay those of the hits.
+    """
+    hits = dense_topk(questions, points, k, threshold).select("query_id", "variant", "point_id", "score", "rank")
+    return hits.join(scored(chunks.where("point_id is not null")), "point_id")
 
 
 def expected_rank(hits: DataFrame, expected: DataFrame) -> DataFrame:
@@ -194,11 +234,11 @@ def expected_rank(hits: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def section_search(sections: DataFrame, points: DataFrame, budget: int = 20000, threshold: float = 0.35, sizes: tuple[int, int] = (100, 500)) -> DataFrame:
-    """sections(query_id, tenant_id, variant, vector): each query's best, 10, 15 or 20 by the size of
+    """sections(query_id, tenant_id, project_id, variant, vector): each query's best, 10, 15 or 20 by the size of
     its scope, once a point, kept by score while the running length fits (W9)."""
-    n = points.groupBy("tenant_id").agg(F.count("*").alias("n"))
+    n = points.groupBy(*SCOPE).agg(F.count("*").alias("n"))
     each = F.when(F.col("n") < sizes[0], 10).when(F.col("n") < sizes[1], 15).otherwise(20)
-    hits = top(dense_scores(sections, points, threshold), 20, ("query_id", "variant")).join(n, "tenant_id").where(F.col("rank") <= each)
+    hits = top(dense_scores(sections, points, threshold), 20, ("query_id", "variant")).join(n, list(SCOPE)).where(F.col("rank") <= each)
     once = top(hits, 1, ("query_id", "point_id"), [F.desc("score"), F.col("variant")])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
     used = F.sum(F.col("char_count") + 7).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 7

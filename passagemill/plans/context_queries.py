@@ -218,7 +218,7 @@ def injection_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def hybrid_copy(spark: SparkSession, sf: str) -> DataFrame:
-    rows = edits.copy_hybrid(C.chunks(spark, sf).where("point_id is not null").select("tenant_id", "point_id", "text"))
+    rows = edits.copy_hybrid(C.chunks(spark, sf).where("point_id is not null").select("tenant_id", "project_id", "point_id", "text"))
     return rows.select("tenant_id", "point_id", F.size("sparse").alias("tokens"))
 
 

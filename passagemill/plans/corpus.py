@@ -75,29 +75,30 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")
     return rows.select(
         F.col("vec_id").alias("point_id"), F.concat(F.lit("t"), (F.col("vec_id") % 4).cast("string")).alias("tenant_id"),
-        (F.col("vec_id") % 25).alias("document_id"), (F.col("vec_id") % 50).alias("position"), F.col("label").cast("string").alias("lot"),
+        F.concat(F.lit("p"), (F.floor(F.col("vec_id") / 4) % 2).cast("string")).alias("project_id"), (F.col("vec_id") % 25).alias("document_id"), (F.col("vec_id") % 50).alias("position"), F.col("label").cast("string").alias("lot"),
         _chosen(DOCUMENT_TYPES, F.col("vec_id") % 25).alias("type"), _chosen(KINDS, F.col("vec_id")).alias("content_type"),
         (F.lit(1704067200) + F.col("vec_id") % 25).alias("ingested_at"), F.col("embedding").cast("array<double>").alias("dense"),
     )
 
 
-POINTS_SQL = f"""points AS (SELECT vec_id AS point_id, 't' || (vec_id % 4) AS tenant_id, vec_id % 25 AS document_id, vec_id % 50 AS position,
+POINTS_SQL = f"""points AS (SELECT vec_id AS point_id, 't' || (vec_id % 4) AS tenant_id, 'p' || (vec_id // 4 % 2) AS project_id, vec_id % 25 AS document_id, vec_id % 50 AS position,
  CAST(label AS VARCHAR) AS lot, ({DOCUMENT_TYPES!r})[(vec_id % 25) % 12 + 1] AS type, ({KINDS!r})[vec_id % 6 + 1] AS content_type,
  1704067200 + vec_id % 25 AS ingested_at, CAST(embedding AS DOUBLE[]) AS dense FROM embeddings)"""
 
 
 def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each hundredth vector asks within its own tenant; two vectors are variants of one question."""
+    """Each hundredth vector asks within one project; two vectors are variants of one question."""
     rows = read_table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
     number = F.col("vec_id") / 100
     return rows.select(
         F.floor(number / 2).alias("query_id"), (number % 2).cast("int").alias("variant"),
         F.concat(F.lit("t"), (F.floor(number / 2) % 4).cast("string")).alias("tenant_id"),
+        F.concat(F.lit("p"), (F.floor(number / 8) % 2).cast("string")).alias("project_id"),
         F.concat(F.lit("question on "), F.when(F.floor(number / 2) % 2 == 0, "sondage").otherwise("amiante")).alias("text"),
         F.col("embedding").cast("array<double>").alias("vector"),
     )
 
 
 QUESTIONS_SQL = """questions AS (SELECT vec_id // 200 AS query_id, CAST((vec_id // 100) % 2 AS INTEGER) AS variant, 't' || ((vec_id // 200) % 4) AS tenant_id,
- 'question on ' || CASE WHEN (vec_id // 200) % 2 = 0 THEN 'sondage' ELSE 'amiante' END AS text, CAST(embedding AS DOUBLE[]) AS vector
+ 'p' || (vec_id // 800 % 2) AS project_id, 'question on ' || CASE WHEN (vec_id // 200) % 2 = 0 THEN 'sondage' ELSE 'amiante' END AS text, CAST(embedding AS DOUBLE[]) AS vector
  FROM embeddings WHERE vec_id % 100 = 0)"""

@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from ..operators import retrieval as R
 from . import corpus as C
 from .registry import query
+from .stats_queries import QUALITY
 
 TOKENS = r"regexp_extract_all(strip_accents(lower(replace(replace(text, 'œ', 'oe'), 'æ', 'ae'))), '[a-z0-9]+(?:[.,\-/][a-z0-9]+)*')"
-POSTINGS = f"""posted AS (SELECT tenant_id, point_id, token, count(*) AS tf, count(*) * 2.2::DOUBLE / (count(*) + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * any_value(n) / 256)) AS weight
- FROM (SELECT tenant_id, point_id, len(tokens) AS n, unnest(tokens) AS token FROM (SELECT tenant_id, point_id, {TOKENS} AS tokens FROM chunks WHERE point_id IS NOT NULL) t) u GROUP BY tenant_id, point_id, token)"""
+POSTINGS = f"""posted AS (SELECT tenant_id, project_id, point_id, token, count(*) AS tf, count(*) * 2.2::DOUBLE / (count(*) + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * any_value(n) / 256)) AS weight
+ FROM (SELECT tenant_id, project_id, point_id, len(tokens) AS n, unnest(tokens) AS token FROM (SELECT tenant_id, project_id, point_id, {TOKENS} AS tokens FROM chunks WHERE point_id IS NOT NULL) t) u GROUP BY tenant_id, project_id, point_id, token)"""
 IDF = """idf AS (SELECT token, count(*) AS df, ln(1 + ((SELECT count(*) FROM chunks WHERE point_id IS NOT NULL) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM posted GROUP BY token)"""
-ASKED = f"""asked AS (SELECT DISTINCT item_id AS query_id, 't' || (item_id % 4) AS tenant_id, unnest({TOKENS}) AS token FROM benchmark)"""
+ASKED = f"""asked AS (SELECT DISTINCT item_id AS query_id, 't' || (item_id % 4) AS tenant_id, 'src' || (item_id % 20) AS project_id, unnest({TOKENS}) AS token FROM benchmark)"""
 SPARSE = """sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (
- SELECT query_id, point_id, round(sum(weight * idf), 6) AS score FROM posted JOIN asked USING (tenant_id, token) JOIN idf USING (token) GROUP BY ALL) s QUALIFY rank <= 20)"""
+ SELECT query_id, point_id, round(sum(weight * idf), 6) AS score FROM posted JOIN asked USING (tenant_id, project_id, token) JOIN idf USING (token) GROUP BY ALL) s QUALIFY rank <= 20)"""
 UNIT = "list_transform({0}, lambda x: x / sqrt(list_dot_product({0}, {0})))"
 
 
 def dense_sql(threshold: float) -> str:
     cosine = f"round(list_dot_product({UNIT.format('vector')}, {UNIT.format('dense')}), 6)"
     return f"""{C.POINTS_SQL}, {C.QUESTIONS_SQL}, scores AS (SELECT q.query_id, q.variant, p.* EXCLUDE (dense), {cosine} AS score
- FROM points p JOIN questions q USING (tenant_id) WHERE {cosine} >= {threshold})"""
+ FROM points p JOIN questions q USING (tenant_id, project_id) WHERE {cosine} >= {threshold})"""
 
 
 def latest_sql(source: str, out: str, by: str = "query_id") -> str:
@@ -43,12 +44,14 @@ def ranked(by: str, order: str = "score DESC, point_id") -> str:
 
 @query(f"WITH {C.CHUNKS_SQL}, {POSTINGS} SELECT tenant_id, point_id, token, tf, round(weight, 6) AS weight FROM posted")
 def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return R.postings(C.chunks(spark, sf).where("point_id is not null")).withColumn("weight", F.round("weight", 6))
+    return R.postings(C.chunks(spark, sf).where("point_id is not null")).drop("project_id").withColumn("weight", F.round("weight", 6))
 
 
-def _sparse(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _sparse(spark: SparkSession, sf: str, questions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     points = C.chunks(spark, sf).where("point_id is not null")
     posted = R.postings(points)
+    if questions is not None:
+        posted = R.asked_only(posted, questions)
     return posted, R.token_idf(posted, points.agg(F.count("*").alias("n")))
 
 
@@ -59,12 +62,13 @@ def token_idf(spark: SparkSession, sf: str) -> DataFrame:
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     items = C.read_table(spark, sf, "benchmark")
-    return items.select(F.col("item_id").alias("query_id"), F.concat(F.lit("t"), (F.col("item_id") % 4).cast("string")).alias("tenant_id"), "text")
+    return items.select(F.col("item_id").alias("query_id"), F.concat(F.lit("t"), (F.col("item_id") % 4).cast("string")).alias("tenant_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("project_id"), "text")
 
 
 @query(f"WITH {C.CHUNKS_SQL}, {POSTINGS}, {IDF}, {ASKED}, {SPARSE} SELECT query_id, point_id, score, rank FROM sparse")
 def sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return R.sparse_topk(_items(spark, sf), *_sparse(spark, sf), k=20).select("query_id", "point_id", "score", "rank")
+    items = _items(spark, sf)
+    return R.sparse_topk(items, *_sparse(spark, sf, items), k=20).select("query_id", "point_id", "score", "rank")
 
 
 @query(f"WITH {dense_sql(0.2)} SELECT query_id, variant, point_id, score, {ranked('query_id, variant')} FROM scores QUALIFY rank <= 10")
@@ -74,14 +78,14 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {C.CHUNKS_SQL}, {POSTINGS}, {IDF}, {ASKED}, {SPARSE}, other AS (SELECT query_id, point_id, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, point_id) AS rank
- FROM (SELECT query_id, point_id, count(*) AS n FROM posted JOIN asked USING (tenant_id, token) GROUP BY ALL) o QUALIFY rank <= 20)
+ FROM (SELECT query_id, point_id, count(*) AS n FROM posted JOIN asked USING (tenant_id, project_id, token) GROUP BY ALL) o QUALIFY rank <= 20)
  SELECT query_id, point_id, score, {ranked('query_id')} FROM (SELECT query_id, point_id, round(sum(1 / (1.0::DOUBLE + rank)), 6) AS score
  FROM (SELECT query_id, point_id, rank FROM sparse UNION ALL SELECT query_id, point_id, rank FROM other) b GROUP BY ALL) f QUALIFY rank <= 20""")
 def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Two branches of one corpus: BM25, and the plain count of common tokens."""
-    posted, idf = _sparse(spark, sf)
     items = _items(spark, sf)
-    common = posted.join(R.query_tokens(items), ["tenant_id", "token"]).groupBy("query_id", "point_id").agg(F.count("*").alias("score"))
+    posted, idf = _sparse(spark, sf, items)
+    common = posted.join(R.query_tokens(items), [*R.SCOPE, "token"]).groupBy("query_id", "point_id").agg(F.count("*").alias("score"))
     return R.rrf_fuse([R.sparse_topk(items, posted, idf, 20), R.top(common, 20)], 20).select("query_id", "point_id", "score", "rank")
 
 
@@ -114,7 +118,7 @@ def search_diverse(spark: SparkSession, sf: str) -> DataFrame:
 PRIORITY = "list_position(['description', 'specification', 'mixed', 'heading', 'quantity', 'admin'], content_type) - 1"
 
 
-@query(f"""WITH {dense_sql(0.15)}, scoped AS (SELECT DISTINCT q.query_id, p.* EXCLUDE (dense), {PRIORITY} AS priority, 0.5::DOUBLE AS score FROM points p JOIN questions q USING (tenant_id)),
+@query(f"""WITH {dense_sql(0.15)}, scoped AS (SELECT DISTINCT q.query_id, p.* EXCLUDE (dense), {PRIORITY} AS priority, 0.5::DOUBLE AS score FROM points p JOIN questions q USING (tenant_id, project_id)),
  {latest_sql('scoped', 'scoped2')}, first_ AS (SELECT *, {ranked('query_id, lot', 'priority, position, point_id')} FROM scoped2 WHERE priority < 3 QUALIFY rank <= 5),
  pool AS (SELECT *, {ranked('query_id, variant')} FROM scores QUALIFY rank <= 250), {latest_sql('pool', 'kept', 'query_id, variant')},
  best AS (SELECT *, {ranked('query_id, point_id', 'score DESC, variant')} FROM (SELECT * EXCLUDE (rank) FROM kept) k QUALIFY rank = 1),
@@ -141,7 +145,7 @@ COSINE = f"round(list_dot_product({UNIT.format('a.dense')}, {UNIT.format('b.dens
 
 
 @query(f"""WITH {C.POINTS_SQL} SELECT a.point_id AS query_id, b.point_id, {COSINE} AS score, row_number() OVER (PARTITION BY a.point_id ORDER BY {COSINE} DESC, b.point_id) AS rank
- FROM points a JOIN points b ON a.tenant_id = b.tenant_id AND a.point_id <> b.point_id WHERE a.point_id % 100 = 0 AND {COSINE} >= 0.2 QUALIFY rank <= 5""")
+ FROM points a JOIN points b ON a.tenant_id = b.tenant_id AND a.project_id = b.project_id AND a.point_id <> b.point_id WHERE a.point_id % 100 = 0 AND {COSINE} >= 0.2 QUALIFY rank <= 5""")
 def similar_points(spark: SparkSession, sf: str) -> DataFrame:
     points = C.points(spark, sf)
     return R.find_similar(points.where("point_id % 100 = 0"), points, 5, 0.2).select("query_id", "point_id", "score", "rank")
@@ -152,22 +156,43 @@ def duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return R.duplicate_pairs(C.points(spark, sf), 0.3)
 
 
-@query(f"WITH {C.QUESTIONS_SQL} SELECT query_id, greatest(20 // count(*), 5) AS each FROM questions GROUP BY query_id")
+@query("""SELECT conv_id AS query_id, greatest(20, 5 * count(*) FILTER (WHERE role = 'user')) AS main_limit, greatest(20, 5 * count(*) FILTER (WHERE role <> 'user')) AS forced_limit
+ FROM conversations GROUP BY conv_id""")
 def query_limits(spark: SparkSession, sf: str) -> DataFrame:
-    return R.query_limits(C.vector_questions(spark, sf), 20)
+    """A user's turns are main queries, all others forced ones."""
+    turns = C.read_table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), (F.col("role") != "user").alias("forced"))
+    return R.query_limits(turns, 20)
+
+
+@query(f"""WITH {C.CHUNKS_SQL}, {dense_sql(0.1)},
+ hits AS (SELECT query_id, variant, point_id, score, {ranked('query_id, variant')} FROM scores QUALIFY rank <= 10),
+ rows_ AS (SELECT document_id AS point_id, position, char_count, {QUALITY} AS quality_score FROM chunks WHERE position = 0)
+ SELECT query_id, variant, point_id, score, rank, position, quality_score FROM hits JOIN rows_ USING (point_id)""")
+def semantic_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A point's chunk is the document of its number, by that document's first line."""
+    chunks = C.chunks(spark, sf).where("position = 0").withColumn("point_id", F.col("document_id"))
+    hits = R.semantic_search(C.vector_questions(spark, sf), C.points(spark, sf), chunks, 10, 0.1)
+    return hits.select("query_id", "variant", "point_id", "score", "rank", "position", "quality_score")
+
+
+@query(f"""WITH {dense_sql(0.1)} SELECT query_id, variant, point_id, score, {ranked('query_id, variant')} FROM scores
+ WHERE lot = '1' AND type = 'CCTP' QUALIFY rank <= 5""")
+def filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
+    points = R.filtered(C.points(spark, sf), lot="1", kind="CCTP")
+    return R.dense_topk(C.vector_questions(spark, sf), points, 5, 0.1).select("query_id", "variant", "point_id", "score", "rank")
 
 
 @query(f"""WITH {C.CHUNKS_SQL}, {POSTINGS}, {IDF}, {ASKED}, {SPARSE}, expected AS (SELECT item_id AS query_id, c.point_id FROM benchmark b JOIN chunks c
- ON c.tenant_id = 't' || (item_id % 4) AND c.point_id IS NOT NULL AND contains(c.text, b.text))
+ ON c.tenant_id = 't' || (item_id % 4) AND c.project_id = 'src' || (item_id % 20) AND c.point_id IS NOT NULL AND contains(c.text, b.text))
  SELECT e.query_id, min(s.rank) - 1 AS rank FROM expected e LEFT JOIN sparse s ON s.query_id = e.query_id AND s.point_id = e.point_id GROUP BY e.query_id""")
 def expected_rank(spark: SparkSession, sf: str) -> DataFrame:
     items = _items(spark, sf)
-    chunks = C.chunks(spark, sf).where("point_id is not null").select("tenant_id", "point_id", F.col("text").alias("chunk"))
-    expected = chunks.join(items, "tenant_id").where(F.contains("chunk", "text")).select("query_id", "point_id")
-    return R.expected_rank(R.sparse_topk(items, *_sparse(spark, sf), k=20), expected)
+    chunks = C.chunks(spark, sf).where("point_id is not null").select(*R.SCOPE, "point_id", F.col("text").alias("chunk"))
+    expected = chunks.join(items, list(R.SCOPE)).where(F.contains("chunk", "text")).select("query_id", "point_id")
+    return R.expected_rank(R.sparse_topk(items, *_sparse(spark, sf, items), k=20), expected)
 
 
-@query(f"""WITH {dense_sql(0.1)}, sized AS (SELECT tenant_id, count(*) AS n FROM points GROUP BY 1), hits AS (SELECT s.*, n, {ranked('query_id, variant')} FROM scores s JOIN sized USING (tenant_id) QUALIFY rank <= 20),
+@query(f"""WITH {dense_sql(0.1)}, sized AS (SELECT tenant_id, project_id, count(*) AS n FROM points GROUP BY ALL), hits AS (SELECT s.*, n, {ranked('query_id, variant')} FROM scores s JOIN sized USING (tenant_id, project_id) QUALIFY rank <= 20),
  once AS (SELECT * EXCLUDE (rank) FROM hits WHERE rank <= CASE WHEN n < 100 THEN 10 WHEN n < 500 THEN 15 ELSE 20 END
  QUALIFY row_number() OVER (PARTITION BY query_id, point_id ORDER BY score DESC, variant) = 1)
  SELECT query_id, point_id, score, sum(position * 20 + 7) OVER (PARTITION BY query_id ORDER BY score DESC, point_id ROWS UNBOUNDED PRECEDING) - 7 AS used FROM once QUALIFY used <= 5000""")

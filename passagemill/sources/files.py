@@ -12,14 +12,17 @@ MOST_BYTES = 50 * 1024 * 1024
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
-    """A verdict a file: extension, size, leading bytes. Only the first 1024 bytes are looked at."""
+    """A verdict a file: extension, size, leading bytes. Files above the size limit are never opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    head = F.substring(F.hex(F.substring("content", 1, 1024)), 1, 2048)
-    bad_pdf = (kind == "pdf") & ~head.contains("255044462D")
-    bad_zip = kind.isin("docx", "xlsx") & ~head.startswith("504B0304")
-    verdict = F.when(~kind.isin(EXTENSIONS), "extension").when(F.col("length") > MOST_BYTES, "size").when(bad_pdf | bad_zip, "content").otherwise("ok")
-    return files.select("path", "length", verdict.alias("verdict"))
+    unknown = F.when(~kind.isin(EXTENSIONS), "extension")
+    head = F.substring("content", 1, 1024)
+    bad_pdf = (kind == "pdf") & ~F.contains(head, F.lit(b"%PDF-"))
+    bad_zip = kind.isin("docx", "xlsx") & ~F.startswith(head, F.lit(b"PK\x03\x04"))
+    # The source takes a filter on length as a filter on files.
+    small = files.where(F.col("length") <= MOST_BYTES).select("path", "length", unknown.when(bad_pdf | bad_zip, "content").otherwise("ok").alias("verdict"))
+    large = files.where(F.col("length") > MOST_BYTES).select("path", "length", unknown.otherwise("size").alias("verdict"))
+    return small.unionByName(large)
 
 
 def pages_from_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,8 +14,8 @@ def test_rules_and_related(spark):
 
 
 def test_routing_keeps_tenants(spark):
-    points = spark.createDataFrame([(k, "ab"[k % 2], k, k, "L", "CR", "mixed", None, "mur", [1.0, k / 10]) for k in range(8)], "point_id long, tenant_id string, document_id long, position long, lot string, type string, content_type string, ingested_at long, text string, dense array<double>")
-    asked = spark.createDataFrame([(1, 0, "a", "Quels sont les murs", [1.0, 0.0]), (2, 0, "b", "mur", [1.0, 0.0])], "query_id long, variant int, tenant_id string, text string, vector array<double>")
+    points = spark.createDataFrame([(k, "ab"[k % 2], "p", k, k, "L", "CR", "mixed", None, "mur", [1.0, k / 10]) for k in range(8)], "point_id long, tenant_id string, project_id string, document_id long, position long, lot string, type string, content_type string, ingested_at long, text string, dense array<double>")
+    asked = spark.createDataFrame([(1, 0, "a", "p", "Quels sont les murs", [1.0, 0.0]), (2, 0, "b", "p", "mur", [1.0, 0.0])], "query_id long, variant int, tenant_id string, project_id string, text string, vector array<double>")
     hits = listing.run_search(asked, asked.where("query_id = 2"), points).collect()
     assert {h.query_id for h in hits} == {1, 2} and all(h.point_id % 2 == h.query_id - 1 for h in hits)
     assert not any(r.suspect for r in listing.search_passages(asked, points).collect())

@@ -11,19 +11,20 @@ from passagemill.plans import corpus as C  # noqa: F401
 from passagemill.sources import files
 from passagemill.streaming import ingest, rates
 
-POINT = "point_id long, tenant_id string, document_id long, position long, lot string, type string, content_type string, ingested_at long, text string, dense array<double>"
+POINT = "point_id long, tenant_id string, project_id string, document_id long, position long, lot string, type string, content_type string, ingested_at long, text string, dense array<double>"
 
 
 def points(spark, rows):
     return spark.createDataFrame(rows, POINT).repartition(3)
 
 
-def point(i, tenant="a", dense=(1.0, 0.0), text="", document=None, kind="CR", content="mixed", at=None):
-    return (i, tenant, document or i, i, "x", kind, content, at, text, list(dense))
+def point(i, tenant="a", dense=(1.0, 0.0), text="", document=None, kind="CR", content="mixed", at=None, project="p"):
+    return (i, tenant, project, document or i, i, "x", kind, content, at, text, list(dense))
 
 
 def questions(spark, rows):
-    return spark.createDataFrame(rows, "query_id long, variant int, tenant_id string, text string, vector array<double>")
+    full = [r if len(r) == 6 else (*r[:3], "p", *r[3:]) for r in rows]
+    return spark.createDataFrame(full, "query_id long, variant int, tenant_id string, project_id string, text string, vector array<double>")
 
 
 def test_bm25_weights(spark):
@@ -45,6 +46,29 @@ def test_no_hit_leaves_its_tenant(spark):
     assert {r.query_id for r in found[1].collect()} == {1}
 
 
+def test_no_hit_leaves_its_project(spark):
+    """String ids; the other projects of the tenant, and another tenant's project of the same name, hold better hits."""
+    kinds = "point_id string, tenant_id string, project_id string, document_id string, position long, lot string, type string, content_type string, ingested_at long, text string, dense array<double>"
+    rows = [(f"{t}-{p}-{k}", t, p, f"d{t}{p}{k // 2}", k, "x", "CCTP" if k % 2 else "etude_sol", "mixed", k, "mur porteur", [1.0, 0.5 if (t, p) == ("a", "p1") else 0.0]) for t in "ab" for p in ("p1", "p2") for k in range(6)]
+    own = spark.createDataFrame(rows, kinds).repartition(3)
+    asked = questions(spark, [(1, 0, "a", "p1", "mur", [1.0, 0.0])]).withColumn("query_id", F.lit("q1"))
+    posted = retrieval.postings(own)
+    idf = retrieval.token_idf(posted, own.agg(F.count("*").alias("n")))
+    found = [retrieval.dense_topk(asked, own, 5, 0.1), retrieval.sparse_topk(asked, posted, idf, 5), retrieval.search_documents(asked, own), retrieval.search_diverse(asked, own), retrieval.search_merged(asked, own), retrieval.search_by_lot(asked, own)]
+    for hits in found:
+        ids = [r.point_id for r in hits.select("point_id").collect()]
+        assert ids and all(i.startswith("a-p1-") for i in ids)
+    only = retrieval.dense_topk(asked, retrieval.filtered(own, lot="x", kind="CCTP"), 10, 0.1)
+    assert {r.point_id for r in only.collect()} == {"a-p1-1", "a-p1-3", "a-p1-5"}
+    assert {r.document_id for r in retrieval.latest_version(retrieval.dense_topk(asked, own, 9, 0.1)).where("type = 'etude_sol'").collect()} == {"dap12"}
+
+
+def test_query_limits(spark):
+    rows = [(1, False)] * 2 + [(1, True)] + [(2, False)] * 6 + [(3, True)] * 9
+    got = {r.query_id: (r.main_limit, r.forced_limit) for r in retrieval.query_limits(spark.createDataFrame(rows, "query_id int, forced boolean"), 20).collect()}
+    assert got == {1: (20, 20), 2: (30, 20), 3: (20, 45)}
+
+
 def test_results_do_not_depend_on_partitions(spark):
     rows = [point(k, dense=(math.cos(k), math.sin(k)), content=["mixed", "admin"][k % 2]) for k in range(40)]
     asked = questions(spark, [(1, 0, "a", "x", [1.0, 0.3])])
@@ -128,8 +152,19 @@ def test_json(spark):
     assert got[raw[1]].query == raw[1] and got[raw[2]].query == raw[2]
     judged = {r.raw: (r.sufficient, r.missing) for r in jsonops.parse_judgment(spark.createDataFrame([('{"verdict": " Insuffisant", "manque": "plan"}',), ("?",), ('{"verdict": 3}',)], "raw string")).collect()}
     assert list(judged.values()) == [(False, "plan"), (True, ""), (True, "")]
-    assert json.loads(jsonops.repaired('{"kpis": ["a", "b')) == {"kpis": ["a"]} or jsonops.repaired('{"kpis": ["a", "b') is not None
-    assert jsonops.repaired("nothing") is None
+    broken = ['{"kpis": ["a", "b', "nothing", "", '{"kpis": ["' + "k" * 300 + '"], "details": ["x", "y']
+    mended = [r.repaired for r in jsonops.repair_json(spark.createDataFrame([(k, t) for k, t in enumerate(broken)], "k int, raw string")).orderBy("k").collect()]
+
+    def plain(raw):
+        for n in range(min(len(raw), 200), 0, -1):
+            for end in jsonops.CLOSINGS:
+                try:
+                    if isinstance(value := json.loads(raw[:-n] + end), dict):
+                        return value
+                except ValueError:
+                    pass
+
+    assert [m and json.loads(m) for m in mended] == [plain(t) for t in broken] and mended[0] is not None and mended[1] is None
     flat = json.loads(jsonops.flattened('{"m": [{"description": "d1", "kpis": ["k"]}, {"details": ["x"]}]}'))
     assert flat == {"description": "d1", "kpis": ["k"], "details": ["x"], "schema": None}
 
@@ -138,8 +173,12 @@ def test_tables(spark):
     rows = [{"element": "Mur", "description": "brique", "quantite": "3 m²", "localisation": "RDC"}, {"element": "mûr", "description": "brique pleine", "quantite": "4 m²", "localisation": "R+1"}, {"element": "Dalle", "description": "", "quantite": "non précisé", "localisation": ""}]
     df = spark.createDataFrame([(1, ["Élément", "Description", "Quantité", "Localisation"], rows)], "id int, columns array<string>, rows array<map<string,string>>")
     names = ["element", "description", "quantite", "localisation"]
-    assert jsonops.merged_rows(["Element", "Description", "Quantité", "Localisation"], rows[:2]) == [dict(zip(names, ["Mur", "brique pleine", "3 m² + 4 m²", "RDC, R+1"], strict=True))]
-    assert [len(r["rows"]) for r in jsonops.table_rows(df).collect()] == [1]
+    merged = [r["rows"] for r in jsonops.table_rows(df).collect()]
+    assert merged == [[dict(zip(names, ["Mur", "brique pleine", "3 m² + 4 m²", "RDC, R+1"], strict=True))]]
+    few = df.select("columns", jsonops.merge_elements(F.expr("slice(rows, 1, 1)"), F.array(*map(F.lit, names))).alias("rows")).first()
+    assert few["rows"] == rows[:1]
+    again = spark.createDataFrame([([{"element": "A", "quantite": "1"}, {"element": "B"}, {"element": "a", "quantite": "1", "description": "d", "localisation": "RDC"}],)], "rows array<map<string,string>>")
+    assert again.select(jsonops.merge_elements(F.col("rows"), F.array(*map(F.lit, names))).alias("rows")).first()["rows"] == [{"element": "A", "quantite": "1", "description": "d"}, {"element": "B"}]
 
 
 def test_usage_and_gate(spark):
