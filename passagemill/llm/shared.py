@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,8 +43,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back with the schema that it had."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, "false")
+    # The shuffle files of this step have no further use once its table is there.
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     schema = df.schema
     del df
     return spark.read.schema(schema).parquet(path)
