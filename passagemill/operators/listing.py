@@ -85,9 +85,12 @@ def search_documents_list(documents: DataFrame, needle: str, folder_id=None) ->
     return rows.where(reduce(lambda a, b: a | b, (F.coalesce(F.lower(c).contains(needle.lower()), F.lit(False)) for c in named)))
 
 
-def filter_projects(projects: DataFrame, needle: str = "", phase: str | None = None, status: str | None = None) -> DataFrame:
-    """A substring of name or client, a phase, a status; favourites are flagged."""
+def filter_projects(projects: DataFrame, needle: str = "", phase: str | None = None, status: str | None = None, favourites: DataFrame | None = None) -> DataFrame:
+    """A substring of name or client, a phase, a status; ``favourite`` flags favourites(project_id), where given."""
     low = needle.lower()
+    if favourites is not None:
+        marked = favourites.select("project_id").distinct().withColumn("favourite", F.lit(True))
+        projects = projects.join(marked, "project_id", "left").na.fill(False, ["favourite"])
     rows = projects.where(F.lower("name").contains(low) | F.coalesce(F.lower("client").contains(low), F.lit(False)))
     rows = rows if phase is None else rows.where(F.col("phase") == phase)
     return rows if status is None else rows.where(F.col("status") == status)
@@ -102,6 +105,27 @@ def sort_documents(documents: DataFrame, pending: DataFrame, field: str = "filen
     return both.orderBy("__last", key.desc() if descending else key.asc(), "document_id").drop("__last")
 
 
+def sort_projects(projects: DataFrame, documents: DataFrame, field: str = "name", descending: bool = False) -> DataFrame:
+    """O3: projects with ``n_documents`` and ``place``, from 1, by name, n_documents or newest; ties by project_id."""
+    counts = documents.groupBy("project_id").agg(F.count("*").alias("n_documents"), F.max("ingested_at").alias("newest"))
+    rows = projects.join(counts, "project_id", "left").na.fill(0, ["n_documents"])
+    key = F.collate(F.col(field), "fr") if field == "name" else F.col(field)
+    # A report of all projects in one order: a row a project.
+    order = Window.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "project_id")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def newest_first(documents: DataFrame, by: str = "project_id") -> DataFrame:
+    """The documents of each project with ``place``, the newest first, ties by document_id."""
+    return documents.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc_nulls_last("ingested_at"), "document_id")))
+
+
+def chunk_rows(chunks: DataFrame, documents: DataFrame, projects: DataFrame) -> DataFrame:
+    """Chunk rows with their document's file name and type and their project's name; orphans are left out."""
+    own = documents.select("document_id", "project_id", "filename", "type")
+    return chunks.join(own, "document_id").join(projects.select("project_id", F.col("name").alias("project_name")), "project_id")
+
+
 def validate_classification(rows: DataFrame) -> DataFrame:
     """P10: an unknown type becomes autre, an unknown phase empty."""
     kind, phase = F.coalesce("type", F.lit("")), F.coalesce("phase", F.lit(""))
