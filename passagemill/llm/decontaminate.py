@@ -12,13 +12,15 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stage
+
 WINDOW = 10
 #: Item words in one automaton. A larger benchmark is taken in several, one pass each.
 AUTOMATON_WORDS = 400_000
@@ -28,6 +30,10 @@ NORMAL = bytes(_WORD)
 RUN = re.compile(rb"[^ ]+")
 
 
+#: Columns that a search adds.
+FOUND = ["n_words", "spans", "items"]
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(NORMAL).split() if text else []
 
@@ -146,17 +152,23 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _matches(index, column: str):
+    """The batch with n_words, spans and items; those of an earlier pass are joined with this one's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for batch in batches:
-            at = batch.schema.get_field_index(column)
+            earlier = "spans" in batch.schema.names
             counts, spans, items = [], [], []
-            for text in batch.column(at):
+            for row, text in enumerate(batch.column(batch.schema.get_field_index(column))):
                 words = words_of(text.as_py())
-                found = own.match(words)
-                counts.append(len(words)), spans.append([[*s] for s in found[0]]), items.append(sorted(found[1]))
+                found, of = own.match(words)
+                if earlier:
+                    found = merge_spans([*batch.column("spans")[row].as_py(), *found])
+                    of = of.union(batch.column("items")[row].as_py())
+                counts.append(len(words)), spans.append([[*s] for s in found]), items.append(sorted(of))
             more = [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "n_words", "spans", "items"])
+            kept = [c for c in batch.schema.names if c not in FOUND]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *more], [*kept, *FOUND])
 
     return run
 
@@ -200,27 +212,32 @@ def merge_spans(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def _contaminated(documents: DataFrame, blocks: Iterator[list[tuple[int, list[bytes]]]], window: int) -> DataFrame:
+    out = documents.drop(*FOUND)
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
+    schema = f"{names}, n_words long, spans array<array<long>>, items array<long>".removeprefix(", ")
+    block = next(blocks)
+    while block is not None:
+        more = next(blocks, None)
+        index = documents.sparkSession.sparkContext.broadcast(ItemIndex(block, window))
+        out = out.mapInArrow(_matches(index, "text"), schema)
+        if more is not None:
+            out = stage(out, "contamination")
+            index.unpersist()
+        block = more
+    return out
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """documents with n_words, spans (array of [first word, behind the last]) and items (item_ids).
 
-    benchmark(item_id, text) is read in blocks of at most ``automaton_words`` words. Each block's
-    automaton goes over all documents in one pass, which adds its spans and items to those before;
-    memory is bounded by a block. A null text has no words; a null item_id is left out; an empty
-    benchmark hits nothing. Other columns pass through; clashing names are replaced.
+    benchmark(item_id, text) is read in blocks of at most ``automaton_words`` words, the driver holding one
+    block. Each block's automaton goes over all documents in a pass that is written down before the next
+    one, and adds its spans and items to those before; so a worker holds one automaton at a time. A null
+    text has no words; a null item_id is left out; an empty benchmark hits nothing; null and repeated
+    doc_ids and repeated rows keep a row each. Other columns pass through; clashing names are replaced.
     """
-    out = documents.drop("n_words", "spans", "items")
-    context, first = documents.sparkSession.sparkContext, True
-    for block in _blocks(benchmark, automaton_words):
-        index = context.broadcast(ItemIndex(block, window))
-        held = out if first else out.withColumnsRenamed({"n_words": "n_words_", "spans": "spans_", "items": "items_"})
-        names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema)
-        now = held.mapInArrow(_matches(index, "text"), f"{names}, n_words long, spans array<array<long>>, items array<long>")
-        if not first:
-            merge = F.udf(lambda a, b: merge_spans([*a, *b]), "array<array<long>>")
-            now = now.withColumn("spans", merge("spans_", "spans"))
-            now = now.withColumn("items", F.array_distinct(F.concat("items_", "items"))).drop("n_words_", "spans_", "items_")
-        out, first = now, False
-    return out
+    return _contaminated(documents, _blocks(benchmark, automaton_words), window)
 
 
 def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,9 +255,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     names = [c for c in documents.columns if c not in ("n_words", "spans", "items")]
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
-    first, *more = islice(_blocks(benchmark, automaton_words), 2)
+    blocks = _blocks(benchmark, automaton_words)
+    first, *more = islice(blocks, 2)
     if more:
-        found = contamination(documents, benchmark, window, automaton_words)
+        found = _contaminated(documents, chain([first, *more], blocks), window)
         out = found.mapInArrow(_without_spans, schema)
     else:
         index = documents.sparkSession.sparkContext.broadcast(ItemIndex(first, window))

@@ -388,6 +388,42 @@ def test_language_model_adds_up_to_one():
     assert total == pytest.approx(1) and n > v
 
 
+def test_base_counts_of_quality_against_counting(spark):
+    rng = random.Random(14)
+    parts = ["word", "#tag", "a*b", "$5", "100%", "x&y", "<b>", "|", "été", "\u00a0x", "\t", "\n", "\n\n", " ", "same line\n", "\x0b", "\x85y"]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(90, None), (91, ""), (None, "a b"), (7, "again")]
+    import re
+
+    want = []
+    for i, t in rows:
+        words = [w for w in re.split("[\x20\x09-\x0d]+", t or "") if w]
+        lines = [x for x in (t or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        want.append((i, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines))))
+    got = quality.assess(frame(spark, rows, source=None)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_ftrl_against_a_plain_version():
+    rng = random.Random(15)
+    rows = [(np.unique([0, *(rng.randrange(1, 40) for _ in range(8))]), rng.randint(0, 1)) for _ in range(300)]
+    model, z, n = toxicity.Ftrl(), defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == 0 else model.l1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((model.beta + math.sqrt(n[i])) / model.alpha + model.l2)
+
+    for at, label in rows:
+        model.learn(at, label)
+        w = {i: weight(i) for i in at.tolist()}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in at.tolist():
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / model.alpha
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+    at, w = model.sparse()
+    assert dict(zip(at.tolist(), w.tolist())) == pytest.approx({i: weight(i) for i in sorted(z) if i == 0 or abs(z[i]) > model.l1})
+
+
 def test_toxicity_learns_and_is_blind_to_held_out_labels(spark):
     rng = random.Random(12)
     calm, harsh = [f"calm{k}" for k in range(80)], ["nasty", "vile", "awful"]
