@@ -280,6 +280,7 @@ def test_edit_distance():
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))
         most, want = rng.randint(0, 12), plain(a, b)
         got = line_dedup.edit_distance(a, b, most)
+        assert line_dedup.may_be_similar(a, b, want) and line_dedup.may_be_similar(a, b, want + 1)
         assert got == want if want <= most else got > most
 
 
