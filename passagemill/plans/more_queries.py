@@ -368,3 +368,42 @@ def markdown_tables(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {C.POINTS_SQL} SELECT point_id FROM points WHERE tenant_id = 't1' AND document_id = 5")
 def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return files.point_lookup(C.points(spark, sf), "t1", document_id=5).select("point_id")
+
+
+@query("""WITH t AS (SELECT o_custkey AS question_id, count(*) AS n FROM orders GROUP BY 1)
+ SELECT c_custkey AS question_id, CASE WHEN c_custkey % 7 = 0 THEN 'failed' WHEN c_custkey % 5 = 0 THEN 'search_error' WHEN c_custkey % 3 = 0 THEN 'no_context' ELSE 'answered' END AS outcome, n
+ FROM customer LEFT JOIN t ON question_id = c_custkey""")
+def question_records(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("question_id")
+    states = C.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("question_id"))
+    states = states.select("question_id", (i % 7 == 0).alias("failed"), F.when(i % 5 == 0, "timeout").alias("error"), F.when(i % 3 == 0, "").otherwise("block").alias("context_block"))
+    totals = C.read_table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("question_id")).agg(F.count("*").alias("n"))
+    return usage.question_records(states, totals).select("question_id", "outcome", "n")
+
+
+@query(f"""WITH {C.CHUNKS_SQL}, k AS (SELECT document_id % 50 AS query_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS key, document_id * 1000 + position AS seq, char_count AS score, filename || ', p.' || page AS place FROM chunks),
+ p AS (SELECT query_id, key, place, min(seq) AS seen FROM k GROUP BY ALL), b AS (SELECT query_id, key, first(seq ORDER BY score DESC, seq) AS seq, first(place ORDER BY score DESC, seq) AS place FROM k GROUP BY ALL),
+ o AS (SELECT b.query_id, b.key, string_agg(p.place, ' ; ' ORDER BY p.seen) AS others FROM b JOIN p ON p.query_id = b.query_id AND p.key = b.key AND p.place <> b.place GROUP BY ALL)
+ SELECT b.query_id, b.seq, '[' || b.place || CASE WHEN o.others IS NULL THEN '' ELSE ' ; aussi : ' || o.others END || ']' AS header FROM b LEFT JOIN o ON o.query_id = b.query_id AND o.key = b.key""")
+def passage_headers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = C.chunks(spark, sf).withColumns({"query_id": F.col("document_id") % 50, "seq": F.col("document_id") * 1000 + F.col("position"), "score": F.col("char_count")})
+    return context.passage_header(context.merge_article_copies(rows)).select("query_id", "seq", "header")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, CASE event_id % 6 WHEN 0 THEN 'bad' WHEN 1 THEN 'ping' WHEN 2 THEN 'other' ELSE 'token' END AS kind, event_id % 97 = 5 AS done FROM events),
+ d AS (SELECT *, max(done::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS closed FROM e)
+ SELECT user_id AS stream_id, count(*) AS n, sum(event_id) AS total FROM d WHERE closed = 0 AND kind = 'token' GROUP BY user_id""")
+def stream_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Data lines of each user's event stream up to [DONE]; bad JSON, comments and other keys go."""
+    i = F.col("event_id")
+    value = lambda key: F.concat(F.lit(f'data: {{"{key}": '), i.cast("string"), F.lit("}"))
+    line = F.when(i % 97 == 5, "data: [DONE]").when(i % 6 == 0, "data: {bad").when(i % 6 == 1, ": ping").when(i % 6 == 2, value("other")).otherwise(value("token"))
+    rows = C.read_table(spark, sf, "events").select(F.col("user_id").alias("stream_id"), i.alias("n"), line.alias("line"))
+    read = files.sse_parse(rows, ("token",)).where(F.size("event") > 0)
+    return read.groupBy("stream_id").agg(F.count("*").alias("n"), F.sum(F.try_element_at("event", F.lit("token")).cast("long")).alias("total"))
+
+
+@query(f"WITH {C.CHUNKS_SQL} SELECT document_id, position, char_count FROM chunks ORDER BY char_count DESC, document_id, position LIMIT 25")
+def longest_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """A top-k report."""
+    return C.chunks(spark, sf).orderBy(F.desc("char_count"), "document_id", "position").limit(25).select("document_id", "position", "char_count")
