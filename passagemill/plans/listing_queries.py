@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import listing as L
+from ..operators import retrieval as R
 from ..operators import stats as S
 from . import corpus as C
 from .registry import query
+from .retrieval_queries import benchmark_questions, sparse_index
 from .stats_queries import QUALITY
 
 
@@ -62,8 +64,11 @@ def question_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def quantity_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    """Price lists of the corpus for the benchmark's questions, whose hits are their tenants' first chunks."""
+    """Price lists of the corpus for the benchmark's questions, whose hits are their 20 best chunks by BM25."""
     chunks = C.chunks(spark, sf)
-    items = C.read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit("").alias("rewritten"))
-    hits = chunks.where("position = 0").withColumn("query_id", F.col("document_id") % 40)
+    questions = benchmark_questions(spark, sf)
+    posted, idf = sparse_index(spark, sf, questions)
+    found = R.sparse_topk(questions, posted, idf, 20).select("query_id", "point_id")
+    hits = chunks.join(found, "point_id")
+    items = questions.select("query_id", "text", F.lit("").alias("rewritten"))
     return L.quantity_enrichment(hits, items, chunks).select("query_id", "filename", "position", "score")

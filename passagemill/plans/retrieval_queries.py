@@ -47,7 +47,7 @@ def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
     return R.postings(C.chunks(spark, sf).where("point_id is not null")).drop("project_id").withColumn("weight", F.round("weight", 6))
 
 
-def _sparse(spark: SparkSession, sf: str, questions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def sparse_index(spark: SparkSession, sf: str, questions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     points = C.chunks(spark, sf).where("point_id is not null")
     posted = R.postings(points)
     if questions is not None:
@@ -57,18 +57,18 @@ def _sparse(spark: SparkSession, sf: str, questions: DataFrame | None = None) ->
 
 @query(f"WITH {C.CHUNKS_SQL}, {POSTINGS}, {IDF} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def token_idf(spark: SparkSession, sf: str) -> DataFrame:
-    return _sparse(spark, sf)[1].withColumn("idf", F.round("idf", 6))
+    return sparse_index(spark, sf)[1].withColumn("idf", F.round("idf", 6))
 
 
-def _items(spark: SparkSession, sf: str) -> DataFrame:
+def benchmark_questions(spark: SparkSession, sf: str) -> DataFrame:
     items = C.read_table(spark, sf, "benchmark")
     return items.select(F.col("item_id").alias("query_id"), F.concat(F.lit("t"), (F.col("item_id") % 4).cast("string")).alias("tenant_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("project_id"), "text")
 
 
 @query(f"WITH {C.CHUNKS_SQL}, {POSTINGS}, {IDF}, {ASKED}, {SPARSE} SELECT query_id, point_id, score, rank FROM sparse")
 def sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
-    items = _items(spark, sf)
-    return R.sparse_topk(items, *_sparse(spark, sf, items), k=20).select("query_id", "point_id", "score", "rank")
+    items = benchmark_questions(spark, sf)
+    return R.sparse_topk(items, *sparse_index(spark, sf, items), k=20).select("query_id", "point_id", "score", "rank")
 
 
 @query(f"WITH {dense_sql(0.2)} SELECT query_id, variant, point_id, score, {ranked('query_id, variant')} FROM scores QUALIFY rank <= 10")
@@ -83,8 +83,8 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
  FROM (SELECT query_id, point_id, rank FROM sparse UNION ALL SELECT query_id, point_id, rank FROM other) b GROUP BY ALL) f QUALIFY rank <= 20""")
 def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Two branches of one corpus: BM25, and the plain count of common tokens."""
-    items = _items(spark, sf)
-    posted, idf = _sparse(spark, sf, items)
+    items = benchmark_questions(spark, sf)
+    posted, idf = sparse_index(spark, sf, items)
     common = posted.join(R.query_tokens(items), [*R.SCOPE, "token"]).groupBy("query_id", "point_id").agg(F.count("*").alias("score"))
     return R.rrf_fuse([R.sparse_topk(items, posted, idf, 20), R.top(common, 20)], 20).select("query_id", "point_id", "score", "rank")
 
@@ -186,10 +186,10 @@ def filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
  ON c.tenant_id = 't' || (item_id % 4) AND c.project_id = 'src' || (item_id % 20) AND c.point_id IS NOT NULL AND contains(c.text, b.text))
  SELECT e.query_id, min(s.rank) - 1 AS rank FROM expected e LEFT JOIN sparse s ON s.query_id = e.query_id AND s.point_id = e.point_id GROUP BY e.query_id""")
 def expected_rank(spark: SparkSession, sf: str) -> DataFrame:
-    items = _items(spark, sf)
+    items = benchmark_questions(spark, sf)
     chunks = C.chunks(spark, sf).where("point_id is not null").select(*R.SCOPE, "point_id", F.col("text").alias("chunk"))
     expected = chunks.join(items, list(R.SCOPE)).where(F.contains("chunk", "text")).select("query_id", "point_id")
-    return R.expected_rank(R.sparse_topk(items, *_sparse(spark, sf, items), k=20), expected)
+    return R.expected_rank(R.sparse_topk(items, *sparse_index(spark, sf, items), k=20), expected)
 
 
 @query(f"""WITH {dense_sql(0.1)}, sized AS (SELECT tenant_id, project_id, count(*) AS n FROM points GROUP BY ALL), hits AS (SELECT s.*, n, {ranked('query_id, variant')} FROM scores s JOIN sized USING (tenant_id, project_id) QUALIFY rank <= 20),
