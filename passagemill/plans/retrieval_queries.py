@@ -175,21 +175,22 @@ def semantic_search(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("query_id", "variant", "point_id", "score", "rank", "position", "quality_score")
 
 
-@query(f"""WITH {dense_sql(0.1)} SELECT query_id, variant, point_id, score, {ranked('query_id, variant')} FROM scores
- WHERE lot = '1' AND type = 'CCTP' QUALIFY rank <= 5""")
+@query(f"""WITH {dense_sql(-1.0)} SELECT query_id, variant, point_id, score, {ranked('query_id, variant')} FROM scores
+ WHERE type = 'CCTP' QUALIFY rank <= 5""")
 def filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
-    points = R.filtered(C.points(spark, sf), lot="1", kind="CCTP")
-    return R.dense_topk(C.vector_questions(spark, sf), points, 5, 0.1).select("query_id", "variant", "point_id", "score", "rank")
+    points = R.filtered(C.points(spark, sf), kind="CCTP")
+    return R.dense_topk(C.vector_questions(spark, sf), points, 5, -1.0).select("query_id", "variant", "point_id", "score", "rank")
 
 
-@query(f"""WITH {C.CHUNKS_SQL}, {POSTINGS}, {IDF}, {ASKED}, {SPARSE}, expected AS (SELECT item_id AS query_id, c.point_id FROM benchmark b JOIN chunks c
- ON c.tenant_id = 't' || (item_id % 4) AND c.project_id = 'src' || (item_id % 20) AND c.point_id IS NOT NULL AND contains(c.text, b.text))
+@query(f"""WITH {C.CHUNKS_SQL}, {POSTINGS}, {IDF}, {ASKED}, {SPARSE.replace('tenant_id, project_id, token', 'tenant_id, token')}, expected AS (SELECT item_id AS query_id, c.point_id FROM benchmark b JOIN chunks c
+ ON c.tenant_id = 't' || (item_id % 4) AND c.point_id IS NOT NULL AND contains(c.text, b.text))
  SELECT e.query_id, min(s.rank) - 1 AS rank FROM expected e LEFT JOIN sparse s ON s.query_id = e.query_id AND s.point_id = e.point_id GROUP BY e.query_id""")
 def expected_rank(spark: SparkSession, sf: str) -> DataFrame:
-    items = benchmark_questions(spark, sf)
-    chunks = C.chunks(spark, sf).where("point_id is not null").select(*R.SCOPE, "point_id", F.col("text").alias("chunk"))
-    expected = chunks.join(items, list(R.SCOPE)).where(F.contains("chunk", "text")).select("query_id", "point_id")
-    return R.expected_rank(R.sparse_topk(items, *sparse_index(spark, sf, items), k=20), expected)
+    """Questions to a whole tenant: the scope is a parameter."""
+    items, scope = benchmark_questions(spark, sf), ("tenant_id",)
+    chunks = C.chunks(spark, sf).where("point_id is not null").select(*scope, "point_id", F.col("text").alias("chunk"))
+    expected = chunks.join(items, list(scope)).where(F.contains("chunk", "text")).select("query_id", "point_id")
+    return R.expected_rank(R.sparse_topk(items, *sparse_index(spark, sf, items), k=20, scope=scope), expected)
 
 
 @query(f"""WITH {dense_sql(0.1)}, sized AS (SELECT tenant_id, project_id, count(*) AS n FROM points GROUP BY ALL), hits AS (SELECT s.*, n, {ranked('query_id, variant')} FROM scores s JOIN sized USING (tenant_id, project_id) QUALIFY rank <= 20),
