@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
-from .retrieval import SCOPE, postings
+from .sparse import SCOPE, postings
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:

@@ -15,19 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.patterns import CONTENT_PRIORITY, DIAGNOSTIC_TERMS, VERSIONED_TYPES
+from . import dense, sparse
 from .stats import scored
 
-K1, B, MEAN_LENGTH = 1.2, 0.75, 256
-SCOPE = ("tenant_id", "project_id")
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def unit(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+SCOPE = sparse.SCOPE
 
 
 def top(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), order: list[Column] | None = None) -> DataFrame:
@@ -36,17 +27,20 @@ def top(hits: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), order: lis
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def with_points(hits: DataFrame, points: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFrame:
+    """Hits with the other columns of their points; vectors are not read again."""
+    return points.drop("dense").join(hits, [*scope, "point_id"])
+
+
 def dense_scores(questions: DataFrame, points: DataFrame, threshold: float, scope: tuple[str, ...] = SCOPE) -> DataFrame:
     """Cosine of each question variant and point of its scope, at ``threshold`` or more."""
-    asked = questions.select("query_id", "variant", *scope, unit(F.col("vector")).alias("__q"))
-    known = points.withColumn("__p", unit(F.col("dense"))).drop("dense")
-    pairs = known.join(asked, list(scope)).withColumn("score", F.round(dot(F.col("__q"), F.col("__p")), 6))
-    return pairs.where(F.col("score") >= threshold).drop("__q", "__p")
+    return with_points(dense.hits(questions, points, threshold, scope), points, scope)
 
 
 def dense_topk(questions: DataFrame, points: DataFrame, k: int, threshold: float, scope: tuple[str, ...] = SCOPE) -> DataFrame:
-    """R1."""
-    return top(dense_scores(questions, points, threshold, scope), k, ("query_id", "variant"))
+    """The k best of each question variant; only these are joined with their points' columns."""
+    best = top(dense.hits(questions, points, threshold, scope, k), k, ("query_id", "variant"))
+    return with_points(best, points, scope)
 
 
 def filtered(points: DataFrame, lot: str | None = None, phase: str | None = None, kind: str | None = None) -> DataFrame:
@@ -56,46 +50,10 @@ def filtered(points: DataFrame, lot: str | None = None, phase: str | None = None
     return points
 
 
-def postings(points: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFrame:
-    """R2: (scope, point_id, token, tf, weight) of each point's text.
-
-    A point is one row, so its tokens are counted inside the row: sorted, each run of equal tokens is one
-    posting. Nothing is shuffled.
-    """
-    keys = [*scope, "point_id"]
-    rows = points.select(*keys, F.array_sort(T.tokenize(F.col("text"))).alias("__sorted")).where(F.size("__sorted") > 0)
-    n = F.size("__sorted")
-    opens = lambda i: (i == 0) | (F.get("__sorted", i) != F.get("__sorted", i - 1))
-    rows = rows.withColumn("__starts", F.filter(F.sequence(F.lit(0), n - 1), opens))
-    run = lambda at, k: F.struct(F.get("__sorted", at).alias("token"), (F.coalesce(F.get("__starts", k + 1), n) - at).cast("long").alias("tf"))
-    each = rows.select(*keys, n.alias("length"), F.explode(F.transform("__starts", run)).alias("t")).select(*keys, "length", "t.token", "t.tf")
-    tf = F.col("tf")
-    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / MEAN_LENGTH))
-    return each.select(*keys, "token", "tf", weight.alias("weight"))
-
-
-def token_idf(posted: DataFrame, n_points: DataFrame) -> DataFrame:
-    """(token, df, idf) with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); n_points has one row, N."""
-    df = posted.groupBy("token").agg(F.count("*").alias("df"))
-    n, d = F.col("n"), F.col("df")
-    return df.crossJoin(F.broadcast(n_points)).select("token", "df", F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("idf"))
-
-
-def query_tokens(questions: DataFrame, scope: tuple[str, ...] = SCOPE) -> DataFrame:
-    """Weight 1 for each distinct token; a question without tokens has no rows."""
-    return questions.select("query_id", *scope, F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token"))
-
-
-def asked_only(posted: DataFrame, questions: DataFrame) -> DataFrame:
-    """The postings of tokens that some question has; the rest is dropped before any shuffle."""
-    return posted.join(query_tokens(questions).select("token").distinct(), "token", "left_semi")
-
-
-def sparse_topk(questions: DataFrame, posted: DataFrame, idf: DataFrame, k: int, scope: tuple[str, ...] = SCOPE) -> DataFrame:
-    """The sum of weight times idf over common tokens of the question's scope."""
-    asked = query_tokens(questions, scope).join(idf.select("token", "idf"), "token")
-    pairs = posted.join(asked, [*scope, "token"])
-    return top(pairs.groupBy("query_id", "point_id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score")), k)
+def sparse_topk(questions: DataFrame, index: sparse.Index, k: int, scope: tuple[str, ...] = SCOPE) -> DataFrame:
+    """The k best points of the question's scope by BM25; blocks that can't reach them are not added up."""
+    lists = sparse.asked_lists(questions, index, scope)
+    return top(sparse.scores(sparse.needed_blocks(lists, k)), k).drop("common")
 
 
 def rrf_fuse(branches: list[DataFrame], limit: int) -> DataFrame:
@@ -133,22 +91,39 @@ def penalised(hits: DataFrame, questions: DataFrame, admin: bool = True) -> Data
     return hits.join(asked, "query_id").withColumn("score", F.round(F.col("score") * factor, 6)).drop("__text")
 
 
-def with_fallback(scores: DataFrame, first: tuple[float, int], second: tuple[float, int], by: tuple[str, ...] = ("query_id", "variant")) -> DataFrame:
-    """The best hits at the first threshold; of questions without any, those at the second.
+def ranked_hits(questions: DataFrame, points: DataFrame, first: tuple[float, int], second: tuple[float, int] | None = None, index: sparse.Index | None = None) -> DataFrame:
+    """The hits of each question variant at the first (threshold, limit), with their points' columns and ranks.
 
-    scores holds all pairs at the second threshold: one scoring pass serves both.
+    Questions that have none at all, in any variant, get those at the second. With an index, hits are those of
+    the vectors and those of BM25, fused (R5): the threshold admits vectors' hits only, the limit holds for
+    both branches and for what they give together, and a score is 1 at best.
     """
+    second = second or first
     (high, many), (low, few) = first, second
-    w = Window.partitionBy("query_id")
-    found = F.max((F.col("score") >= high).cast("int")).over(w) == 1
-    kept = scores.withColumn("__found", found).where((F.col("__found") & (F.col("score") >= high)) | (~F.col("__found") & (F.col("score") >= low)))
-    ranked = top(kept, max(many, few), by)
-    return ranked.where(F.col("rank") <= F.when(F.col("__found"), many).otherwise(few)).drop("__found")
-
-
-def search_documents(questions: DataFrame, points: DataFrame, limit: int = 10, high: float = 0.55, low: float = 0.35) -> DataFrame:
+    most = max(many, few)
+    by = ("query_id", "variant")
+    near = top(dense.hits(questions, points, min(high, low), SCOPE, most), most, by)
+    if index is None:
+        over = Window.partitionBy("query_id")
+        near = near.withColumn("__found", F.max((F.col("score") >= high).cast("int")).over(over) == 1)
+    else:
+        both = questions.withColumn("query_id", F.struct("query_id", "variant"))
+        words = sparse_topk(both, index, most).select("query_id.query_id", "query_id.variant", "point_id", "score", "rank")
+        scoped = words.join(questions.select("query_id", "variant", *SCOPE), list(by))
+        some = near.where(F.col("score") >= high).select("query_id").unionByName(words.select("query_id")).distinct()
+        near = near.join(some.withColumn("__found", F.lit(True)), "query_id", "left").na.fill(False, ["__found"])
+        scoped = scoped.select(*near.drop("__found").columns).withColumn("__found", F.lit(True))
+    limit = F.when(F.col("__found"), many).otherwise(few)
+    kept = near.where((F.col("score") >= F.when(F.col("__found"), high).otherwise(low)) & (F.col("rank") <= limit))
+    if index is not None:
+        fused = kept.unionByName(scoped.where(F.col("rank") <= limit)).groupBy(*SCOPE, *by, "point_id", "__found")
+        kept = top(fused.agg(F.round(F.sum(1 / (1.0 + F.col("rank"))), 6).alias("score")), most, by).where(F.col("rank") <= limit)
+    return with_points(kept.drop("__found"), points)
+
+
+def search_documents(questions: DataFrame, points: DataFrame, limit: int = 10, high: float = 0.55, low: float = 0.35, index: sparse.Index | None = None) -> DataFrame:
     """Up to 3 x limit hits a question, newest versions, penalties; ranked, not cut to limit."""
-    hits = with_fallback(dense_scores(questions.where("variant = 0"), points, low), (high, 3 * limit), (low, max(3 * limit, 20)))
+    hits = ranked_hits(questions.where("variant = 0"), points, (high, 3 * limit), (low, max(3 * limit, 20)), index)
     scored = penalised(latest_version(hits), questions)
     return top(scored, 3 * max(limit, 7))
 
@@ -165,7 +140,7 @@ def _priority(kind: Column) -> Column:
     return F.when(listed > 0, listed - 1).otherwise(2)
 
 
-def search_by_lot(questions: DataFrame, points: DataFrame, pool: int = 250, threshold: float = 0.3, cover: int = 5, relevant: int = 8) -> DataFrame:
+def search_by_lot(questions: DataFrame, points: DataFrame, pool: int = 250, threshold: float = 0.3, cover: int = 5, relevant: int = 8, index: sparse.Index | None = None) -> DataFrame:
     """Of each lot the first five chunks by content and position, then the eight most relevant others."""
     lot = F.coalesce(F.nullif("lot", F.lit("")), F.lit("unknown"))
     asked = questions.select("query_id", *SCOPE).distinct()
@@ -174,7 +149,7 @@ def search_by_lot(questions: DataFrame, points: DataFrame, pool: int = 250, thre
     covered = latest_version(rows, SCOPE).where("priority < 3")
     ranked = top(covered, cover, (*SCOPE, "lot"), [F.col("priority"), F.col("position"), F.col("point_id")])
     first = ranked.join(asked, list(SCOPE))
-    hits = latest_version(dense_topk(questions, points, pool, threshold), ("query_id", "variant"))
+    hits = latest_version(ranked_hits(questions, points, (threshold, pool), index=index), ("query_id", "variant"))
     best = top(hits, 1, ("query_id", "point_id"), [F.desc("score"), F.col("variant")]).withColumns({"lot": lot, "priority": _priority(F.col("content_type"))})
     others = penalised(best, questions, admin=False).join(first.select("query_id", "point_id"), ["query_id", "point_id"], "left_anti")
     second = top(others, relevant, ("query_id", "lot"), [F.col("priority"), F.desc("score"), F.col("point_id")])
@@ -182,9 +157,9 @@ def search_by_lot(questions: DataFrame, points: DataFrame, pool: int = 250, thre
     return first.select(*columns, F.lit("coverage").alias("part")).unionByName(second.select(*columns, F.lit("relevance").alias("part")))
 
 
-def search_merged(questions: DataFrame, points: DataFrame, limit: int = 10, threshold: float = 0.4, low: float = 0.35) -> DataFrame:
+def search_merged(questions: DataFrame, points: DataFrame, limit: int = 10, threshold: float = 0.4, low: float = 0.35, index: sparse.Index | None = None) -> DataFrame:
     """Variants merged: best score a point (W6), each variant's best hit first (W5), limit, penalties."""
-    hits = with_fallback(dense_scores(questions, points, low), (threshold, 3 * limit), (low, max(3 * limit, 20)))
+    hits = ranked_hits(questions, points, (threshold, 3 * limit), (low, max(3 * limit, 20)), index)
     hits = latest_version(hits, ("query_id", "variant"))
     lead = top(hits, 1, ("query_id", "variant")).select("query_id", "point_id").distinct().withColumn("reserved", F.lit(1))
     best = top(hits, 1, ("query_id", "point_id"), [F.desc("score"), F.col("variant")])
@@ -196,15 +171,12 @@ def search_merged(questions: DataFrame, points: DataFrame, limit: int = 10, thre
 def find_similar(chosen: DataFrame, points: DataFrame, k: int = 5, threshold: float = 0.25) -> DataFrame:
     """The k nearest other points of each chosen(point_id) in its scope."""
     asked = points.join(chosen.select("point_id"), "point_id", "left_semi").select(F.col("point_id").alias("query_id"), F.lit(0).alias("variant"), *SCOPE, F.col("dense").alias("vector"))
-    return top(dense_scores(asked, points, threshold).where("point_id != query_id"), k)
+    return top(dense_topk(asked, points, k + 1, threshold).where("point_id != query_id"), k)
 
 
 def duplicate_pairs(points: DataFrame, threshold: float = 0.92) -> DataFrame:
     """Pairs of one document with a cosine of threshold or more."""
-    a = points.select("document_id", F.col("point_id").alias("a"), unit(F.col("dense")).alias("va"))
-    b = a.select("document_id", F.col("a").alias("b"), F.col("va").alias("vb"))
-    pairs = a.join(b, "document_id").where("a < b").withColumn("score", F.round(dot(F.col("va"), F.col("vb")), 6))
-    return pairs.where(F.col("score") >= threshold).select("document_id", "a", "b", "score")
+    return dense.near_pairs(points, threshold, ["document_id"])
 
 
 def query_limits(questions: DataFrame, limit: int) -> DataFrame:
@@ -238,7 +210,7 @@ def section_search(sections: DataFrame, points: DataFrame, budget: int = 20000,
     its scope, once a point, kept by score while the running length fits (W9)."""
     n = points.groupBy(*SCOPE).agg(F.count("*").alias("n"))
     each = F.when(F.col("n") < sizes[0], 10).when(F.col("n") < sizes[1], 15).otherwise(20)
-    hits = top(dense_scores(sections, points, threshold), 20, ("query_id", "variant")).join(n, list(SCOPE)).where(F.col("rank") <= each)
+    hits = dense_topk(sections, points, 20, threshold).join(n, list(SCOPE)).where(F.col("rank") <= each)
     once = top(hits, 1, ("query_id", "point_id"), [F.desc("score"), F.col("variant")])
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
     used = F.sum(F.col("char_count") + 7).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 7

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import contained, dense, sparse
 from ..operators import retrieval as R
+from ..sources.shared import shared_path
 from . import corpus as C
 from .registry import query
 from .stats_queries import QUALITY
@@ -44,20 +46,23 @@ def ranked(by: str, order: str = "score DESC, point_id") -> str:
 
 @query(f"WITH {C.CHUNKS_SQL}, {POSTINGS} SELECT tenant_id, point_id, token, tf, round(weight, 6) AS weight FROM posted")
 def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return R.postings(C.chunks(spark, sf).where("point_id is not null")).drop("project_id").withColumn("weight", F.round("weight", 6))
+    return sparse.postings(C.chunks(spark, sf).where("point_id is not null")).drop("project_id").withColumn("weight", F.round("weight", 6))
 
 
-def sparse_index(spark: SparkSession, sf: str, questions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    points = C.chunks(spark, sf).where("point_id is not null")
-    posted = R.postings(points)
-    if questions is not None:
-        posted = R.asked_only(posted, questions)
-    return posted, R.token_idf(posted, points.agg(F.count("*").alias("n")))
+_INDEXES: dict[tuple, sparse.Index] = {}
+
+
+def corpus_index(spark: SparkSession, sf: str) -> sparse.Index:
+    """The index of the corpus: built when a session first asks for it, then read by all queries."""
+    key = (spark.sparkContext.applicationId, *sorted(C.read_table(spark, sf, "documents").inputFiles()))
+    if key not in _INDEXES:
+        _INDEXES[key] = sparse.build_index(C.chunks(spark, sf), shared_path(spark, "sparse-index"))
+    return _INDEXES[key]
 
 
 @query(f"WITH {C.CHUNKS_SQL}, {POSTINGS}, {IDF} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def token_idf(spark: SparkSession, sf: str) -> DataFrame:
-    return sparse_index(spark, sf)[1].withColumn("idf", F.round("idf", 6))
+    return sparse.token_idf(*corpus_index(spark, sf)).withColumn("idf", F.round("idf", 6))
 
 
 def benchmark_questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,8 +72,7 @@ def benchmark_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {C.CHUNKS_SQL}, {POSTINGS}, {IDF}, {ASKED}, {SPARSE} SELECT query_id, point_id, score, rank FROM sparse")
 def sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
-    items = benchmark_questions(spark, sf)
-    return R.sparse_topk(items, *sparse_index(spark, sf, items), k=20).select("query_id", "point_id", "score", "rank")
+    return R.sparse_topk(benchmark_questions(spark, sf), corpus_index(spark, sf), 20).select("query_id", "point_id", "score", "rank")
 
 
 @query(f"WITH {dense_sql(0.2)} SELECT query_id, variant, point_id, score, {ranked('query_id, variant')} FROM scores QUALIFY rank <= 10")
@@ -83,10 +87,9 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
  FROM (SELECT query_id, point_id, rank FROM sparse UNION ALL SELECT query_id, point_id, rank FROM other) b GROUP BY ALL) f QUALIFY rank <= 20""")
 def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Two branches of one corpus: BM25, and the plain count of common tokens."""
-    items = benchmark_questions(spark, sf)
-    posted, idf = sparse_index(spark, sf, items)
-    common = posted.join(R.query_tokens(items), [*R.SCOPE, "token"]).groupBy("query_id", "point_id").agg(F.count("*").alias("score"))
-    return R.rrf_fuse([R.sparse_topk(items, posted, idf, 20), R.top(common, 20)], 20).select("query_id", "point_id", "score", "rank")
+    items, index = benchmark_questions(spark, sf), corpus_index(spark, sf)
+    common = sparse.scores(sparse.asked_lists(items, index)).select("query_id", "point_id", F.col("common").alias("score"))
+    return R.rrf_fuse([R.sparse_topk(items, index, 20), R.top(common, 20)], 20).select("query_id", "point_id", "score", "rank")
 
 
 @query(f"WITH {dense_sql(0.2)}, {latest_sql('scores', 'kept')} SELECT query_id, variant, point_id, type, score FROM kept")
@@ -188,9 +191,8 @@ def filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
 def expected_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Questions to a whole tenant: the scope is a parameter."""
     items, scope = benchmark_questions(spark, sf), ("tenant_id",)
-    chunks = C.chunks(spark, sf).where("point_id is not null").select(*scope, "point_id", F.col("text").alias("chunk"))
-    expected = chunks.join(items, list(scope)).where(F.contains("chunk", "text")).select("query_id", "point_id")
-    return R.expected_rank(R.sparse_topk(items, *sparse_index(spark, sf, items), k=20, scope=scope), expected)
+    expected = contained.containing(items, C.chunks(spark, sf).where("point_id is not null"), scope)
+    return R.expected_rank(R.sparse_topk(items, corpus_index(spark, sf), 20, scope), expected)
 
 
 @query(f"""WITH {dense_sql(0.1)}, sized AS (SELECT tenant_id, project_id, count(*) AS n FROM points GROUP BY ALL), hits AS (SELECT s.*, n, {ranked('query_id, variant')} FROM scores s JOIN sized USING (tenant_id, project_id) QUALIFY rank <= 20),
@@ -200,3 +202,109 @@ def expected_rank(spark: SparkSession, sf: str) -> DataFrame:
 def section_search(spark: SparkSession, sf: str) -> DataFrame:
     points = C.points(spark, sf).withColumn("char_count", F.col("position") * 20)
     return R.section_search(C.vector_questions(spark, sf), points, 5000, 0.1).select("query_id", "point_id", "score", "used")
+
+
+#: Points with a vector and a text: the text is that of the document of the point's number.
+HYBRID_SQL = f"""{C.POINTS_SQL.replace('points AS', 'bare AS')}, points AS (SELECT b.*, d.text FROM bare b JOIN documents d ON d.doc_id = b.point_id),
+ {C.QUESTIONS_SQL.replace('questions AS', 'plain AS')}, questions AS (SELECT p.* EXCLUDE (text), CASE WHEN p.query_id % 2 = 0 THEN 'sondage ' ELSE 'amiante ' END || coalesce(substring(d.text, 1, 120), '') AS text
+ FROM plain p LEFT JOIN documents d ON d.doc_id = p.query_id * 200 + p.variant * 100)"""
+
+
+def hybrid_points(spark: SparkSession, sf: str) -> DataFrame:
+    texts = C.read_table(spark, sf, "documents").select(F.col("doc_id").alias("point_id"), "text")
+    return C.points(spark, sf).join(texts, "point_id")
+
+
+def hybrid_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The start of the document of the asking vector's number, behind the word that penalties look for."""
+    texts = C.read_table(spark, sf, "documents").select(F.col("doc_id").alias("own"), F.col("text").alias("said"))
+    rows = C.vector_questions(spark, sf).withColumn("own", F.col("query_id") * 200 + F.col("variant") * 100).join(texts, "own", "left")
+    word = F.when(F.col("query_id") % 2 == 0, "sondage ").otherwise("amiante ")
+    return rows.withColumn("text", F.concat(word, F.coalesce(F.substring("said", 1, 120), F.lit("")))).drop("own", "said")
+
+
+def hybrid_index(spark: SparkSession, sf: str) -> sparse.Index:
+    key = (spark.sparkContext.applicationId, "hybrid", *sorted(C.read_table(spark, sf, "documents").inputFiles()))
+    if key not in _INDEXES:
+        _INDEXES[key] = sparse.build_index(hybrid_points(spark, sf), shared_path(spark, "hybrid-index"))
+    return _INDEXES[key]
+
+
+_WORDS = TOKENS.replace("replace(text,", "replace(coalesce(text, ''),")
+#: Both branches with all ranks; BM25 by plain counting.
+BRANCHES_SQL = f"""posted AS (SELECT tenant_id, project_id, point_id, token, count(*) * 2.2::DOUBLE / (count(*) + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * any_value(n) / 256)) AS weight
+ FROM (SELECT tenant_id, project_id, point_id, len(tokens) AS n, unnest(tokens) AS token FROM (SELECT tenant_id, project_id, point_id, {_WORDS} AS tokens FROM points) t) u GROUP BY ALL),
+ idf AS (SELECT token, ln(1 + ((SELECT count(*) FROM points) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM posted GROUP BY token),
+ asked AS (SELECT DISTINCT query_id, variant, tenant_id, project_id, unnest({_WORDS}) AS token FROM questions),
+ words AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, point_id) AS rank FROM (
+ SELECT query_id, variant, point_id, round(sum(weight * idf), 6) AS score FROM posted JOIN asked USING (tenant_id, project_id, token) JOIN idf USING (token) GROUP BY ALL) s),
+ near AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, point_id) AS rank FROM (SELECT q.query_id, q.variant, p.point_id, round(list_dot_product({UNIT.format('vector')}, {UNIT.format('dense')}), 6) AS score
+ FROM points p JOIN questions q USING (tenant_id, project_id)) s)"""
+
+
+def fused_sql(where: str, high: float, many: int, low: float, few: int, out: str = "fused") -> str:
+    """ranked_hits in SQL: the limits of a question depend on whether it has any hit at the first ones."""
+    return f"""found AS (SELECT query_id, bool_or(hit) AS f FROM (SELECT query_id, false AS hit FROM questions UNION ALL SELECT query_id, score >= {high} FROM near WHERE {where} UNION ALL SELECT query_id, true FROM words WHERE {where}) h GROUP BY query_id),
+ branches AS (SELECT n.query_id, n.variant, n.point_id, n.rank, f FROM near n JOIN found USING (query_id) WHERE {where} AND n.score >= CASE WHEN f THEN {high} ELSE {low} END
+ UNION ALL SELECT w.query_id, w.variant, w.point_id, w.rank, f FROM words w JOIN found USING (query_id) WHERE {where}),
+ {out} AS (SELECT s.*, p.* EXCLUDE (point_id, dense, text), row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, point_id) AS rank FROM (
+ SELECT query_id, variant, point_id, f, round(sum(1 / (1.0::DOUBLE + rank)), 6) AS score FROM branches WHERE rank <= CASE WHEN f THEN {many} ELSE {few} END GROUP BY ALL) s
+ JOIN points p USING (point_id) QUALIFY rank <= CASE WHEN f THEN {many} ELSE {few} END)"""
+
+
+@query(f"WITH {HYBRID_SQL}, {BRANCHES_SQL}, {fused_sql('true', 0.2, 20, 0.2, 20)} SELECT query_id, variant, point_id, score, rank FROM fused")
+def hybrid_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors and BM25, fused by reciprocal ranks."""
+    hits = R.ranked_hits(hybrid_questions(spark, sf), hybrid_points(spark, sf), (0.2, 20), index=hybrid_index(spark, sf))
+    return hits.select("query_id", "variant", "point_id", "score", "rank")
+
+
+@query(f"""WITH {HYBRID_SQL}, {BRANCHES_SQL}, {fused_sql('variant = 0', 0.35, 30, 0.2, 30)}, {latest_sql('fused', 'kept')},
+ scored AS (SELECT query_id, point_id, round(score * {FACTOR} * {ADMIN}, 6) AS score FROM kept) SELECT *, {ranked('query_id')} FROM scored QUALIFY rank <= 30""")
+def hybrid_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """R6 with both branches."""
+    hits = R.search_documents(hybrid_questions(spark, sf), hybrid_points(spark, sf), 10, 0.35, 0.2, hybrid_index(spark, sf))
+    return hits.select("query_id", "point_id", "score", "rank")
+
+
+@query(f"""WITH {HYBRID_SQL}, {BRANCHES_SQL}, scoped AS (SELECT DISTINCT q.query_id, p.* EXCLUDE (dense, text), {PRIORITY} AS priority, 0.5::DOUBLE AS score FROM points p JOIN questions q USING (tenant_id, project_id)),
+ {latest_sql('scoped', 'scoped2')}, first_ AS (SELECT *, {ranked('query_id, lot', 'priority, position, point_id')} FROM scoped2 WHERE priority < 3 QUALIFY rank <= 5),
+ {fused_sql('true', 0.15, 250, 0.15, 250)}, {latest_sql('fused', 'kept', 'query_id, variant')},
+ best AS (SELECT *, {ranked('query_id, point_id', 'score DESC, variant')} FROM (SELECT * EXCLUDE (rank) FROM kept) k QUALIFY rank = 1),
+ others AS (SELECT query_id, lot, point_id, {PRIORITY} AS priority, round(score * {FACTOR}, 6) AS score FROM best b
+ WHERE NOT EXISTS (SELECT 1 FROM first_ f WHERE f.query_id = b.query_id AND f.point_id = b.point_id))
+ SELECT query_id, lot, point_id, score, rank, 'coverage' AS part FROM first_ UNION ALL
+ SELECT query_id, lot, point_id, score, {ranked('query_id, lot', 'priority, score DESC, point_id')}, 'relevance' FROM others QUALIFY rank <= 8""")
+def hybrid_by_lot(spark: SparkSession, sf: str) -> DataFrame:
+    """R9 with both branches."""
+    return R.search_by_lot(hybrid_questions(spark, sf), hybrid_points(spark, sf).drop("text"), 250, 0.15, index=hybrid_index(spark, sf))
+
+
+@query(f"""WITH {HYBRID_SQL}, {BRANCHES_SQL}, {fused_sql('true', 0.35, 30, 0.2, 30)}, {latest_sql('fused', 'kept', 'query_id, variant')},
+ lead_ AS (SELECT DISTINCT query_id, point_id FROM (SELECT query_id, point_id FROM kept QUALIFY row_number() OVER (PARTITION BY query_id, variant ORDER BY score DESC, point_id) = 1) l),
+ best AS (SELECT * EXCLUDE (rank) FROM kept QUALIFY row_number() OVER (PARTITION BY query_id, point_id ORDER BY score DESC, variant) = 1),
+ cut AS (SELECT b.* FROM best b LEFT JOIN lead_ l ON b.query_id = l.query_id AND b.point_id = l.point_id
+ QUALIFY row_number() OVER (PARTITION BY b.query_id ORDER BY l.point_id IS NULL, b.score DESC, b.point_id) <= 10),
+ scored AS (SELECT query_id, point_id, round(score * {FACTOR} * {ADMIN}, 6) AS score FROM cut) SELECT *, {ranked('query_id')} FROM scored""")
+def hybrid_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """R10 with both branches."""
+    hits = R.search_merged(hybrid_questions(spark, sf), hybrid_points(spark, sf), 10, 0.35, 0.2, hybrid_index(spark, sf))
+    return hits.select("query_id", "point_id", "score", "rank")
+
+
+#: Every tenth point again with its components bent by a fifth, every next one as it is.
+COPIES_SQL = """copied AS (SELECT point_id, tenant_id, project_id, position, text, dense FROM points UNION ALL SELECT point_id + 1000000, tenant_id, project_id, position, text,
+ CASE WHEN point_id % 10 = 0 THEN list_transform(dense, lambda x, i: x * CASE WHEN i % 2 = 1 THEN 1.2::DOUBLE ELSE 0.8::DOUBLE END) ELSE dense END FROM points WHERE point_id % 10 < 2)"""
+
+
+@query(f"""WITH {HYBRID_SQL}, {COPIES_SQL}, pairs AS (SELECT a.point_id AS a, b.point_id AS b, {COSINE} AS score, a.text AS ta, b.text AS tb, a.position AS pa, b.position AS pb
+ FROM copied a JOIN copied b ON a.tenant_id = b.tenant_id AND a.project_id = b.project_id AND a.point_id < b.point_id WHERE {COSINE} >= 0.92)
+ SELECT a, b, round(score, 4) AS score, substring(coalesce(ta, ''), 1, 150) AS a_preview, substring(coalesce(tb, ''), 1, 150) AS b_preview, pa AS a_position, pb AS b_position FROM pairs""")
+def project_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """R16 over whole projects: the points with a bent or an equal copy of every fifth."""
+    points = hybrid_points(spark, sf).select("point_id", *R.SCOPE, "position", "text", "dense")
+    bent = F.transform("dense", lambda x, i: x * F.when(i % 2 == 0, 1.2).otherwise(0.8))
+    again = points.where("point_id % 10 < 2").withColumn("dense", F.when(F.col("point_id") % 10 == 0, bent).otherwise(F.col("dense")))
+    points = points.unionByName(again.withColumn("point_id", F.col("point_id") + 1000000))
+    pairs = dense.with_previews(dense.project_duplicates(points), points.withColumn("page", F.lit(0)), R.SCOPE)
+    return pairs.select("a", "b", "score", "a_preview", "b_preview", "a_position", "b_position")

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from passagemill.operators import context, edits, jsonops, retrieval, stats, usage
+from passagemill.operators import context, dense, edits, jsonops, retrieval, sparse, stats, usage
 from passagemill.plans import corpus as C  # noqa: F401
 from passagemill.sources import files
 from passagemill.streaming import ingest, rates
@@ -28,33 +28,31 @@ def questions(spark, rows):
 
 
 def test_bm25_weights(spark):
-    got = {(r.point_id, r.token): r.weight for r in retrieval.postings(points(spark, [point(1, text="béton"), point(2, text="béton béton")])).collect()}
+    got = {(r.point_id, r.token): r.weight for r in sparse.postings(points(spark, [point(1, text="béton"), point(2, text="béton béton")])).collect()}
     assert got[1, "beton"] == pytest.approx(1.688, abs=1e-3) and got[2, "beton"] == pytest.approx(1.907, abs=1e-3)
 
 
-def test_no_hit_leaves_its_tenant(spark):
+def test_no_hit_leaves_its_tenant(spark, tmp_path):
     own = points(spark, [point(k, tenant="ab"[k % 2], text="mur porteur", dense=(1.0, k / 10)) for k in range(1, 20)])
     asked = questions(spark, [(1, 0, "a", "mur", [1.0, 0.0]), (1, 1, "a", "mur porteur", [0.9, 0.2]), (2, 0, "b", "rien", [0.0, 1.0])])
-    posted = retrieval.postings(own)
-    idf = retrieval.token_idf(posted, own.agg(F.count("*").alias("n")))
+    index = sparse.build_index(own, str(tmp_path))
     tenant = {r.point_id: r.tenant_id for r in own.collect()}
     of = {1: "a", 2: "b"}
-    found = [retrieval.dense_topk(asked, own, 5, 0.1), retrieval.sparse_topk(asked, posted, idf, 5), retrieval.search_documents(asked, own), retrieval.search_diverse(asked, own), retrieval.search_merged(asked, own), retrieval.search_by_lot(asked, own)]
+    found = [retrieval.dense_topk(asked, own, 5, 0.1), retrieval.sparse_topk(asked, index, 5), retrieval.search_documents(asked, own), retrieval.search_diverse(asked, own), retrieval.search_merged(asked, own), retrieval.search_by_lot(asked, own), retrieval.ranked_hits(asked, own, (0.1, 5), index=index), retrieval.search_documents(asked, own, index=index), retrieval.search_merged(asked, own, index=index), retrieval.search_by_lot(asked, own, index=index)]
     for hits in found:
         rows = hits.select("query_id", "point_id").collect()
         assert rows and all(tenant[r.point_id] == of[r.query_id] for r in rows)
     assert {r.query_id for r in found[1].collect()} == {1}
 
 
-def test_no_hit_leaves_its_project(spark):
+def test_no_hit_leaves_its_project(spark, tmp_path):
     """String ids; the other projects of the tenant, and another tenant's project of the same name, hold better hits."""
     kinds = "point_id string, tenant_id string, project_id string, document_id string, position long, lot string, type string, content_type string, ingested_at long, text string, dense array<double>"
     rows = [(f"{t}-{p}-{k}", t, p, f"d{t}{p}{k // 2}", k, "x", "CCTP" if k % 2 else "etude_sol", "mixed", k, "mur porteur", [1.0, 0.5 if (t, p) == ("a", "p1") else 0.0]) for t in "ab" for p in ("p1", "p2") for k in range(6)]
     own = spark.createDataFrame(rows, kinds).repartition(3)
     asked = questions(spark, [(1, 0, "a", "p1", "mur", [1.0, 0.0])]).withColumn("query_id", F.lit("q1"))
-    posted = retrieval.postings(own)
-    idf = retrieval.token_idf(posted, own.agg(F.count("*").alias("n")))
-    found = [retrieval.dense_topk(asked, own, 5, 0.1), retrieval.sparse_topk(asked, posted, idf, 5), retrieval.search_documents(asked, own), retrieval.search_diverse(asked, own), retrieval.search_merged(asked, own), retrieval.search_by_lot(asked, own)]
+    index = sparse.build_index(own, str(tmp_path))
+    found = [retrieval.dense_topk(asked, own, 5, 0.1), retrieval.sparse_topk(asked, index, 5), retrieval.search_documents(asked, own), retrieval.search_diverse(asked, own), retrieval.search_merged(asked, own), retrieval.search_by_lot(asked, own), retrieval.ranked_hits(asked, own, (0.1, 5), index=index), retrieval.search_documents(asked, own, index=index), retrieval.search_merged(asked, own, index=index), retrieval.search_by_lot(asked, own, index=index)]
     for hits in found:
         ids = [r.point_id for r in hits.select("point_id").collect()]
         assert ids and all(i.startswith("a-p1-") for i in ids)
@@ -98,8 +96,9 @@ def test_latest_version_and_penalties(spark):
 
 def test_scope_filter_stands_below_the_ranking_window(spark):
     own, asked = points(spark, [point(1)]), questions(spark, [(1, 0, "a", "x", [1.0, 0.0])])
-    plan = retrieval.dense_topk(asked, own, 5, 0.1)._jdf.queryExecution().optimizedPlan().toString()
+    plan = retrieval.top(dense.hits(asked, own, 0.1, retrieval.SCOPE, 5), 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("Join")
+    assert "zip_with" not in plan and "aggregate(" not in plan
 
 
 PASSAGE = "query_id long, seq long, text string, score double, filename string, page int, lot string, position int"
