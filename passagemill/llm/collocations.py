@@ -54,8 +54,8 @@ def _hashes(langs: list[str], words: list[bytes]) -> np.ndarray:
     return np.array([xxh64_intdigest(word, seeds[lang]) for lang, word in zip(langs, words, strict=True)], np.uint64)
 
 
-def _places(hashes: np.ndarray) -> np.ndarray:
-    return (mix(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
+def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(hashes) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class _Words(dict):
@@ -114,7 +114,7 @@ class Block:
             packed = np.where(whole, grams << 32 | behind, 0)
             grams = np.unique(packed, return_inverse=True)[1] + (0 if (packed == 0).any() else 1)
             marks = pair(marks, hashes[behind])
-        bits = _places(marks)
+        bits = _places(marks, len(frequent).bit_length() + 2)
         may = (grams > 0) & (frequent[bits >> 3] >> (bits & 7) & 1).astype(bool)
         behind = np.append(ids[level - 1 :], np.zeros(level - 1, np.int64))
         goes_on = may & (behind > 0) & np.append(may[1:], False)
@@ -252,7 +252,7 @@ def _bit_map(frequent: DataFrame):
             marks = _hashes(langs, [row[0] for row in rows])
             for k in range(1, len(rows[0])):
                 marks = pair(marks, _hashes(langs, [row[k] for row in rows]))
-            bits = _places(marks)
+            bits = _places(marks, BITS)
             yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.left_shift(np.uint64(1), (bits & 63).astype(np.uint64)).view(np.int64))], ["at", "bits"])
 
     words = frequent.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -272,6 +272,11 @@ def with_count(rows: DataFrame, phrase: Column, counts: DataFrame, name: str, ho
     return rows.join(rest, ["lang", "__phrase"], "left").withColumn(name, F.coalesce("__hot", "__f")).drop("__phrase", "__hot", "__f")
 
 
+def score_of(a: str, left: str, right: str) -> Column:
+    """floor(1,000,000 a^2 / (l r)) in decimals, exact for counts below 10^15."""
+    return F.expr(f"(cast({a} as decimal(15,0)) * cast({a} as decimal(15,0)) * 1000000BD) div (cast({left} as decimal(18,0)) * cast({right} as decimal(18,0)))").cast("long")
+
+
 def collocations(documents: DataFrame, longest: int = 3, least: int = 10, covered: int = 50, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of 2 to ``longest`` words of each language.
 
@@ -307,8 +312,7 @@ def collocations(documents: DataFrame, longest: int = 3, least: int = 10, covere
             else:
                 rows = rows.withColumn(f"l{size}", F.col("total"))
             rows = with_count(rows, rest, counts[level - size], f"r{size}", above)
-            score = F.expr(f"(cast(a as decimal(15,0)) * cast(a as decimal(15,0)) * 1000000BD) div (cast(l{size} as decimal(18,0)) * cast(r{size} as decimal(18,0)))")
-            worst.append(F.struct(score.cast("long").alias("score"), F.lit(size).alias("size"), F.col(f"l{size}").alias("l"), F.col(f"r{size}").alias("r")))
+            worst.append(F.struct(score_of("a", f"l{size}", f"r{size}").alias("score"), F.lit(size).alias("size"), F.col(f"l{size}").alias("l"), F.col(f"r{size}").alias("r")))
         rows = rows.withColumn("w", F.array_min(F.array(*worst))).select("lang", "phrase", "a", "w.l", "w.r", "w.score")
         if level < longest:
             # A phrase inside a longer candidate is inside one with a word more, at its start or at its end.
