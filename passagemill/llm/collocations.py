@@ -1,13 +1,11 @@
 """Phrase collocation mining with stripes.
 
-A stripe is a prefix of words with an associative counter of the words that come next; whatever else comes
-(the end of a piece, or a word with which no frequent phrase can go on) is counted under the empty word. A
-task fills the stripes of a block of texts; stripes of equal prefixes are then merged elementwise. One merged
-stripe tells the frequent extensions of its prefix, how often the prefix stands anywhere (its total), and how
-often it stands inside its most frequent extension (its maximum), by which shorter phrases are dropped.
-
-Stripes of the empty prefix count the words of each language; their frequent extensions are the prefixes of
-the next level, and so on up to the longest phrase. A phrase can only be frequent if its first and its last
+A stripe is a prefix of words with an associative counter of the words that come next. A task fills the
+stripes of a block of texts; stripes of equal prefixes are then merged elementwise. One merged stripe tells
+the frequent extensions of its prefix and how often the most frequent one stands (its maximum), by which
+shorter phrases are dropped. Stripes of the empty prefix count the words of each language, which their total
+adds up; their frequent extensions are the prefixes of the next level, with these counts as their totals, and
+so on up to the longest phrase. A phrase can only be frequent if its first and its last
 words but one are, so a level passes over all other places: the frequent phrases of the level below are
 broadcast as a bit map of BITS bits, whatever their number. It may let others through, which are counted then
 and dropped by their count, so nothing is lost.
@@ -118,8 +116,8 @@ class Block:
         may = (grams > 0) & (frequent[bits >> 3] >> (bits & 7) & 1).astype(bool)
         behind = np.append(ids[level - 1 :], np.zeros(level - 1, np.int64))
         goes_on = may & (behind > 0) & np.append(may[1:], False)
-        at = np.flatnonzero(may)
-        keys, first, counts = np.unique(grams[at] << 32 | np.where(goes_on[at], behind[at], 0), return_index=True, return_counts=True)
+        at = np.flatnonzero(goes_on)
+        keys, first, counts = np.unique(grams[at] << 32 | behind[at], return_index=True, return_counts=True)
         at, nexts, gram = at[first], keys & 0xFFFFFFFF, keys >> 32
         new = np.flatnonzero(np.diff(gram, prepend=-1))
         own = at[new]
@@ -178,7 +176,7 @@ def _merge(least: int):
         stripe = np.repeat(np.arange(stripes.num_rows), np.diff(offsets))
         totals = np.zeros(stripes.num_rows, np.int64)
         np.add.at(totals, stripe, counts)
-        kept = np.flatnonzero((counts >= least) & pc.not_equal(nexts, "").to_numpy(zero_copy_only=False))
+        kept = np.flatnonzero(counts >= least)
         most = np.zeros(stripes.num_rows, np.int64)
         np.maximum.at(most, stripe[kept], counts[kept])
         starts = np.searchsorted(stripe[kept], np.arange(stripes.num_rows))
@@ -234,11 +232,11 @@ def merged_stripes(documents: DataFrame, level: int, least: int, frequent, hot:
 
 
 def phrases(stripes: DataFrame) -> DataFrame:
-    """(lang, phrase, prefix, word, total, f): the frequent extensions of merged stripes."""
-    each = stripes.select("lang", "prefix", "total", F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
+    """(lang, phrase, f): the frequent extensions of merged stripes."""
+    each = stripes.select("lang", "prefix", F.explode(F.arrays_zip("nexts", "counts")).alias("e"))
     word = F.col("e.nexts")
     phrase = F.when(F.col("prefix") == "", word).otherwise(F.concat_ws(" ", "prefix", word))
-    return each.select("lang", phrase.alias("phrase"), "prefix", word.alias("word"), "total", F.col("e.counts").alias("f"))
+    return each.select("lang", phrase.alias("phrase"), F.col("e.counts").alias("f"))
 
 
 def _bit_map(frequent: DataFrame):
@@ -284,15 +282,14 @@ def collocations(documents: DataFrame, longest: int = 3, least: int = 10, covere
     ``covered`` per cent of its count or more. The score is floor(1,000,000 a^2 / (l r)) of the worst cut.
     """
     stripes = {1: stage(merged_stripes(documents, 1, least, None, {}), "stripes-1")}
-    # Sums of a language that holds a third of all words have one row a part.
     per_lang = stage(stripes[1].groupBy("lang").agg(F.sum("total").alias("n")), "words-of-languages")
     words = per_lang.agg(F.sum("n")).first()[0] or 0
     above = max(words // HOT_SHARE, HOT_LEAST)
-    counts = {1: phrases(stripes[1]).select("lang", "phrase", "f")}
+    counts = {1: phrases(stripes[1])}
     for level in range(2, longest + 1):
         hot = {(r["lang"], r["phrase"]): -(-r["f"] // above) for r in counts[level - 1].where(F.col("f") > above).collect()}
         stripes[level] = stage(merged_stripes(documents, level, least, _bit_map(counts[level - 1]), hot), f"stripes-{level}")
-        counts[level] = phrases(stripes[level]).select("lang", "phrase", "f")
+        counts[level] = phrases(stripes[level])
 
     def cut(size: int) -> tuple[Column, Column]:
         parts = F.split("phrase", " ")
@@ -300,17 +297,11 @@ def collocations(documents: DataFrame, longest: int = 3, least: int = 10, covere
 
     found = []
     for level in range(2, longest + 1):
-        rows = phrases(stripes[level]).withColumn("a", F.col("f"))
-        # The last cut's first part is the stripe's prefix: the stripe has its total, if it is in one part.
-        hot = counts[level - 1].where(F.col("f") > above).select("lang", F.col("phrase").alias("prefix"), F.col("f").alias("__whole"))
-        rows = rows.join(F.broadcast(hot), ["lang", "prefix"], "left").withColumn("total", F.coalesce("__whole", "total")).drop("__whole", "f")
+        rows = counts[level].withColumnRenamed("f", "a")
         worst = []
         for size in range(1, level):
             first, rest = cut(size)
-            if size < level - 1:
-                rows = with_count(rows, first, counts[size], f"l{size}", above)
-            else:
-                rows = rows.withColumn(f"l{size}", F.col("total"))
+            rows = with_count(rows, first, counts[size], f"l{size}", above)
             rows = with_count(rows, rest, counts[level - size], f"r{size}", above)
             worst.append(F.struct(score_of("a", f"l{size}", f"r{size}").alias("score"), F.lit(size).alias("size"), F.col(f"l{size}").alias("l"), F.col(f"r{size}").alias("r")))
         rows = rows.withColumn("w", F.array_min(F.array(*worst))).select("lang", "phrase", "a", "w.l", "w.r", "w.score")
