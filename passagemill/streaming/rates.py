@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 VERDICT = "key string, seq long, allowed boolean, retry_after int"
 
@@ -43,25 +43,69 @@ def fixed_window(events: DataFrame, limit: int, window: float) -> DataFrame:
     return timed.repartition("key").sortWithinPartitions("key", "t", "seq").mapInPandas(run, VERDICT)
 
 
-def fixed_window_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """ST2 over a stream: a key's window is its state, which goes when no event comes for a window."""
+class WindowLimiter(StatefulProcessor):
+    """A key's open window and its events that the watermark has not passed yet.
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        begun, count = state.get if state.exists else (None, 0)
-        rows = pd.concat(batches).sort_values(["t", "seq"])
+    Events are judged in order of time and seq once the watermark has passed them, so the order of arrival does
+    not count, as long as they are not later than the watermark allows. A window that the watermark has left
+    behind is forgotten by a timer.
+    """
+
+    def __init__(self, limit: int, window: float):
+        self.limit, self.window = limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "begun double, count int")
+        self.waiting = handle.getListState("waiting", "t double, seq long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = math.inf
+        for batch in rows:
+            for t, seq in zip(batch["t"], batch["seq"], strict=True):
+                self.waiting.appendValue((float(t), int(seq)))
+                first = min(first, t)
+        self.handle.registerTimer(math.ceil(first * 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() / 1000
+        events = sorted(self.waiting.get()) if self.waiting.exists() else []
+        begun, count = self.open.get() if self.open.exists() else (None, 0)
         out = []
-        for seq, now in zip(rows["seq"], rows["t"], strict=True):
-            begun, count, allowed, wait = _judge(begun, count, now, limit, window)
+        for t, seq in [e for e in events if e[0] <= passed]:
+            begun, count, allowed, wait = _judge(begun, count, t, self.limit, self.window)
             out.append((key[0], seq, allowed, wait))
-        state.update((begun, count))
-        state.setTimeoutDuration(int(window * 1000))
-        yield pd.DataFrame(out, columns=["key", "seq", "allowed", "retry_after"])
+        later = events[len(out) :]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(math.ceil(later[0][0] * 1000))
+        else:
+            self.waiting.clear()
+        if begun is None or begun + self.window <= passed:
+            self.open.clear()
+        else:
+            self.open.update((begun, count))
+            self.handle.registerTimer(math.ceil((begun + self.window) * 1000))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "seq", "allowed", "retry_after"])
 
-    timed = events.select(F.col("key").cast("string").alias("key"), "seq", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return timed.groupBy("key").applyInPandasWithState(run, VERDICT, "begun double, count int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def fixed_window_stream(events: DataFrame, limit: int, window: float, late: str = "10 seconds") -> DataFrame:
+    """ST2 over a stream of events(key, seq, ts): the verdicts of fixed_window, in event time.
+
+    Events that come later than ``late`` behind the latest one are dropped. The session must keep its state in
+    RocksDB (``spark.sql.streaming.stateStore.providerClass``), which timers ask for.
+    """
+    timed = events.select(F.col("key").cast("string").alias("key"), "seq", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    timed = timed.withColumn("t", F.unix_micros("ts") / 1e6)
+    return timed.groupBy("key").transformWithStateInPandas(WindowLimiter(limit, window), VERDICT, "append", "EventTime")
 
 
 def paced_slots(events: DataFrame, interval: float) -> DataFrame:
