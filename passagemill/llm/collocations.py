@@ -104,27 +104,31 @@ class Block:
             new = np.flatnonzero(np.diff(lang, prepend=-1) | np.diff(part, prepend=-1))
             prefix = pa.array([""] * len(new), pa.string())
             return _batch(langs.take(pa.array(distinct[new])), prefix, part[new], new, words.take(pa.array(distinct)), counts)
-        # The numbers and hashes of the phrases of level - 1 words that begin at each place; 0: there is none.
-        grams, marks = ids, hashes[ids]
+        # Where a phrase of level - 1 words begins that may be frequent, and another one a word behind it.
+        whole, marks = ids > 0, hashes[ids]
         for k in range(1, level - 1):
             behind = np.append(ids[k:], np.zeros(k, np.int64))
-            whole = (grams > 0) & (behind > 0)
-            packed = np.where(whole, grams << 32 | behind, 0)
-            grams = np.unique(packed, return_inverse=True)[1] + (0 if (packed == 0).any() else 1)
+            whole &= behind > 0
             marks = pair(marks, hashes[behind])
         bits = _places(marks, len(frequent).bit_length() + 2)
-        may = (grams > 0) & (frequent[bits >> 3] >> (bits & 7) & 1).astype(bool)
+        may = whole & (frequent[bits >> 3] >> (bits & 7) & 1).astype(bool)
         behind = np.append(ids[level - 1 :], np.zeros(level - 1, np.int64))
-        goes_on = may & (behind > 0) & np.append(may[1:], False)
-        at = np.flatnonzero(goes_on)
-        keys, first, counts = np.unique(grams[at] << 32 | behind[at], return_index=True, return_counts=True)
-        at, nexts, gram = at[first], keys & 0xFFFFFFFF, keys >> 32
-        new = np.flatnonzero(np.diff(gram, prepend=-1))
-        own = at[new]
-        prefix = words.take(pa.array(ids[own]))
+        at = np.flatnonzero(may & (behind > 0) & np.append(may[1:], False))
+        # Phrases are numbered word by word; the values of each step spell them out again.
+        grams, steps, low = ids[at], [], 0xFFFFFFFF
         for k in range(1, level - 1):
-            prefix = pc.binary_join_element_wise(prefix, words.take(pa.array(ids[own + k])), " ")
-        lang = langs.take(pa.array(ids[own]))
+            values, grams = np.unique(grams << 32 | ids[at + k], return_inverse=True)
+            steps.append(values)
+        keys, counts = np.unique(grams << 32 | behind[at], return_counts=True)
+        nexts, gram = keys & low, keys >> 32
+        new = np.flatnonzero(np.diff(gram, prepend=-1))
+        first, rest = gram[new], []
+        for values in reversed(steps):
+            packed = values[first]
+            first, rest = packed >> 32, [packed & low, *rest]
+        prefix, lang = words.take(pa.array(first)), langs.take(pa.array(first))
+        for word in rest:
+            prefix = pc.binary_join_element_wise(prefix, words.take(pa.array(word)), " ")
         part = np.zeros(len(keys), np.int64)
         if hot:
             cut = np.array([hot.get(key, 1) for key in zip(lang.to_pylist(), prefix.to_pylist(), strict=True)], np.int64)
@@ -155,8 +159,7 @@ def _merged(batch: pa.RecordBatch) -> pa.RecordBatch:
     stripe = np.repeat(np.cumsum(new) - 1, lengths)
     coded = batch.column(3).flatten().dictionary_encode()
     keys, inverse = np.unique(stripe << 32 | coded.indices.to_numpy(), return_inverse=True)
-    sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, inverse, batch.column(4).flatten().to_numpy())
+    sums = np.bincount(inverse, weights=batch.column(4).flatten().to_numpy(), minlength=len(keys)).astype(np.int64)
     starts = np.searchsorted(keys >> 32, np.arange(len(rows)))
     lang, prefix, part = (batch.column(k).take(pa.array(rows)) for k in range(3))
     return _batch(lang, prefix, part.to_numpy(), starts, coded.dictionary.take(pa.array(keys & 0xFFFFFFFF)), sums)
@@ -174,8 +177,7 @@ def _merge(least: int):
         counts, nexts = stripes.column(4).flatten().to_numpy(), stripes.column(3).flatten()
         offsets = stripes.column(3).offsets.to_numpy() - stripes.column(3).offsets[0].as_py()
         stripe = np.repeat(np.arange(stripes.num_rows), np.diff(offsets))
-        totals = np.zeros(stripes.num_rows, np.int64)
-        np.add.at(totals, stripe, counts)
+        totals = np.bincount(stripe, weights=counts, minlength=stripes.num_rows).astype(np.int64)
         kept = np.flatnonzero(counts >= least)
         most = np.zeros(stripes.num_rows, np.int64)
         np.maximum.at(most, stripe[kept], counts[kept])
