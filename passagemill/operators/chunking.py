@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from . import pages
 
 SIZE, OVERLAP, TINY = 2500, 300, 250
 OPEN, CLOSE = "<!-- TABLE -->", "<!-- /TABLE -->"
@@ -124,23 +125,26 @@ def _one_or_none(cut: Callable[[str], list[str]], text: str) -> list[str]:
 ARTICLES, SHEETS, POINTS, REPORTS = ["CCTP", "DPGF", "etude_thermique"], ["fiche_technique"], ["CR"], ["rapport_amiante", "etude_sol"]
 
 
-def _splitter(ways: dict[str | None, Callable[[str], list[str]]]):
-    """Rows of pieces_schema() for (doc_id, text, type): the way of the type cuts sections, else there are none.
+def _cut(text: str, way: Callable[[str], list[str]] | None) -> Iterator[tuple[int, int, str]]:
+    """(position, section, piece) of a text.
 
     A section of at most SIZE characters stays whole; a text without sections goes by paragraphs.
     """
+    sections = way(text) if way else []
+    for i, section in enumerate(sections or ([text] if text.strip() else [])):
+        parts = [section] if sections and len(section) <= SIZE else pieces_of(section)
+        for j, part in enumerate(parts):
+            yield i + j, i, part
+
+
+def _splitter(ways: dict[str | None, Callable[[str], list[str]]]):
+    """Rows of pieces_schema() for (doc_id, text, type): the way of the type cuts sections, else there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text, kind in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                seq, way = 0, ways.get(kind)
-                sections = way(text) if way else []
-                for i, section in enumerate(sections or ([text] if text.strip() else [])):
-                    parts = [section] if sections and len(section) <= SIZE else pieces_of(section)
-                    for j, part in enumerate(parts):
-                        rows.append((doc, seq, i + j, i, part))
-                        seq += 1
+                rows += [(doc, seq, *cut) for seq, cut in enumerate(_cut(text, ways.get(kind)))]
             if rows:
                 kinds = [batch.schema.types[0], pa.int32(), pa.int32(), pa.int32(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "chunk_seq", "position", "section", "text"])
@@ -148,6 +152,26 @@ def _splitter(ways: dict[str | None, Callable[[str], list[str]]]):
     return run
 
 
+def _paged_splitter(ways: dict[str | None, Callable[[str], list[str]]]):
+    """_splitter for (doc_id, type, pages as structs of ord, page, text), whose rows bear type and page (C18) too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.schema.types
+            names = ["doc_id", "chunk_seq", "position", "section", "text", "type", "page"]
+            types = [kinds[0], pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), kinds[2].value_type.field("page").type]
+            for doc, kind, own in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                texts = [p["text"] or "" for p in own]
+                cuts = list(_cut("\n\n".join(p["text"] for p in own if p["text"] is not None), ways.get(kind)))
+                if not cuts:
+                    continue
+                found = pages.first_places((piece[: pages.SNIPPET] for *_, piece in cuts), texts)
+                rows = [(doc, seq, *cut, kind, own[found.get(cut[2][: pages.SNIPPET], 0)]["page"]) for seq, cut in enumerate(cuts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return run
+
+
 def document_texts(pages: DataFrame) -> DataFrame:
     """(doc_id, text): the pages of each document in order, a blank line between them."""
     ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
@@ -250,13 +274,20 @@ def diagnostic_report(texts: DataFrame) -> DataFrame:
     return by_paragraphs(texts).withColumns({"section_title": T.diagnostic_section(text), "content_type": T.diagnostic_content(text)})
 
 
-def find_page(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """The first page that holds the chunk's first 100 characters, else the document's first page."""
-    own = pages.select("doc_id", "ord", F.col("page").alias("at"), F.col("text").alias("page_text"))
-    pairs = chunks.select("doc_id", "chunk_seq", F.substring("text", 1, 100).alias("snippet")).join(own, "doc_id")
-    hit = F.min_by("at", F.when(F.col("page_text").contains(F.col("snippet")), F.col("ord")))
-    found = pairs.groupBy("doc_id", "chunk_seq").agg(F.coalesce(hit, F.min_by("at", "ord")).alias("page"))
-    return chunks.drop("page").join(found, ["doc_id", "chunk_seq"])
+def find_page(chunks: DataFrame, of: DataFrame) -> DataFrame:
+    """The first of the pages ``of`` a document that holds the chunk's first 100 characters, else its first page.
+
+    Chunks and pages of a document meet as one row; chunks of a document without pages are left out.
+    """
+    names = [c for c in chunks.columns if c not in ("doc_id", "page")]
+    listed = chunks.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "page", F.coalesce("text", F.lit("")).alias("text"))))
+    both = listed.join(of.groupBy("doc_id").agg(ordered.alias("pages")), "doc_id")
+    sought = F.transform("rows", lambda r: F.coalesce(pages.snippet(r["text"]), F.lit("")))
+    place = pages.places_of(sought, F.transform("pages", lambda p: p["text"])).alias("places")
+    each = both.select("doc_id", "pages", F.arrays_zip("rows", place).alias("zipped")).select("doc_id", "pages", F.explode("zipped").alias("z"))
+    page = F.get("pages", F.coalesce("z.places", F.lit(0)))["page"]
+    return each.select("doc_id", *(F.col(f"z.rows.{n}").alias(n) for n in names), page.alias("page"))
 
 
 def merge_tiny_chunks(chunks: DataFrame, least: int = TINY) -> DataFrame:
@@ -286,17 +317,18 @@ def remove_empty_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.where(~T.is_empty_chunk(F.col("text"), F.col("content_type")))
 
 
-def chunk_documents(pages: DataFrame, types: DataFrame) -> DataFrame:
-    """C17: pages and types(doc_id, type) to chunks, by the way that suits each type.
+def chunk_documents(of: DataFrame, types: DataFrame) -> DataFrame:
+    """C17: pages ``of`` documents and types(doc_id, type) to chunks, by the way that suits each type.
 
-    One pass splits all texts; what depends on the type is chosen by column expressions after it.
+    One pass splits all texts and finds each piece's page; what else depends on the type is chosen by column
+    expressions after it.
     """
-    typed = pages.join(types, "doc_id", "left").withColumn("type", F.coalesce("type", F.lit("autre")))
+    typed = of.join(types, "doc_id", "left").withColumn("type", F.coalesce("type", F.lit("autre")))
     flat = typed.where("type != 'plan'")
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "text")))
-    joined = F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n")
-    texts = flat.groupBy("doc_id").agg(joined.alias("text"), F.first("type").alias("type"))
-    pieces = texts.select("doc_id", "text", "type").mapInArrow(_splitter(WAYS), pieces_schema(texts)).join(types.select("doc_id", "type"), "doc_id", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "page", "text")))
+    texts = flat.groupBy("doc_id").agg(F.first("type").alias("type"), ordered.alias("pages"))
+    schema = f"{pieces_schema(texts)}, type string, page {of.schema['page'].dataType.simpleString()}"
+    pieces = texts.select("doc_id", "type", "pages").mapInArrow(_paged_splitter(WAYS), schema)
     stacks = _headings(pieces.where(F.col("type").isin(ARTICLES)))
     text, none = F.col("text"), F.array().cast("array<string>")
     title = F.when(F.col("type").isin(ARTICLES), _last("parent_sections")).when(F.col("type").isin(POINTS), F.col("point_title"))
@@ -305,7 +337,7 @@ def chunk_documents(pages: DataFrame, types: DataFrame) -> DataFrame:
     rows = rows.withColumns({"parent_sections": F.coalesce("parent_sections", none), "chunk_lot": F.coalesce("chunk_lot", F.lit(""))})
     rows = rows.withColumns({"heading_prefix": F.array_join("parent_sections", " > "), "section_title": F.coalesce(title.when(report, T.diagnostic_section(text)), F.lit(""))})
     kind = F.when(report, T.diagnostic_content(text)).otherwise(F.col("content_type"))
-    chunks = find_page(_described(rows).withColumn("content_type", kind).drop("type", "point_title"), flat)
+    chunks = _described(rows).withColumn("content_type", kind).drop("type", "point_title")
     return remove_empty_chunks(merge_tiny_chunks(plan_pages(typed.where("type = 'plan'")).unionByName(chunks)))
 
 

@@ -5,9 +5,7 @@ passages(query_id, seq, text, score, filename, page, lot, position): seq is the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,53 +103,88 @@ def context_block(entries: DataFrame) -> DataFrame:
     return parts.select("query_id", F.array_join(F.transform("p", lambda x: x["__part"]), JOINT).alias("block"))
 
 
-def _rendered(rows: pd.DataFrame, several: bool) -> int:
-    """The length of a block in document order: the plain one, or that with merged copies if it is longer."""
+class RenderedSize:
+    """The length of a block under insertion: the plain one, or that with merged copies if it is longer.
 
-    def length(headers: list[str], texts: list[str], lots: list[str]) -> int:
-        opened = sum(len(f"\n=== {b} ===\n{JOINT}") for a, b in zip([None, *lots], lots, strict=False) if several and a != b)
-        return opened + sum(map(len, headers)) + sum(map(len, texts)) + len(texts) + len(JOINT) * (len(texts) - 1)
+    A block's length is a sum over its passages, over the lots that it opens and, with copies merged, over its
+    groups of equal keys; so a passage changes the terms of its own lot and its own group, and no other.
+    """
 
-    named = [f"{f}, p.{p}" for f, p in zip(rows["filename"], rows["page"], strict=True)]
-    plain = length([f"[{n}]" for n in named], rows["text"].tolist(), rows["lot_"].tolist())
-    groups: dict[str, list[int]] = {}
-    for i, key in enumerate(rows["key"]):
-        groups.setdefault(key, []).append(i)
-    if len(groups) == len(rows):
-        return plain
-    score = rows["score"].tolist()
-    kept = sorted((max(own, key=lambda i: (score[i], -i)), own) for own in groups.values())
-    heads = []
-    for i, own in kept:
-        places = list(dict.fromkeys(named[j] for j in [i, *own]))
-        heads.append(f"[{places[0]}]" if len(places) == 1 else f"[{places[0]} ; aussi : {' ; '.join(places[1:])}]")
-    return max(plain, length(heads, [rows["text"].iloc[i] for i, _ in kept], [rows["lot_"].iloc[i] for i, _ in kept]))
+    def __init__(self, several_lots: bool):
+        self.several = several_lots
+        self.plain = self.merged = 0
+        self.lots: dict[str, int] = {}
+        self.merged_lots: dict[str, int] = {}
+        self.groups: dict[str, dict] = {}
+
+    def _opened(self, lots: dict[str, int], lot: str, change: int) -> int:
+        """What the length gains when a passage of a lot comes or goes."""
+        before = lots.get(lot, 0)
+        lots[lot] = before + change
+        if not self.several or (before > 0) == (lots[lot] > 0):
+            return 0
+        return change * len(f"\n=== {lot} ===\n{JOINT}")
+
+    @staticmethod
+    def _head(places: dict[str, None]) -> int:
+        """``[a]``, or ``[a ; aussi : b ; c]``: the length does not depend on the order."""
+        more = len(places) - 1
+        return 2 + sum(map(len, places)) + (len(" ; aussi : ") + len(" ; ") * (more - 1) if more else 0)
+
+    def add(self, order: int, score: float, key: str, lot: str, place: str, text: int) -> int:
+        """The length with one more passage; order is its place in the document order."""
+        self.plain += 2 + len(place) + 1 + text + len(JOINT) + self._opened(self.lots, lot, 1)
+        group = self.groups.get(key)
+        if group is None:
+            group = self.groups[key] = {"places": {}, "best": None, "size": 0}
+        else:
+            self.merged -= group["size"] + self._opened_back(group)
+        group["places"][place] = None
+        if group["best"] is None or (score, -order) > group["best"][:2]:
+            group["best"] = (score, -order, lot, text)
+        group["size"] = self._head(group["places"]) + 1 + group["best"][3] + len(JOINT)
+        self.merged += group["size"] + self._opened(self.merged_lots, group["best"][2], 1)
+        return max(self.plain, self.merged) - len(JOINT)
+
+    def _opened_back(self, group: dict) -> int:
+        return -self._opened(self.merged_lots, group["best"][2], -1)
 
 
 def select_by_score(passages: DataFrame, budget: int) -> DataFrame:
     """K4: passages by falling score while their exact rendering fits; the first that does not ends it.
 
     A block is never shorter than the texts in it, so passages behind a running sum of lengths above the
-    budget can't be kept; they are dropped natively, and no question's group holds more than the budget.
+    budget can't be kept; they are dropped natively, and no question's fold has more than fit by their texts.
+    Lots are opened if the passages, kept or not, are of several. Texts stay where they are: what is folded is their lengths, keys and places, question by question in
+    sorted order, and the fold says how many passages of each question stay.
     """
-    bound = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq").rowsBetween(Window.unboundedPreceding, 0)
-    few = passages.withColumns({"length": F.length("text"), "key": T.article_dedup_key(F.col("text"))})
-    few = few.withColumns({"lot_": F.coalesce(F.nullif(F.col("lot"), F.lit("")), F.lit("unknown")), "sum": F.sum("length").over(bound)}).where(F.col("sum") <= budget).drop("sum", "length")
-
-    names, schema = passages.columns, passages.schema
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["lot_", "filename", "position", "seq"], kind="stable").reset_index(drop=True)
-        several = group["lot_"].nunique() > 1
-        kept: list[int] = []
-        for i in group.sort_values(["score", "seq"], ascending=[False, True]).index:
-            tried = sorted([*kept, i])
-            if _rendered(group.loc[tried], several) > budget:
-                break
-            kept = tried
-        return group.loc[kept, names]
-
-    return few.groupBy("query_id").applyInPandas(pick, schema)
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
+    lot = F.coalesce(F.nullif(F.col("lot"), F.lit("")), F.lit("unknown"))
+    few = passages.withColumns({"__length": F.length("text"), "__lot": lot})
+    few = few.withColumn("__several", F.size(F.collect_set("__lot").over(Window.partitionBy("query_id"))) > 1)
+    few = few.withColumns({"__sum": F.sum("__length").over(by_score.rowsBetween(Window.unboundedPreceding, 0)), "__rank": F.row_number().over(by_score)}).where(F.col("__sum") <= budget)
+    in_order = Window.partitionBy("query_id").orderBy(*document_order())
+    few = few.withColumn("__order", F.row_number().over(in_order))
+    place = F.concat("filename", F.lit(", p."), F.col("page").cast("string"))
+    listed = F.struct("__rank", "__order", "score", T.article_dedup_key(F.col("text")).alias("key"), F.col("__lot").alias("lot"), place.alias("place"), F.col("__length").alias("length"))
+    folded = few.groupBy("query_id").agg(F.first("__several").alias("several"), F.array_sort(F.collect_list(listed)).alias("p"))
+    kept = folded.select("query_id", _kept(budget)("several", "p").alias("__kept"))
+    return few.join(kept, "query_id").where("__rank <= __kept").select(*passages.columns)
+
+
+def _kept(budget: int):
+    def kept(several: pa.Array, passages: pa.Array) -> pa.Array:
+        out = []
+        for lots, rows in zip(several.to_pylist(), passages.to_pylist(), strict=True):
+            size, n = RenderedSize(lots), 0
+            for r in rows:
+                if size.add(r["__order"], r["score"], r["key"], r["lot"], r["place"] or "None, p.None", r["length"]) > budget:
+                    break
+                n += 1
+            out.append(n)
+        return pa.array(out, pa.int32())
+
+    return F.arrow_udf(kept, "int")
 
 
 def context_policy(questions: DataFrame, hybrid: bool = False) -> DataFrame:
@@ -170,9 +203,17 @@ def sources(passages: DataFrame, most: int = 5) -> DataFrame:
     return grouped.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def build_context(passages: DataFrame, budget: int = 20000, cutoff: float = 0.4, most: int = 5) -> tuple[DataFrame, DataFrame]:
-    """K5: (query_id, block) and sources: cutoff, one of equal texts, budget in document order, near copies."""
-    rows = first_by(context_cutoff(passages, cutoff), ["query_id", "text"], ["seq"]).withColumn("length", F.length("text"))
+def build_context(passages: DataFrame, budget: int = 20000, cutoff: float = 0.4, most: int = 5, hybrid: bool = False) -> tuple[DataFrame, DataFrame]:
+    """K5: (query_id, block) and sources: cutoff, one of equal texts, budget, near copies.
+
+    Fused scores are no cosines, so with ``hybrid`` there is no cutoff; passages are taken by falling score (K4)
+    and copies are merged under one header, in place of a budget in document order and near copies left out.
+    """
+    rows = first_by(context_cutoff(passages, 0.0 if hybrid else cutoff), ["query_id", "text"], ["seq"])
+    if hybrid:
+        rows = select_by_score(rows, budget)
+        return context_block(passage_header(merge_article_copies(rows))), sources(rows, most)
+    rows = rows.withColumn("length", F.length("text"))
     rows = running_budget(rows, document_order(), budget, len(JOINT))
     rows = first_by(rows.withColumn("__key", T.dedup_key(F.col("text"))), ["query_id", "__key"], ["seq"]).drop("__key")
     named = rows.withColumn("header", F.concat(F.lit("["), "filename", F.lit(", p."), F.col("page").cast("string"), F.lit("]")))

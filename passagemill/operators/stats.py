@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,14 +163,31 @@ def chunk_gaps(chunks: DataFrame) -> DataFrame:
     return chunks.select("document_id", "position", F.coalesce(jump, F.lit(False)).alias("gap"))
 
 
+def longest_overlap(before: str, text: str, least: int, most: int) -> int:
+    """The length of the longest end of ``before`` that starts ``text``, from ``least`` to ``most``; else 0.
+
+    Such an end begins with the first ``least`` characters of text, so only their places are tried, first to last.
+    """
+    tail, seed = before[-most:], text[:least]
+    if len(seed) < least:
+        return 0
+    at = tail.find(seed, max(0, len(tail) - len(text)))
+    while at >= 0 and not text.startswith(tail[at:]):
+        at = tail.find(seed, at + 1)
+    return len(tail) - at if at >= 0 else 0
+
+
 def chunk_overlap(chunks: DataFrame, least: int = 20, most: int = 400) -> DataFrame:
-    """The longest end of the chunk before that starts this one."""
+    """The longest end of the chunk before that starts this one; least is 1 or more."""
+
+    def overlap(before: pa.Array, text: pa.Array) -> pa.Array:
+        return pa.array([longest_overlap(a, b, least, most) for a, b in zip(before.to_pylist(), text.to_pylist(), strict=True)], pa.int32())
+
     w = Window.partitionBy("document_id").orderBy("position")
-    rows = chunks.select("document_id", "position", "text", F.lag("text").over(w).alias("before")).where("before is not null")
-    n = F.least(F.length("text"), F.length("before"), F.lit(most))
-    sizes = F.when(n >= least, F.sequence(F.lit(least), n)).otherwise(F.array().cast("array<int>"))
-    same = F.filter(sizes, lambda k: F.right(F.col("before"), k) == F.left(F.col("text"), k))
-    return rows.select("document_id", "position", F.coalesce(F.array_max(same), F.lit(0)).alias("overlap"))
+    # Only the ends that can meet go to Python.
+    head = F.coalesce(F.substring("text", 1, most), F.lit(""))
+    rows = chunks.select("document_id", "position", head.alias("head"), F.lag(F.right("text", F.lit(most))).over(w).alias("before")).where("before is not null")
+    return rows.select("document_id", "position", F.arrow_udf(overlap, "int")("before", "head").alias("overlap"))
 
 
 def role_reconcile(listed: DataFrame, current: DataFrame) -> DataFrame:
