@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as T
+from ..sources.shared import written
 from . import pages
 
 SIZE, OVERLAP, TINY = 2500, 300, 250
@@ -328,7 +329,8 @@ def chunk_documents(of: DataFrame, types: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("ord", "page", "text")))
     texts = flat.groupBy("doc_id").agg(F.first("type").alias("type"), ordered.alias("pages"))
     schema = f"{pieces_schema(texts)}, type string, page {of.schema['page'].dataType.simpleString()}"
-    pieces = texts.select("doc_id", "type", "pages").mapInArrow(_paged_splitter(WAYS), schema)
+    # Written once: headings and rows both read the pieces.
+    pieces = written(texts.select("doc_id", "type", "pages").mapInArrow(_paged_splitter(WAYS), schema), "pieces")
     stacks = _headings(pieces.where(F.col("type").isin(ARTICLES)))
     text, none = F.col("text"), F.array().cast("array<string>")
     title = F.when(F.col("type").isin(ARTICLES), _last("parent_sections")).when(F.col("type").isin(POINTS), F.col("point_title"))

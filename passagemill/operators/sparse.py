@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from ..functions import text as T
+from ..sources.shared import written
 
 K1, B, MEAN_LENGTH = 1.2, 0.75, 256
 SCOPE = ("tenant_id", "project_id")
 BLOCK = 128
+#: Tokens of all questions together that are broadcast.
+FEW = 100_000
 #: Rows that a task hands on at a time.
 ROWS = 50_000
 
@@ -143,11 +146,16 @@ def _added(lists: DataFrame) -> DataFrame:
 
 
 def asked_lists(questions: DataFrame, index: Index, scope: tuple[str, ...] = SCOPE) -> DataFrame:
-    """The posting blocks of each question's tokens in its scope, with the tokens' idf."""
-    asked = query_tokens(questions, scope)
-    wanted = index.blocks.select("token", "n").join(asked.select("token").distinct(), "token", "left_semi")
+    """The posting blocks of each question's tokens in its scope, with the tokens' idf.
+
+    They are written down, as a search goes over them three times, the index only once. Up to FEW tokens of
+    all questions together are broadcast to the index; beyond that both sides are shuffled.
+    """
+    tokens = written(query_tokens(questions, scope), "asked-tokens")
+    sent = F.broadcast if tokens.count() <= FEW else lambda df: df
+    wanted = index.blocks.select("token", "n").join(sent(tokens.select("token").distinct()), "token", "left_semi")
     idf = token_idf(wanted, index.n_points).select("token", "idf")
-    return index.blocks.join(asked.join(idf, "token"), [*scope, "token"])
+    return written(index.blocks.join(sent(tokens.join(idf, "token")), [*scope, "token"]), "asked-lists")
 
 
 def needed_blocks(lists: DataFrame, k: int) -> DataFrame:

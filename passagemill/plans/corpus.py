@@ -16,7 +16,17 @@ KINDS = ["description", "specification", "mixed", "admin", "quantity", "heading"
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """S1."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name == "documents" else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts dealt to as many tasks as there are cores, where their files have fewer parts than that.
+
+    A file of one row group is one task, however long the work on its texts takes; large corpora have more
+    parts than cores and stay as they lie.
+    """
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
 
 
 def _chosen(values: list[str], number) -> F.Column:
