@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, cleaning, context, edits, usage
-from ..streaming import rates
+from ..sources import store
+from ..sources.shared import shared_path
+from ..streaming import ingest, rates
 from . import corpus as C
 from .registry import query
+from .retrieval_queries import POSTINGS
 
 
 @query(f"""WITH {C.CHUNKS_SQL}, w AS (SELECT document_id AS query_id, position, length(text) AS length, sum(length(text) + 5) OVER (PARTITION BY document_id ORDER BY lot, filename, position ROWS UNBOUNDED PRECEDING) - 5 AS used FROM chunks)
@@ -205,7 +208,12 @@ def metric_windows(spark: SparkSession, sf: str) -> DataFrame:
     return rates.metric_windows(rows, 200.0).withColumn("mean", F.round("mean", 4))
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ w AS (SELECT key, seq, t, i, t AS begun, 1 AS n, true AS allowed, 0 AS retry_after FROM e WHERE i = 1
+ UNION ALL SELECT e.key, e.seq, e.t, e.i, CASE WHEN e.t - begun >= 86400 THEN e.t ELSE begun END, CASE WHEN e.t - begun >= 86400 THEN 1 WHEN n >= 3 THEN n ELSE n + 1 END,
+ e.t - begun >= 86400 OR n < 3, CASE WHEN e.t - begun >= 86400 OR n < 3 THEN 0 ELSE greatest(1, CAST(ceil(86400 - (e.t - begun)) AS INTEGER)) END
+ FROM w JOIN e ON e.key = w.key AND e.i = w.i + 1)
+ SELECT key, seq, allowed, retry_after FROM w""")
 def fixed_window(spark: SparkSession, sf: str) -> DataFrame:
     rows = C.read_table(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), "ts")
     return rates.fixed_window(rows, 3, 86400.0)
@@ -216,10 +224,45 @@ def injection_flags(spark: SparkSession, sf: str) -> DataFrame:
     return edits.mark_suspects(C.chunks(spark, sf)).select("document_id", "position", "injection_suspect")
 
 
-@query()
+@query(f"""WITH {C.CHUNKS_SQL}, {POSTINGS} SELECT c.tenant_id, c.point_id, count(p.token)::INTEGER AS tokens, round(coalesce(sum(weight), 0), 4) AS weight
+ FROM chunks c LEFT JOIN posted p ON p.point_id = c.point_id WHERE c.point_id IS NOT NULL GROUP BY ALL""")
 def hybrid_copy(spark: SparkSession, sf: str) -> DataFrame:
     rows = edits.copy_hybrid(C.chunks(spark, sf).where("point_id is not null").select("tenant_id", "project_id", "point_id", "text"))
-    return rows.select("tenant_id", "point_id", F.size("sparse").alias("tokens"))
+    weight = F.aggregate(F.map_values("sparse"), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("tenant_id", "point_id", F.size("sparse").alias("tokens"), F.round(weight, 4).alias("weight"))
+
+
+@query(f"""WITH {C.POINTS_SQL}, changed AS (SELECT point_id, tenant_id, project_id, 'new' AS lot, dense[1] AS first FROM points WHERE tenant_id IN ('t0', 't2') AND point_id % 3 = 0
+ UNION ALL SELECT point_id + 1000000, tenant_id, project_id, 'more', dense[1] FROM points WHERE tenant_id = 't2' AND point_id % 7 = 0)
+ SELECT point_id, tenant_id, project_id, lot, round(first, 6) AS first FROM (SELECT * FROM changed UNION ALL SELECT point_id, tenant_id, project_id, lot, dense[1] FROM points p
+ WHERE NOT EXISTS (SELECT 1 FROM changed c WHERE c.tenant_id = p.tenant_id AND c.point_id = p.point_id) AND NOT (tenant_id = 't1' AND document_id % 5 = 0)) s""")
+def stored_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Points written to a store, some replaced and some added in two tenants, documents deleted in another."""
+    path, points = shared_path(spark, "point-store"), C.points(spark, sf)
+    store.upsert_points(spark, path, points)
+    new = points.where("tenant_id in ('t0', 't2') and point_id % 3 = 0").withColumn("lot", F.lit("new"))
+    more = points.where("tenant_id = 't2' and point_id % 7 = 0").withColumns({"lot": F.lit("more"), "point_id": F.col("point_id") + 1000000})
+    store.upsert_points(spark, path, new.unionByName(more))
+    store.delete_documents(spark, path, points.where("tenant_id = 't1' and document_id % 5 = 0").select("tenant_id", "document_id").distinct())
+    return store.read_store(spark, path).select("point_id", "tenant_id", "project_id", "lot", F.round(F.get("dense", F.lit(0)), 6).alias("first"))
+
+
+@query(f"""WITH {C.PAGES_SQL}, sized AS (SELECT doc_id, count(*) AS n, count(*) FILTER (doc_id % 10 <> 3 OR ord > 0) AS there, bool_or(regexp_matches(text, '\\S')) AS filled FROM pages_ GROUP BY doc_id)
+ SELECT doc_id, CASE WHEN there < n THEN 'processing' WHEN NOT filled THEN 'error' ELSE 'ready' END AS status, CASE WHEN there < n THEN there END AS pages_there FROM sized WHERE there > 0 AND doc_id % 12 <> 3""")
+def ingested_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """ST1 in two batches: the even pages, then the odd ones; of every tenth document the first page never comes.
+
+    Documents of which all text goes in cleaning or chunking are empty; they are shown as ready here, as SQL
+    can't tell them, and plans (every twelfth) are left out.
+    """
+    out, rows = shared_path(spark, "ingested"), C.pages(spark, sf)
+    rows = rows.join(rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_pages")), "doc_id").where("doc_id % 10 != 3 or ord > 0")
+    types = C.documents(spark, sf).select(F.col("document_id").alias("doc_id"), "type")
+    for number in (0, 1):
+        ingest.ingest_batch(spark, rows.where(F.col("ord") % 2 == number), number, types, out)
+    status = ingest.ingested_status(spark, out).where("doc_id % 12 != 3")
+    shown = F.when(F.col("status") == "empty", "ready").otherwise(F.col("status"))
+    return status.select("doc_id", shown.alias("status"), "pages_there")
 
 
 @query(f"WITH {C.CHUNKS_SQL} SELECT document_id, position, left(text, 150) AS preview, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS key FROM chunks")

@@ -226,12 +226,6 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("point_id long, text string").parquet(source)
     ingest.flag_stream(stream, str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
     assert {r.point_id: r.injection_suspect for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: True, 2: None}
-    pages = str(tmp_path / "pages")
-    spark.createDataFrame([(1, 0, 1, "un texte assez long pour rester dans le corpus, " * 3)], "doc_id long, ord int, page int, text string").write.parquet(pages)
-    types = spark.createDataFrame([(1, "autre")], "doc_id long, type string")
-    stream = spark.readStream.schema("doc_id long, ord int, page int, text string").parquet(pages)
-    ingest.ingest(stream, types, str(tmp_path / "chunks"), str(tmp_path / "c2")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "chunks")).count() == 1
 
 
 def test_section_tree_has_all_ancestors(spark):
