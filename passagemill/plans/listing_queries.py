@@ -10,7 +10,7 @@ from ..operators import retrieval as R
 from ..operators import stats as S
 from . import corpus as C
 from .registry import query
-from .retrieval_queries import benchmark_questions, corpus_index
+from .retrieval_queries import ASKED, IDF, POSTINGS, SPARSE, benchmark_questions, corpus_index
 from .stats_queries import QUALITY
 
 
@@ -62,7 +62,27 @@ def question_rules(spark: SparkSession, sf: str) -> DataFrame:
     return L.question_rules(rows).select("query_id", "scope", "forced_schema")
 
 
-@query()
+_TOPICAL = "len(list_filter(words, lambda w: contains(lower({0}), w))) > 0"
+_NUMBER = r"regexp_extract({0}, '^\s*(\d+(?:\.\d+)+)', 1)"
+_RELATED = "{0} <> '' AND len(list_filter(prefixes, lambda p: starts_with({0}, p) OR starts_with(p, {0}))) > 0"
+
+
+@query(rf"""WITH {C.CHUNKS_SQL}, {POSTINGS}, {IDF}, {ASKED}, {SPARSE}, hits AS (SELECT s.query_id, c.* FROM sparse s JOIN chunks c USING (point_id)),
+ questions AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 4)) AS words FROM benchmark),
+ rows_ AS (SELECT h.*, words, {_NUMBER.format('h.text')} AS number FROM hits h JOIN questions USING (query_id)),
+ prefixed AS (SELECT query_id, tenant_id, project_id, list_distinct(flatten(list(list_transform(range(least(3, len(string_split(number, '.'))), len(string_split(number, '.')) + 1), lambda k: array_to_string(string_split(number, '.')[1:k], '.'))))) AS prefixes
+ FROM rows_ WHERE type = 'DPGF' AND number <> '' AND {_TOPICAL.format('text')} GROUP BY ALL),
+ known AS (SELECT query_id, tenant_id, project_id, any_value(words) AS words, list(DISTINCT lot) FILTER (coalesce(lot, '') <> '') AS lots, coalesce(any_value(prefixes), []) AS prefixes
+ FROM rows_ LEFT JOIN prefixed USING (query_id, tenant_id, project_id) GROUP BY ALL),
+ files AS (SELECT tenant_id, project_id, filename, max(lot) AS lot FROM chunks WHERE type = 'DPGF' AND NOT regexp_matches(filename, '(?i){L.NO_QUANTITIES[5:]}') GROUP BY ALL),
+ matched AS (SELECT DISTINCT k.query_id, f.tenant_id, f.project_id, filename FROM files f JOIN known k USING (tenant_id, project_id) WHERE list_contains(lots, f.lot)
+ OR len(list_intersect(list_filter(regexp_extract_all(lower(filename), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 3), words)) > 0 OR {_TOPICAL.format('filename')}
+ UNION SELECT DISTINCT r.query_id, r.tenant_id, r.project_id, filename FROM rows_ r JOIN known k USING (query_id, tenant_id, project_id)
+ WHERE type = 'DPGF' AND {_RELATED.format('number')} AND NOT regexp_matches(filename, '(?i){L.NO_QUANTITIES[5:]}')),
+ found AS (SELECT m.query_id, c.filename, c.position, c.text, left(c.text, 200) AS key FROM chunks c JOIN matched m USING (tenant_id, project_id, filename) JOIN known k USING (query_id, tenant_id, project_id)
+ WHERE ({_RELATED.format(_NUMBER.format('c.text'))}) OR {_TOPICAL.format('c.text')})
+ SELECT query_id, filename, position, 0.5::DOUBLE AS score FROM found f WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = f.query_id AND left(h.text, 200) = f.key)
+ QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY filename, position) = 1""")
 def quantity_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     """Price lists of the corpus for the benchmark's questions, whose hits are their 20 best chunks by BM25."""
     chunks = C.chunks(spark, sf)
