@@ -218,8 +218,19 @@ def condense(block: Column, n: int = 150, joint: str = "\n---\n") -> Column:
 
 
 def format_size(n: Column) -> Column:
-    """T32."""
-    return F.when(n < 1024, F.format_string("%d o", n)).when(n < 1024**2, F.format_string("%.1f Ko", n / 1024)).otherwise(F.format_string("%.1f Mo", n / 1024**2))
+    """Bytes, whole KB, or MB with one decimal."""
+    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1024**2, F.format_string("%d KB", F.floor(n / 1024 + 0.5))).otherwise(F.format_string("%.1f MB", n / 1024**2))
+
+
+def relative_time(then: Column, now: Column) -> Column:
+    """How long ago, in the largest whole unit: minutes, hours, days, months of 30 days, years of 12 months."""
+    seconds = F.unix_seconds(now) - F.unix_seconds(then)
+    minutes, hours, days = (F.floor(seconds / k) for k in (60, 3600, 86400))
+    months = F.floor(days / 30)
+    years = F.floor(months / 12)
+    ago = lambda n, unit: F.concat(F.lit("il y a "), n.cast("string"), F.lit(unit))
+    shown = F.when(seconds < 60, "à l'instant").when(minutes < 60, ago(minutes, " min")).when(hours < 24, ago(hours, "h")).when(days < 30, ago(days, "j"))
+    return shown.when(months < 12, ago(months, " mois")).otherwise(F.concat(ago(years, " an"), F.when(years > 1, "s").otherwise("")))
 
 
 def question_words(*texts: Column) -> Column:

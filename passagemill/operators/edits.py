@@ -51,6 +51,26 @@ def delete_documents(chunks: DataFrame, points: DataFrame, gone: DataFrame) -> t
     return chunks.join(gone, keys, "left_anti"), points.join(gone, keys, "left_anti")
 
 
+def delete_chunks(chunks: DataFrame, points: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks and points without the chunks of gone(tenant_id, document_id, position); later positions move up.
+
+    chunks and points must have these columns and point_id; other tenants' rows stay as they are.
+    """
+    keys = ["tenant_id", "document_id", "position"]
+    marked = chunks.join(gone.select(*keys).distinct().withColumn("__gone", F.lit(1)), keys, "left").na.fill(0, ["__gone"])
+    before = Window.partitionBy("tenant_id", "document_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    moved = F.col("position") - F.coalesce(F.sum("__gone").over(before), F.lit(0))
+    lost = marked.where("__gone = 1 and point_id is not null").select("tenant_id", "point_id").distinct()
+    kept = marked.withColumn("__new", moved.cast(chunks.schema["position"].dataType)).where("__gone = 0").withColumn("position", F.col("__new"))
+    return kept.select(*chunks.columns), points.join(lost, ["tenant_id", "point_id"], "left_anti")
+
+
+def delete_folders(documents: DataFrame, chunks: DataFrame, points: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, chunks and points without the documents of the folders of gone(tenant_id, folder_id)."""
+    within = documents.join(gone.select("tenant_id", "folder_id").distinct(), ["tenant_id", "folder_id"], "left_semi").select("tenant_id", "document_id").distinct()
+    return documents.join(within, ["tenant_id", "document_id"], "left_anti"), *delete_documents(chunks, points, within)
+
+
 def move_documents(documents: DataFrame, moves: DataFrame, folders: DataFrame) -> DataFrame:
     """moves(document_id, folder_id) with a verdict: moved, folder not found, or of another project."""
     rows = moves.join(documents.select("document_id", "project_id"), "document_id", "left").join(folders.select("folder_id", F.col("project_id").alias("__of")), "folder_id", "left")

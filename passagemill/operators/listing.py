@@ -202,6 +202,20 @@ def chunk_details(chunks: DataFrame) -> DataFrame:
     return scored(chunks).withColumns({"before": near(-1), "after": near(1)})
 
 
+def chunk_detail(chunks: DataFrame, points: DataFrame, characters: int = 150) -> DataFrame:
+    """Each chunk with its score, the payload of its point (null without one), and its neighbours' previews.
+
+    ``adjacent`` lists the chunks at the positions before and behind, as structs of position and preview.
+    """
+    payload = points.select("point_id", F.to_json(F.struct(*[c for c in points.columns if c not in ("point_id", "dense", "sparse")])).alias("payload"))
+    preview = F.substring(F.coalesce("text", F.lit("")), 1, characters)
+    near = chunks.select("document_id", F.struct("position", preview.alias("preview")).alias("near"), F.explode(F.array(F.col("position") - 1, F.col("position") + 1)).alias("__at"))
+    listed = near.groupBy("document_id", F.col("__at").alias("position")).agg(F.array_sort(F.collect_list("near")).alias("adjacent"))
+    rows = scored(chunks).withColumn("preview", preview).join(listed, ["document_id", "position"], "left")
+    none = F.array().cast(listed.schema["adjacent"].dataType)
+    return rows.join(payload, "point_id", "left").withColumn("adjacent", F.coalesce("adjacent", none))
+
+
 def quantity_enrichment(hits: DataFrame, questions: DataFrame, chunks: DataFrame, score: float = 0.5) -> DataFrame:
     """Price-list chunks that belong to a question's topic, behind its hits.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CONTENT_SCORES
-from ..functions.text import size_label
+from ..functions.text import format_size, size_label
 
 
 def tenant_scope(chunks: DataFrame, tenant_id: str | None = None, project_id: str | None = None) -> DataFrame:
@@ -112,6 +112,45 @@ def project_bar(documents: DataFrame) -> DataFrame:
     return documents.groupBy("project_id").agg(F.count("*").alias("documents"), F.sum(error).cast("long").alias("errors"), F.sum("size").alias("total_size"))
 
 
+def quality_alerts(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """A5: what is wrong with each project: chunks by kind of fault, documents in error, and their sum.
+
+    chunks(project_id, keywords, content_type, char_count), documents(project_id, status); a chunk with two
+    faults counts under both, projects without chunks or documents have 0 there.
+    """
+    few = F.coalesce(F.size("keywords"), F.lit(0)) == 0
+    faults = {"no_keywords": few, "heading_only": F.col("content_type") == "heading", "very_short": F.col("char_count") < 100, "oversized": F.col("char_count") >= 2500}
+    counted = chunks.groupBy("project_id").agg(*(F.count_if(c).alias(n) for n, c in faults.items()))
+    failed = documents.groupBy("project_id").agg(F.count_if(F.col("status") == "error").alias("error_documents"))
+    names = [*faults, "error_documents"]
+    rows = counted.join(failed, "project_id", "full_outer").na.fill(0, names)
+    return rows.withColumn("alerts", sum((F.col(n) for n in names[1:]), F.col(names[0])))
+
+
+def tenant_bar(projects: DataFrame, documents: DataFrame) -> DataFrame:
+    """A10: projects(tenant_id, project_id, status) and their documents(project_id): how many, and how many are active or archived."""
+    n = documents.groupBy("project_id").agg(F.count("*").alias("n"))
+    status = F.col("status")
+    rows = projects.join(n, "project_id", "left").groupBy("tenant_id")
+    return rows.agg(F.count("*").alias("projects"), F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.count_if(status == "active").alias("active"), F.count_if(status == "archived").alias("archived"))
+
+
+def documents_summary(documents: DataFrame) -> DataFrame:
+    """A10: (project_id, summary): documents, those in work and in error where there are any, and their size, as a line."""
+    status = F.col("status")
+    counts = documents.groupBy("project_id").agg(F.count("*").alias("n"), F.count_if(status.isin("processing", "uploading")).alias("busy"), F.count_if(status == "error").alias("errors"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
+    plural = lambda n, word: F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n > 1, "s").otherwise(""))
+    n, busy, errors = F.col("n"), F.col("busy"), F.col("errors")
+    parts = [plural(n, "document"), F.when(busy > 0, F.concat(busy.cast("string"), F.lit(" en traitement"))), F.when(errors > 0, plural(errors, "erreur")), format_size(F.col("size"))]
+    return counts.select("project_id", F.concat_ws(" — ", *parts).alias("summary"))
+
+
+def sync_totals(checked: DataFrame) -> DataFrame:
+    """One row: chunk rows and index points of all checked documents (sync_check), and whether all are in step."""
+    rows = checked.agg(F.coalesce(F.sum("sql_count"), F.lit(0)).alias("sql_total"), F.coalesce(F.sum("index_count"), F.lit(0)).alias("index_total"), F.coalesce(F.bool_and("synced"), F.lit(True)).alias("each"))
+    return rows.select("sql_total", "index_total", ((F.col("sql_total") == F.col("index_total")) & F.col("each")).alias("all_synced"))
+
+
 def section_tree(chunks: DataFrame) -> DataFrame:
     """Each section path with its depth and direct chunks; all ancestors are present."""
     path = F.col("parent_sections")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, context, edits, listing, usage
+from ..operators import chunking, context, edits, listing, stats, usage
 from ..sources import files
 from . import corpus as C
 from .registry import query
@@ -73,7 +73,7 @@ def condensed_passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {C.DOCS_SQL}, s AS (SELECT document_id, size * (1 + document_id % 700) AS n FROM docs WHERE size IS NOT NULL)
- SELECT document_id, CASE WHEN n < 1024 THEN n || ' o' WHEN n < 1048576 THEN printf('%.1f Ko', round(n / 1024, 1)) ELSE printf('%.1f Mo', round(n / 1048576, 1)) END AS shown FROM s""")
+ SELECT document_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CAST(floor(n / 1024 + 0.5) AS BIGINT) || ' KB' ELSE printf('%.1f MB', round(n / 1048576, 1)) END AS shown FROM s""")
 def file_sizes(spark: SparkSession, sf: str) -> DataFrame:
     rows = C.documents(spark, sf).where("size is not null").withColumn("n", F.col("size") * (1 + F.col("document_id") % 700))
     return rows.select("document_id", T.format_size(F.col("n")).alias("shown"))
@@ -407,3 +407,87 @@ def stream_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def longest_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """A top-k report."""
     return C.chunks(spark, sf).orderBy(F.desc("char_count"), "document_id", "position").limit(25).select("document_id", "position", "char_count")
+
+
+@query(f"""WITH {C.CHUNKS_SQL}, c AS (SELECT project_id, count(*) FILTER (len(keywords) = 0) AS no_keywords, count(*) FILTER (content_type = 'heading') AS heading_only,
+ count(*) FILTER (char_count < 100) AS very_short, count(*) FILTER (char_count >= 2500) AS oversized FROM chunks GROUP BY 1),
+ d AS (SELECT project_id, count(*) FILTER (status = 'error') AS error_documents FROM docs GROUP BY 1)
+ SELECT project_id, coalesce(no_keywords, 0) AS no_keywords, coalesce(heading_only, 0) AS heading_only, coalesce(very_short, 0) AS very_short, coalesce(oversized, 0) AS oversized, coalesce(error_documents, 0) AS error_documents,
+ coalesce(no_keywords, 0) + coalesce(heading_only, 0) + coalesce(very_short, 0) + coalesce(oversized, 0) + coalesce(error_documents, 0) AS alerts FROM c FULL JOIN d USING (project_id)""")
+def quality_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.quality_alerts(C.chunks(spark, sf), C.documents(spark, sf))
+
+
+@query(f"""WITH {C.DOCS_SQL}, projects AS (SELECT DISTINCT tenant_id, project_id, CASE WHEN length(project_id) % 2 = 0 THEN 'archived' ELSE 'active' END AS status FROM docs)
+ SELECT tenant_id, count(*) AS projects, sum(n)::BIGINT AS documents, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'archived') AS archived
+ FROM projects JOIN (SELECT project_id, count(*) AS n FROM docs GROUP BY 1) d USING (project_id) GROUP BY 1""")
+def tenant_bar(spark: SparkSession, sf: str) -> DataFrame:
+    documents = C.documents(spark, sf)
+    status = F.when(F.length("project_id") % 2 == 0, "archived").otherwise("active")
+    return stats.tenant_bar(documents.select("tenant_id", "project_id", status.alias("status")).distinct(), documents)
+
+
+@query(f"""WITH {C.DOCS_SQL}, s AS (SELECT project_id, CASE WHEN document_id % 11 = 0 THEN 'processing' WHEN document_id % 13 = 0 THEN 'uploading' ELSE status END AS status, size FROM docs),
+ n AS (SELECT project_id, count(*) AS n, count(*) FILTER (status IN ('processing', 'uploading')) AS busy, count(*) FILTER (status = 'error') AS errors, sum(size) AS size FROM s GROUP BY 1)
+ SELECT project_id, concat_ws(' — ', n || ' document' || CASE WHEN n > 1 THEN 's' ELSE '' END, CASE WHEN busy > 0 THEN busy || ' en traitement' END, CASE WHEN errors > 0 THEN errors || ' erreur' || CASE WHEN errors > 1 THEN 's' ELSE '' END END,
+ CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN CAST(floor(size / 1024 + 0.5) AS BIGINT) || ' KB' ELSE printf('%.1f MB', round(size / 1048576, 1)) END) AS summary FROM n""")
+def documents_summary(spark: SparkSession, sf: str) -> DataFrame:
+    status = F.when(F.col("document_id") % 11 == 0, "processing").when(F.col("document_id") % 13 == 0, "uploading").otherwise(F.col("status"))
+    return stats.documents_summary(C.documents(spark, sf).withColumn("status", status))
+
+
+@query(f"""WITH {C.CHUNKS_SQL}, c AS (SELECT document_id, count(*) AS s, count(*) FILTER (point_id IS NOT NULL AND position % 7 <> 3) AS i, count(*) FILTER (point_id IS NOT NULL AND position % 7 = 3) AS m FROM chunks GROUP BY 1)
+ SELECT sum(s)::BIGINT AS sql_total, sum(i)::BIGINT AS index_total, sum(s) = sum(i) AND bool_and(s = i AND m = 0) AS all_synced FROM docs d JOIN c USING (document_id) WHERE d.status = 'ready'""")
+def sync_totals(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = C.chunks(spark, sf)
+    index = chunks.where("point_id is not null and position % 7 <> 3").select("document_id", "point_id")
+    return stats.sync_totals(stats.sync_check(C.documents(spark, sf), chunks, index))
+
+
+@query("""WITH t AS (SELECT event_id, epoch(TIMESTAMP '2026-01-01 00:00:00')::BIGINT - CAST(floor(epoch(ts)) AS BIGINT) + CASE WHEN event_id % 3 = 0 THEN -63072000 WHEN event_id % 3 = 1 THEN 0 ELSE 63072000 END AS s FROM events)
+ SELECT event_id, CASE WHEN s < 60 THEN 'à l''instant' WHEN s // 60 < 60 THEN 'il y a ' || s // 60 || ' min' WHEN s // 3600 < 24 THEN 'il y a ' || s // 3600 || 'h' WHEN s // 86400 < 30 THEN 'il y a ' || s // 86400 || 'j'
+ WHEN s // 2592000 < 12 THEN 'il y a ' || s // 2592000 || ' mois' ELSE 'il y a ' || s // 31104000 || ' an' || CASE WHEN s // 31104000 > 1 THEN 's' ELSE '' END END AS shown FROM t""")
+def relative_times(spark: SparkSession, sf: str) -> DataFrame:
+    """Seen from a fixed day; every third event two years later, every third two years earlier."""
+    shift = F.when(F.col("event_id") % 3 == 0, 63072000).when(F.col("event_id") % 3 == 1, 0).otherwise(-63072000)
+    then = F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) + shift)
+    return C.read_table(spark, sf, "events").select("event_id", T.relative_time(then, F.to_timestamp(F.lit("2026-01-01 00:00:00"))).alias("shown"))
+
+
+@query(f"""WITH {C.CHUNKS_SQL}, m AS (SELECT *, CASE WHEN position % 5 = 1 AND tenant_id = 't1' THEN 1 ELSE 0 END AS gone FROM chunks),
+ s AS (SELECT *, coalesce(sum(gone) OVER (PARTITION BY document_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM m)
+ SELECT 'chunk' AS part, document_id, position - shift AS position, point_id, md5(text) AS md5 FROM s WHERE gone = 0
+ UNION ALL SELECT 'point', document_id, position, point_id, md5(text) FROM s WHERE gone = 0 AND point_id IS NOT NULL""")
+def deleted_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Single chunks of one tenant go, with their points; later chunks move up."""
+    chunks = C.chunks(spark, sf).select("tenant_id", "document_id", "position", "point_id", F.md5("text").alias("md5"))
+    gone = chunks.where("position % 5 = 1 and tenant_id = 't1'")
+    left, points = edits.delete_chunks(chunks, chunks.where("point_id is not null"), gone)
+    part = lambda df, name: df.select(F.lit(name).alias("part"), "document_id", "position", "point_id", "md5")
+    return part(left, "chunk").unionByName(part(points, "point"))
+
+
+@query(f"""WITH {C.CHUNKS_SQL}, f AS (SELECT *, document_id % 6 AS folder_id FROM chunks) SELECT document_id, count(*) AS chunks, count(point_id) AS points, md5(string_agg(text, '' ORDER BY position)) AS md5 FROM f
+ WHERE NOT (tenant_id IN ('t0', 't3') AND folder_id = 2) GROUP BY 1""")
+def deleted_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """The folders 2 of two tenants go, with all that is in them."""
+    chunks = C.chunks(spark, sf)
+    documents = chunks.select("tenant_id", "document_id").distinct().withColumn("folder_id", F.col("document_id") % 6)
+    gone = documents.where("tenant_id in ('t0', 't3') and folder_id = 2").select("tenant_id", "folder_id")
+    left, rows, points = edits.delete_folders(documents, chunks, chunks.where("point_id is not null"), gone)
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda c: c["text"]), "")
+    counts = points.groupBy("document_id").agg(F.count("*").alias("points"))
+    out = rows.groupBy("document_id").agg(F.count("*").alias("chunks"), F.md5(texts).alias("md5")).join(counts, "document_id", "left").na.fill(0, ["points"])
+    return left.select("document_id").join(out, "document_id").select("document_id", "chunks", "points", "md5")
+
+
+@query(f"""WITH {C.CHUNKS_SQL} SELECT c.document_id, c.position, c.lot AS payload_lot, c.point_id, b.position AS before_position, substring(b.text, 1, 150) AS before_preview, a.position AS after_position
+ FROM chunks c LEFT JOIN chunks b ON b.document_id = c.document_id AND b.position = c.position - 1 LEFT JOIN chunks a ON a.document_id = c.document_id AND a.position = c.position + 1""")
+def chunk_details_with_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """The lot is read from the payload where there is a point, else from the row."""
+    chunks = C.chunks(spark, sf)
+    points = chunks.where("point_id is not null").select("point_id", F.col("lot").alias("payload_lot"))
+    rows = listing.chunk_detail(chunks, points)
+    near = lambda d: F.get(F.filter("adjacent", lambda x: x["position"] == F.col("position") + d), F.lit(0))
+    lot = F.coalesce(F.get_json_object("payload", "$.payload_lot"), F.when(F.col("point_id").isNull(), F.col("lot")))
+    return rows.select("document_id", "position", lot.alias("payload_lot"), "point_id", near(-1)["position"].alias("before_position"), near(-1)["preview"].alias("before_preview"), near(1)["position"].alias("after_position"))
