@@ -1,22 +1,26 @@
-"""Language-model scoring with a weighted backoff automaton of bigrams.
+"""Language-model scoring with a weighted backoff automaton of n-grams (order 3 as default).
 
-Model. With D the discount n1 / (n1 + 2 n2) of absolute discounting, c(uw) the count of a bigram,
-c(u.) that of its context and T(u) the number of distinct words after u, all over training texts:
+Model. For each length k from 2 on, with D the discount n1 / (n1 + 2 n2) of the n-grams of that length,
+c(hw) the count of one, c(h) that of its context h, T(h) the number of distinct words after h, and h'
+the context without its first word, all over training texts:
 
-    p(w | u) = max(c(uw) - D, 0) / c(u.) + D T(u) / c(u.) * p(w),    p(w) = (c(w) + 1) / (N + V + 1)
+    p(w | h) = max(c(hw) - D, 0) / c(h) + D T(h) / c(h) * p(w | h'),    p(w) = (c(w) + 1) / (N + V + 1)
 
-which adds up to 1 over the known words and one unknown word. Every word u with a successor is a
-state; the bigrams of u are its arcs, and its failure arc leads to the root with weight D T(u) / c(u.).
-A text is scored in one left-to-right pass that carries the state: along an arc or, for words that
-have none, over the failure arc. The pass is written with arrays: the state before a word is the word
-that stands before it, so a position's arc is known at once.
+which adds up to 1 over the known words and one unknown word. Every training n-gram below the order is a
+state, the n-grams that it begins are its arcs, and its failure arc leads to its longest proper suffix
+with weight D T(h) / c(h). A text is scored in one left-to-right traversal that carries the state: along
+an arc where there is one, else over failure arcs until there is one; the root has an arc for each word.
+A state depends on the last words alone (order - 1 of them), so a long text is cut into segments, each
+entered that many words early, and the segments of a block are walked side by side.
 
 Jobs. The corpus is written once as blocks of a few MB: word ids local to the block and the words'
-64-bit hashes. A block sends its distinct contexts and bigrams to buckets by hash; a bucket adds up
-equal ones of all blocks and answers each block with totals in the order asked. Nothing of the size
-of the vocabulary or the model is broadcast or collected: a block scores its texts with the answers
-to its own questions. Contexts that hold over a thousandth of all words would swell one bucket; their
-bigrams are dealt by bigram, and their sums (a thousand rows at most) are joined on the driver.
+64-bit hashes. A block sends its distinct n-grams to buckets by hash; a bucket adds up equal ones of all
+blocks and answers each block with totals in the order asked. An n-gram goes to the bucket of its
+context, where it names it by its place, so only hashes of words are sent. Nothing of the size of the
+vocabulary or the model is broadcast or collected: a block builds the part of the automaton that its
+texts can reach from the answers to its own questions. Contexts that hold over a thousandth of all words
+would swell one bucket; what they begin is dealt by n-gram, and their sums (a thousand rows a length at
+most) are joined on the driver.
 
 Hashes have 64 bits. Among a hundred million distinct words the chance that any two share one is
 about 3 in 10,000; such two would share a count. The words after one context are told apart by 48 of
@@ -34,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix, pair, release, stage, task_id
+from .shared import mix, pair, release, stage, task_id, trim
 
 #: Words gathered into a block, and the share of all words above which a context is hot.
 BLOCK_WORDS, HOT_SHARE = 2_000_000, 1000
 #: Words in a bucket, on average.
 BUCKET_WORDS = 2_000_000
-END = 0
+END, ORDER = 0, 3
+#: Words of a segment, of which many are walked side by side.
+SEGMENT = 512
 #: The end of a text, as a word of the vocabulary.
 END_HASH = np.uint64(0x2545F4914F6CDD1D)
 
@@ -74,7 +80,7 @@ class _Vocabulary(dict):
         return value
 
 
-def _blocks(modulus: int, held: int, limit: int):
+def _blocks(modulus: int, held: int, limit: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
@@ -88,11 +94,14 @@ def _blocks(modulus: int, held: int, limit: int):
             hashes = np.array([int(END_HASH), *(xxh64_intdigest(w) for w in words)], np.uint64)
             ids = np.concatenate(parts)
             flags = np.array(train, bool)
-            counts = np.bincount(ids[np.repeat(flags, lengths)], minlength=len(hashes))
-            busy = np.flatnonzero(counts * HOT_SHARE >= max(1, counts.sum()))
-            row = [[task_id()], [docs], [lengths], [flags.tobytes()], [_squeezed(ids)], [hashes.tobytes()], [int(counts.sum())], [hashes[busy].view(np.int64).tolist()], [counts[busy].tolist()]]
+            levels = _levels(ids, np.array(lengths), flags, hashes, max(1, order - 1))
+            learnt, busy = int(levels[0].counts.sum()), []
+            for k, level in enumerate(levels):
+                at = np.flatnonzero(level.counts * HOT_SHARE >= max(1, learnt))
+                busy += zip([k] * len(at), level.key[at].view(np.int64).tolist(), level.counts[at].tolist(), strict=True)
+            row = [[task_id()], [docs], [lengths], [flags.tobytes()], [_squeezed(ids)], [hashes.tobytes()], [learnt], *([[b[j] for b in busy]] for j in range(3))]
             longs = pa.list_(pa.int64())
-            kinds = [pa.int64(), longs, longs, pa.binary(), pa.binary(), pa.binary(), pa.int64(), longs, longs]
+            kinds = [pa.int64(), longs, longs, pa.binary(), pa.binary(), pa.binary(), pa.int64(), longs, longs, longs]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
@@ -115,52 +124,85 @@ def _blocks(modulus: int, held: int, limit: int):
     return run
 
 
-BLOCK = "block long, docs array<long>, lengths array<long>, train binary, ids binary, hashes binary, n_train long, busy array<long>, busy_n array<long>"
+BLOCK = "block long, docs array<long>, lengths array<long>, train binary, ids binary, hashes binary, n_train long, busy_level array<long>, busy array<long>, busy_n array<long>"
 
 
 @dataclass
-class Pairs:
-    """The distinct bigrams of a block in order, their training counts, and each word's place."""
+class Level:
+    """The distinct n-grams of one length in a block, by context and last word.
 
-    left: np.ndarray
-    right: np.ndarray
+    Contexts and suffixes (without the first word) are numbers in the level below; place[i] is the number
+    of the n-gram that ends at position i, -1 where the text has too few words before it.
+    """
+
+    context: np.ndarray
+    word: np.ndarray
+    suffix: np.ndarray
+    key: np.ndarray
     counts: np.ndarray
     place: np.ndarray
 
 
-def _bigrams(ids: np.ndarray, lengths: np.ndarray, flags: np.ndarray) -> Pairs:
-    """place[i] is the number of the bigram that ends at i; -1 at the first word of a text."""
+def _levels(ids: np.ndarray, lengths: np.ndarray, flags: np.ndarray, hashes: np.ndarray, order: int) -> list[Level]:
+    learnt = np.repeat(flags, lengths)
     first = np.zeros(len(ids), bool)
-    first[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = True
-    at = np.flatnonzero(~first)
-    keys = ids[at - 1].astype(np.uint64) << np.uint64(32) | ids[at]
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    place = np.full(len(ids), -1, np.int64)
-    place[at] = inverse
-    learnt = np.repeat(flags, lengths)[at]
-    counts = np.bincount(inverse[learnt], minlength=len(distinct))
-    return Pairs((distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64), counts, place)
+    first[np.cumsum(lengths) - lengths] = True
+    none = np.zeros(0, np.int32)
+    words = np.arange(len(hashes), dtype=np.int32)
+    levels = [Level(none, words, none, hashes, np.bincount(ids[learnt], minlength=len(hashes)), ids.astype(np.int32))]
+    while len(levels) < order:
+        below = levels[-1]
+        at = 1 + np.flatnonzero(~first[1:] & (below.place[:-1] >= 0))
+        distinct, inverse = np.unique(below.place[at - 1].astype(np.uint64) << np.uint64(32) | ids[at], return_inverse=True)
+        context, word = (distinct >> np.uint64(32)).astype(np.int32), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        suffix, place = np.empty(len(distinct), np.int32), np.full(len(ids), -1, np.int32)
+        suffix[inverse], place[at] = below.place[at], inverse
+        counts = np.bincount(inverse[learnt[at]], minlength=len(distinct))
+        levels.append(Level(context, word, suffix, pair(below.key[context], hashes[word]), counts, place))
+    return levels
 
 
 @dataclass
 class Deal:
-    """How a block's questions are dealt to buckets; made alike when asking and when scoring."""
-
-    words: np.ndarray
-    pairs: np.ndarray
-    buckets: np.ndarray
-    word_bucket: np.ndarray
-    pair_bucket: np.ndarray
+    """How a level's questions are dealt to buckets; made alike when asking and when scoring.
 
+    order: the n-grams by bucket, context and word; bucket: of each of them; starts: where the runs of one
+    context begin; name: a run's context as its place among the bucket's questions of the level below, or
+    -1 - its place among the hot ones.
+    """
 
-def _deal(hashes: np.ndarray, p: Pairs, hot: np.ndarray, buckets: int) -> Deal:
-    """Words by bucket and hash; bigrams by bucket, context and next word."""
-    home = (mix(hashes) % np.uint64(buckets)).astype(np.int64)
-    away = (pair(hashes[p.left], hashes[p.right]) % np.uint64(buckets)).astype(np.int64)
-    to = np.where(np.isin(hashes[p.left], hot), away, home[p.left])
-    words = np.lexsort((hashes, home))
-    pairs = np.lexsort((hashes[p.right], hashes[p.left], to))
-    return Deal(words, pairs, np.unique(np.concatenate([home, to])), home[words], to[pairs])
+    order: np.ndarray
+    bucket: np.ndarray
+    starts: np.ndarray
+    name: np.ndarray
+
+
+def _heat(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The place of each key among the sorted hot ones, -1 where it is not among them."""
+    if not len(hot):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+    return np.where(hot[at] == keys, at, -1)
+
+
+def _deals(levels: list[Level], hot: list[np.ndarray], buckets: int) -> list[Deal]:
+    deals, home, rank = [], np.zeros(0, np.int32), np.zeros(0, np.int32)
+    for k, level in enumerate(levels):
+        away = ((level.key if k else mix(level.key)) % np.uint64(buckets)).astype(np.int32)
+        heat = _heat(levels[k - 1].key, hot[k - 1])[level.context] if k else None
+        to = np.where(heat >= 0, away, home[level.context]) if k else away
+        order = np.argsort(to, kind="stable")
+        bucket = to[order]
+        starts = name = np.zeros(0, np.int64)
+        if k and len(order):
+            context = level.context[order]
+            starts = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])]))
+            own = heat[order[starts]]
+            name = np.where(own >= 0, -1 - own, rank[context[starts]])
+        deals.append(Deal(order, bucket, starts, name))
+        home, rank = to, np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order)) - np.searchsorted(bucket, bucket)
+    return deals
 
 
 def _of_block(row: dict) -> tuple[np.ndarray, ...]:
@@ -168,40 +210,46 @@ def _of_block(row: dict) -> tuple[np.ndarray, ...]:
     return _wide(row["ids"], np.uint32), lengths, np.frombuffer(row["train"], bool), np.frombuffer(row["hashes"], np.uint64)
 
 
-QUESTION = "bucket int, block long, words binary, word_n binary, lefts binary, followers binary, rights binary, pair_n binary"
+def _buckets_of(deals: list[Deal]) -> list[int]:
+    return np.unique(np.concatenate([d.bucket for d in deals])).tolist()
+
 
+#: The arrays hold a value for each length of n-grams from 2 on; counts holds one for words too.
+QUESTION = "bucket int, block long, words binary, counts array<binary>, contexts array<binary>, runs array<binary>, followers array<binary>"
 
-def _questions(hot: np.ndarray, buckets: int):
+
+def _questions(hot: list[np.ndarray], buckets: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        several = pa.list_(pa.binary())
+        kinds = [pa.int32(), pa.int64(), pa.binary(), *[several] * 4]
         for batch in batches:
             for row in batch.to_pylist():
                 ids, lengths, flags, hashes = _of_block(row)
-                p = _bigrams(ids, lengths, flags)
-                deal = _deal(hashes, p, hot, buckets)
-                counts = np.bincount(ids[np.repeat(flags, lengths)], minlength=len(hashes))
-                out = []
-                for b in deal.buckets.tolist():
-                    w = deal.words[slice(*np.searchsorted(deal.word_bucket, [b, b + 1]))]
-                    q = deal.pairs[slice(*np.searchsorted(deal.pair_bucket, [b, b + 1]))]
-                    left = hashes[p.left[q]]
-                    starts = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]])) if len(q) else np.zeros(0, np.int64)
-                    n = np.diff(np.append(starts, len(q))).astype(np.uint32)
-                    # A context is named by its place among this bucket's words, a hot one by its own.
-                    own, own_left = hashes[w], left[starts]
-                    code = np.searchsorted(own, own_left).astype(np.int32)
-                    if len(hot):
-                        heat = np.minimum(np.searchsorted(hot, own_left), len(hot) - 1)
-                        code = np.where(hot[heat] == own_left, -1 - heat, code).astype(np.int32)
-                    out.append((b, row["block"], own.tobytes(), _squeezed(counts[w].astype(np.uint32)), _squeezed(code), _squeezed(n), _six(hashes[p.right[q]]), _squeezed(p.counts[q].astype(np.uint32))))
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+                levels = _levels(ids, lengths, flags, hashes, order)
+                deals, out = _deals(levels, hot, buckets), []
+                for b in _buckets_of(deals):
+                    words, counts, contexts, runs, followers = b"", [], [], [], []
+                    for k, (level, deal) in enumerate(zip(levels, deals, strict=True)):
+                        low, high = np.searchsorted(deal.bucket, [b, b + 1])
+                        own = deal.order[low:high]
+                        counts.append(_squeezed(level.counts[own].astype(np.uint32)))
+                        if not k:
+                            words = hashes[own].tobytes()
+                            continue
+                        some = slice(*np.searchsorted(deal.starts, [low, high]))
+                        contexts.append(_squeezed(deal.name[some].astype(np.int32)))
+                        runs.append(_squeezed(np.diff(np.append(deal.starts[some], high)).astype(np.uint32)))
+                        followers.append(_six(hashes[level.word[own]]))
+                    out.append((b, row["block"], words, counts, contexts, runs, followers))
                 for at in range(0, len(out), 64):
                     columns = zip(*out[at : at + 64], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in QUESTION.split(", ")])
+        trim()
 
     return run
 
 
-ANSWER = "block long, bucket int, word_n binary, pair_n binary, left_t binary, hot array<long>, hot_t array<long>, known long, ones long, twos long"
+ANSWER = "block long, bucket int, totals array<binary>, kinds array<binary>, hot array<long>, hot_t array<long>, known long, ones array<long>, twos array<long>"
 
 
 def _sums(keys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,93 +266,167 @@ def _sums(keys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return group, np.bincount(group, counts, minlength=int(new.sum())).astype(np.int64)
 
 
-def _answers(hot: np.ndarray):
+def _answers(hot: list[np.ndarray]):
+    """Hot contexts are numbered through all levels in ``hot`` of an answer."""
+
     def run(key, held):
-        u8 = lambda c: [np.frombuffer(x, np.uint64) for x in held[c].to_pylist()]
-        u4 = lambda c: [_wide(x, np.uint32).astype(np.int64) for x in held[c].to_pylist()]
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        words, followers = u8("words"), u4("followers")
-        rights = [_eight(x) for x in held["rights"].to_pylist()]
-        codes = [_wide(x, np.int32) for x in held["lefts"].to_pylist()]
-        lefts = [np.concatenate([w, hot[::-1]])[c] for w, c in zip(words, codes, strict=True)]
-        word_group, word_total = _sums([join(words)], join(u4("word_n")))
-        left = np.repeat(join(lefts), join(followers))
-        pair_group, pair_total = _sums([left, join(rights)], join(u4("pair_n")))
-        first = np.zeros(len(pair_total), np.int64)
-        first[pair_group] = np.arange(len(pair_group))
-        contexts, of = np.unique(left[first], return_inverse=True)
-        t = np.bincount(of, pair_total > 0, minlength=len(contexts)).astype(np.int64)
-        busy = np.isin(contexts, hot)
-        sizes = lambda parts: np.cumsum([len(x) for x in parts])[:-1]
-        word_n = np.split(word_total[word_group].astype(np.uint64), sizes(words))
-        pair_n = np.split(pair_total[pair_group].astype(np.uint32), sizes(rights))
-        blocks, bucket = held["block"].to_pylist(), held["bucket"][0].as_py()
-        rows = []
-        for k, block in enumerate(blocks):
-            at = np.searchsorted(contexts, lefts[k])
-            whole = (contexts[busy].view(np.int64).tolist(), t[busy].tolist(), int((word_total > 0).sum()), int((pair_total == 1).sum()), int((pair_total == 2).sum())) if not k else ([], [], 0, 0, 0)
-            rows.append((block, bucket, _squeezed(word_n[k]), _squeezed(pair_n[k]), _squeezed(t[at].astype(np.uint64)), *whole))
-        longs = pa.list_(pa.int64())
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3, longs, longs, *[pa.int64()] * 3]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in ANSWER.split(", ")])
+        split = lambda values, parts: np.split(values, np.cumsum([len(x) for x in parts])[:-1])
+        told = {c: held[c].to_pylist() for c in ("counts", "contexts", "runs", "followers")}
+        u4 = lambda c, k: [_wide(x[k], np.uint32).astype(np.int64) for x in told[c]]
+        words = [np.frombuffer(x, np.uint64) for x in held["words"].to_pylist()]
+        group, total = _sums([join(words)], join(u4("counts", 0)))
+        known, asked = int((total > 0).sum()), words
+        totals = [[_squeezed(x.astype(np.uint64)) for x in split(total[group], asked)]]
+        kinds, ones, twos, hot_at, hot_t = [], [], [], [], []
+        for k, busy in enumerate(hot):
+            begin = np.cumsum([0, *map(len, asked)])[:-1]
+            names = [_wide(x[k], np.int32).astype(np.int64) for x in told["contexts"]]
+            lengths = u4("runs", k)
+            at = join([np.where(n >= 0, n + b, n) for n, b in zip(names, begin, strict=True)])
+            context = len(total) - 1 - at
+            context[at >= 0] = group[at[at >= 0]]
+            asked = [_eight(x[k]) for x in told["followers"]]
+            left = np.repeat(context, join(lengths))
+            below, (group, total) = len(total), _sums([left, join(asked)], join(u4("counts", k + 1)))
+            of = np.zeros(len(total), np.int64)
+            of[group] = left
+            t = np.bincount(of, total > 0, minlength=below + len(busy)).astype(np.int64)
+            totals.append([_squeezed(x.astype(np.uint32)) for x in split(total[group], asked)])
+            kinds.append([_squeezed(x.astype(np.uint32)) for x in split(t[context], names)])
+            ones.append(int((total == 1).sum())), twos.append(int((total == 2).sum()))
+            warm = np.flatnonzero(t[below:])
+            hot_at += (warm + sum(map(len, hot[:k]))).tolist()
+            hot_t += t[below:][warm].tolist()
+        rows, none = [], [0] * len(hot)
+        for k, block in enumerate(held["block"].to_pylist()):
+            sums = ([], [], 0, none, none) if k else (hot_at, hot_t, known, ones, twos)
+            rows.append((block, held["bucket"][0].as_py(), [x[k] for x in totals], [x[k] for x in kinds], *sums))
+        longs, several = pa.list_(pa.int64()), pa.list_(pa.binary())
+        types = [pa.int64(), pa.int32(), several, several, longs, longs, pa.int64(), longs, longs]
+        trim()
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in ANSWER.split(", ")])
 
     return run
 
 
 @dataclass
 class Model:
-    """What is global and small: training words, distinct ones, discount, hot contexts' sums."""
+    """What is global and small: training words, distinct ones, discounts, hot contexts and their T."""
 
     words: int
     known: int
-    discount: float
-    hot: np.ndarray
-    hot_t: np.ndarray
+    discounts: list[float]
+    hot: list[np.ndarray]
+    hot_t: list[np.ndarray]
+
+
+@dataclass
+class Arcs:
+    """The automaton's n-grams of one length: weights (log10) of the arcs that they are and of their failure
+    arcs as states, their suffixes, and at each position the arc that ends there, -1 where there is none."""
+
+    weight: np.ndarray
+    failure: np.ndarray
+    suffix: np.ndarray
+    ending: np.ndarray
+
+
+def automaton(levels: list[Level], totals: list[np.ndarray], kinds: list[np.ndarray], model: Model) -> list[Arcs]:
+    """The part of the automaton that the block's texts can reach; kinds are T of each level's n-grams."""
+    out, prob = [], (totals[0] + 1.0) / (model.words + model.known + 1)
+    for k, (level, total) in enumerate(zip(levels, totals, strict=True)):
+        if k:
+            context = np.maximum(totals[k - 1], 1)[level.context]
+            prob = np.maximum(total - model.discounts[k - 1], 0) / context + share[level.context] * prob[level.suffix]
+        there = total > 0
+        if k < len(kinds):
+            # A state without a successor is the end of a text, which nothing follows.
+            share = np.where(there & (kinds[k] > 0), model.discounts[k] * kinds[k] / np.maximum(total, 1), 1.0)
+        failure = np.log10(share) if k < len(kinds) else np.zeros(0)
+        ending = np.where((level.place >= 0) & there[level.place], level.place, -1) if len(total) else level.place
+        # Of the words, unknown ones too have an arc of the root.
+        out.append(Arcs(np.log10(np.where(there, prob, 1.0) if k else prob), failure, level.suffix, ending))
+    return out
+
+
+def traverse(arcs: list[Arcs], words: np.ndarray, lengths: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """The weight of each position of the texts, walked left to right with the state carried along."""
+    deepest = len(arcs) - 1
+    pieces = -(-lengths // segment)
+    text = np.repeat(np.arange(len(lengths)), pieces)
+    begin = np.cumsum(lengths) - lengths
+    low = begin[text] + segment * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    high = np.minimum(low + segment, begin[text] + lengths[text])
+    enter = np.maximum(low - deepest, begin[text])
+    longest = np.argsort(enter - high, kind="stable")
+    low, high, enter = low[longest], high[longest], enter[longest]
+    out = np.zeros(len(words))
+    state, depth = np.zeros(len(low), np.int64), np.zeros(len(low), np.int64)
+    left = len(low)
+    for step in range(int((high - enter).max(initial=0))):
+        left = int(np.searchsorted(enter[:left] - high[:left], -step, "left"))
+        at = enter[:left] + step
+        now, deep, weight = state[:left], depth[:left], np.zeros(left)
+        open_, to, to_depth = np.ones(left, bool), np.zeros(left, np.int64), np.zeros(left, np.int64)
+        for k in range(deepest, 0, -1):
+            here = np.flatnonzero(open_ & (deep == k))
+            arc = arcs[k].ending[at[here]]
+            some, arc = here[arc >= 0], arc[arc >= 0]
+            weight[some] += arcs[k].weight[arc]
+            to[some] = arcs[k].suffix[arc] if k == deepest else arc
+            to_depth[some] = min(k + 1, deepest)
+            open_[some] = False
+            failed = here[open_[here]]
+            weight[failed] += arcs[k - 1].failure[now[failed]]
+            if k > 1:
+                now[failed] = arcs[k - 1].suffix[now[failed]]
+            deep[failed] = k - 1
+        root = np.flatnonzero(open_)
+        word = words[at[root]]
+        weight[root] += arcs[0].weight[word]
+        known = (arcs[0].ending[at[root]] >= 0) & (word != END) & (deepest > 0)
+        to[root], to_depth[root] = np.where(known, word, 0), known
+        state[:left], depth[:left] = to, to_depth
+        own = at >= low[:left]
+        out[at[own]] = weight[own]
+    return out
 
 
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(model: Model, buckets: int):
+def _scores(model: Model, buckets: int, order: int):
     def run(key, own, answers):
         row = own.to_pylist()[0]
         ids, lengths, flags, hashes = _of_block(row)
-        p = _bigrams(ids, lengths, flags)
-        deal = _deal(hashes, p, model.hot, buckets)
-        told = {a["bucket"]: a for a in answers.select(["bucket", "word_n", "pair_n", "left_t"]).to_pylist()}
-        all_of = lambda c, kind: np.concatenate([_wide(told[b][c], kind) for b in deal.buckets.tolist()]).astype(np.int64)
-        word_n = np.zeros(len(hashes), np.int64)
-        word_n[deal.words] = all_of("word_n", np.uint64)
-        pair_n = np.zeros(len(p.left), np.int64)
-        pair_n[deal.pairs] = all_of("pair_n", np.uint32)
-        # Every word but the end is followed by one, so a context's count is its word's.
-        context_n, context_t = np.where(np.arange(len(hashes)) == END, 0, word_n), np.zeros(len(hashes), np.int64)
-        asked, to = p.left[deal.pairs], deal.pair_bucket
-        starts = np.flatnonzero(np.concatenate([[True], (asked[1:] != asked[:-1]) | (to[1:] != to[:-1])])) if len(asked) else np.zeros(0, np.int64)
-        context_t[asked[starts]] = all_of("left_t", np.uint64)
-        order = np.argsort(hashes)
-        for h, t in zip(model.hot, model.hot_t, strict=True):
-            at = order[min(np.searchsorted(hashes, h, sorter=order), len(order) - 1)]
-            if hashes[at] == h:
-                context_t[at] = t
-        unigram = (word_n + 1.0) / (model.words + model.known + 1)
-        # The automaton of this block: an arc's weight for each bigram, a failure weight for each state.
-        total = np.maximum(context_n, 1)
-        failure = np.where(context_n > 0, model.discount * context_t / total, 1.0)
-        arc = np.maximum(pair_n - model.discount, 0) / total[p.left] + failure[p.left] * unigram[p.right]
-        base = np.log10(unigram)[ids]
-        step = np.where(p.place >= 0, np.log10(arc)[p.place] if len(arc) else 0.0, base)
-        ends = np.cumsum(lengths)
-        begin = ends - lengths
+        levels = _levels(ids, lengths, flags, hashes, order)
+        deals = _deals(levels, model.hot, buckets)
+        told = {a["bucket"]: a for a in answers.to_pylist()}
+        all_of = lambda c, k, kind: np.concatenate([_wide(told[b][c][k], kind) for b in _buckets_of(deals)]).astype(np.int64)
+        totals, kinds = [], []
+        for k, (level, deal) in enumerate(zip(levels, deals, strict=True)):
+            total = np.zeros(len(level.key), np.int64)
+            total[deal.order] = all_of("totals", k, np.uint32 if k else np.uint64)
+            totals.append(total)
+            if k:
+                t = np.zeros(len(levels[k - 1].key), np.int64)
+                t[level.context[deal.order[deal.starts]]] = all_of("kinds", k - 1, np.uint32)
+                heat = _heat(levels[k - 1].key, model.hot[k - 1])
+                t[heat >= 0] = model.hot_t[k - 1][heat[heat >= 0]]
+                kinds.append(t)
+        arcs = automaton(levels, totals, kinds, model)
+        begin = np.cumsum(lengths) - lengths
         add = lambda x: np.add.reduceat(x, begin)
-        known = add((word_n > 0)[ids].astype(np.int64))
-        columns = [pa.array(row["docs"], pa.int64()), pa.array(~flags), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), model.words)), pa.array(add(base)), pa.array(add(step))]
+        known, base = add((totals[0] > 0)[ids].astype(np.int64)), add(arcs[0].weight[ids])
+        columns = [pa.array(row["docs"], pa.int64()), pa.array(~flags), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), model.words)), pa.array(base), pa.array(add(traverse(arcs, ids, lengths)))]
+        trim()
         return pa.Table.from_arrays(columns, [c.split()[0] for c in SCORE.split(", ")])
 
     return run
 
 
-def score(documents: DataFrame, modulus: int = 7, held: int = 2, block_words: int = BLOCK_WORDS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+def score(documents: DataFrame, modulus: int = 7, held: int = 2, block_words: int = BLOCK_WORDS, bucket_words: int = BUCKET_WORDS, order: int = ORDER) -> DataFrame:
     """documents(doc_id, text) scored by the model of those whose crc32(doc_id) % modulus is not held.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). A null text
@@ -312,21 +434,23 @@ def score(documents: DataFrame, modulus: int = 7, held: int = 2, block_words: in
     and scored one by one; an empty table gives no rows. Other columns are not read.
     """
     spark = documents.sparkSession
-    blocks = stage(documents.select("doc_id", "text").mapInArrow(_blocks(modulus, held, block_words), BLOCK), "lm-blocks")
+    blocks = stage(documents.select("doc_id", "text").mapInArrow(_blocks(modulus, held, block_words, order), BLOCK), "lm-blocks")
     words = blocks.agg(F.sum("n_train").alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("all")).first()
     n = words["n"] or 0
-    busy = blocks.select(F.explode(F.arrays_zip("busy", "busy_n")).alias("b")).groupBy(F.col("b.busy").alias("word"))
-    # At most HOT_SHARE words can each be a share of 1 / HOT_SHARE of all.
-    hot = busy.agg(F.sum("b.busy_n").alias("n")).where(F.col("n") * HOT_SHARE >= n).select("word").collect()
-    hot = np.sort(np.array([r.word for r in hot], np.int64).view(np.uint64))
+    busy = blocks.select(F.explode(F.arrays_zip("busy_level", "busy", "busy_n")).alias("b")).groupBy(F.col("b.busy_level").alias("level"), F.col("b.busy").alias("key"))
+    # At most HOT_SHARE n-grams of a length can each be a share of 1 / HOT_SHARE of all.
+    busy = busy.agg(F.sum("b.busy_n").alias("n")).where(F.col("n") * HOT_SHARE >= n).collect()
+    hot = [np.sort(np.array([r.key for r in busy if r.level == k], np.int64).view(np.uint64)) for k in range(order - 1)]
     buckets = max(1, -(-(words["all"] or 0) // bucket_words))
-    questions = blocks.mapInArrow(_questions(hot, buckets), QUESTION)
+    questions = blocks.mapInArrow(_questions(hot, buckets, order), QUESTION)
     answers = stage(questions.groupBy("bucket").applyInArrow(_answers(hot), ANSWER), "lm-answers")
     release(spark)
-    sums = answers.agg(*(F.sum(c).alias(c) for c in ("known", "ones", "twos"))).first()
-    ones, twos = sums["ones"] or 0, sums["twos"] or 0
-    zipped = answers.select(F.explode(F.arrays_zip("hot", "hot_t")).alias("h")).groupBy(F.col("h.hot").alias("word"))
-    of_hot = {r.word: r.t for r in zipped.agg(F.sum("h.hot_t").alias("t")).collect()}
-    hot_t = np.array([of_hot.get(int(w), 0) for w in hot.view(np.int64)], np.int64)
-    model = Model(n, sums["known"] or 0, ones / (ones + 2 * twos) if ones else 0.5, hot, hot_t)
-    return blocks.groupBy("block").cogroup(answers.drop("hot", "hot_t", "known", "ones", "twos").groupBy("block")).applyInArrow(_scores(model, buckets), SCORE)
+    sums = answers.agg(F.sum("known").alias("known"), *(F.sum(F.get(c, F.lit(k))).alias(f"{c}{k}") for c in ("ones", "twos") for k in range(order - 1))).first()
+    zipped = answers.select(F.explode(F.arrays_zip("hot", "hot_t")).alias("h")).groupBy(F.col("h.hot").alias("at"))
+    hot_t = np.zeros(sum(map(len, hot)), np.int64)
+    for r in zipped.agg(F.sum("h.hot_t").alias("t")).collect():
+        hot_t[r["at"]] = r.t
+    rates = [(sums[f"ones{k}"] or 0, sums[f"twos{k}"] or 0) for k in range(order - 1)]
+    discounts = [ones / (ones + 2 * twos) if ones else 0.5 for ones, twos in rates]
+    model = Model(n, sums["known"] or 0, discounts, hot, np.split(hot_t, np.cumsum([len(h) for h in hot])[:-1]))
+    return blocks.groupBy("block").cogroup(answers.select("block", "bucket", "totals", "kinds").groupBy("block")).applyInArrow(_scores(model, buckets, order), SCORE)

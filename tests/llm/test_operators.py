@@ -349,44 +349,84 @@ def test_repeated_words_against_counting():
         assert quality.repeated_words(words, 5) == len(hit)
 
 
-def test_language_model_matches_counting(spark):
+def counted_model(texts: list[list[bytes]], order: int):
+    """p(word, context) by plain counting."""
+    grams = Counter(tuple(t[i : i + k]) for t in texts for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    after, kinds, discount = Counter(), Counter(), {}
+    for g, n in grams.items():
+        after[g[:-1]] += n
+        kinds[g[:-1]] += 1
+    for k in range(2, order + 1):
+        ones, twos = (sum(len(g) == k and n == m for g, n in grams.items()) for m in (1, 2))
+        discount[k] = ones / (ones + 2 * twos) if ones else 0.5
+
+    def p(word, context):
+        if not context:
+            return (grams[(word,)] + 1) / (after[()] + kinds[()] + 1)
+        lower = p(word, context[1:])
+        if not after[context]:
+            return lower
+        d = discount[len(context) + 1]
+        return max(grams[*context, word] - d, 0) / after[context] + d * kinds[context] / after[context] * lower
+
+    return p, grams
+
+
+def lm_tokens(text):
+    return [*(text or "").encode().lower().split(), b"\n"]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("share", [1000, 20])
+def test_language_model_matches_counting(spark, monkeypatch, order, share):
+    """With a share of 20, many words and n-grams are hot."""
     rows = sample_rows()
+    monkeypatch.setattr(lm_score, "HOT_SHARE", share)
     got = defaultdict(list)
-    for r in lm_score.score(frame(spark, rows), block_words=150, bucket_words=100).collect():
+    for r in lm_score.score(frame(spark, rows), block_words=150, bucket_words=100, order=order).collect():
         got[r.doc_id].append(r)
-    tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
-    unigrams, bigrams, after, kinds = Counter(), Counter(), Counter(), Counter()
+    texts = [lm_tokens(t) for i, t in rows if not held(i)]
+    p, grams = counted_model(texts, order)
     for i, t in rows:
-        if not held(i):
-            unigrams.update(tokens(t))
-            bigrams.update(zip(tokens(t), tokens(t)[1:]))
-    for (u, _), n in bigrams.items():
-        after[u] += n
-        kinds[u] += 1
-    ones, twos = (sum(v == k for v in bigrams.values()) for k in (1, 2))
-    d, n, v = ones / (ones + 2 * twos), sum(unigrams.values()), len(unigrams)
-    p = lambda w: (unigrams[w] + 1) / (n + v + 1)
-    for i, t in rows:
-        w = tokens(t)
-        base = sum(math.log10(p(x)) for x in w)
-        score = math.log10(p(w[0]))
-        for u, x in zip(w, w[1:]):
-            score += math.log10(max(bigrams[u, x] - d, 0) / after[u] + d * kinds[u] / after[u] * p(x) if after[u] else p(x))
+        w = lm_tokens(t)
+        base = sum(math.log10(p(x, ())) for x in w)
+        score = sum(math.log10(p(x, tuple(w[max(0, k - order + 1) : k]))) for k, x in enumerate(w))
         for r in got[i]:
-            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(w), sum(unigrams[x] > 0 for x in w), n)
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(w), sum(grams[(x,)] > 0 for x in w), sum(map(len, texts)))
             assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
     assert sum(map(len, got.values())) == len(rows)
-    assert lm_score.score(frame(spark, EMPTY)).count() == 0
+    assert lm_score.score(frame(spark, EMPTY), order=order).count() == 0
 
 
 def test_language_model_adds_up_to_one():
-    """The arcs and the failure arc of a state share all of its mass."""
-    bigrams = Counter({("a", "b"): 3, ("a", "c"): 1, ("b", "a"): 2})
-    d, n, v = 0.7, 6, 3
-    unigram = {"a": 2 / 6, "b": 3 / 6, "c": 1 / 6}
-    total = sum(max(bigrams["a", w] - d, 0) / 4 + d * 2 / 4 * unigram[w] for w in unigram)
-    assert total == pytest.approx(1) and n > v
+    """The arcs and the failure arcs of each state share all of its mass, over all words and an unknown one."""
+    rng = random.Random(8)
+    texts = [[rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(1, 12))] + [b"\n"] for _ in range(30)]
+    p, _ = counted_model(texts, 3)
+    for context in [(), (b"a",), (b"a", b"b"), (b"z", b"c"), (b"d", b"d")]:
+        assert sum(p(w, context) for w in (b"a", b"b", b"c", b"d", b"\n", b"unseen")) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("segment", [1, 3, 7, 512])
+def test_segments_are_entered_in_the_state_of_the_whole_text(segment):
+    """A block that learns from all of its texts, walked in segments of any length, against counting."""
+    rng = random.Random(9)
+    lengths = np.array([1, 2, 3, 40, 300, 1, 9])
+    ids = np.concatenate([[*(rng.randint(1, 5) for _ in range(n - 1)), lm_score.END] for n in lengths]).astype(np.uint32)
+    hashes = np.arange(1, 7, dtype=np.uint64)
+    flags = np.array([True, True, True, True, False, True, False])
+    levels = lm_score._levels(ids, lengths, flags, hashes, 4)
+    ends = np.cumsum(lengths)
+    texts = [ids[e - n : e].tolist() for e, n in zip(ends, lengths)]
+    p, grams = counted_model([t for t, f in zip(texts, flags) if f], 4)
+    kinds = [np.bincount(x.context, x.counts > 0, minlength=len(below.key)).astype(np.int64) for below, x in zip(levels, levels[1:])]
+    rates = [((x.counts == 1).sum(), (x.counts == 2).sum()) for x in levels[1:]]
+    discounts = [a / (a + 2 * b) if a else 0.5 for a, b in rates]
+    model = lm_score.Model(int(levels[0].counts.sum()), int((levels[0].counts > 0).sum()), discounts, [], [])
+    arcs = lm_score.automaton(levels, [x.counts for x in levels], kinds, model)
+    want = [math.log10(p(x, tuple(t[max(0, k - 3) : k]))) for t in texts for k, x in enumerate(t)]
+    assert lm_score.traverse(arcs, ids, lengths, segment) == pytest.approx(want)
 
 
 def test_base_counts_of_quality_against_counting(spark):
