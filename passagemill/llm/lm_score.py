@@ -214,7 +214,8 @@ def _buckets_of(deals: list[Deal]) -> list[int]:
     return np.unique(np.concatenate([d.bucket for d in deals])).tolist()
 
 
-#: The arrays hold a value for each length of n-grams from 2 on; counts holds one for words too.
+#: The arrays hold a value for each length of n-grams from 2 on; counts holds one for words too. Places of
+#: contexts rise, so their differences are stored.
 QUESTION = "bucket int, block long, words binary, counts array<binary>, contexts array<binary>, runs array<binary>, followers array<binary>"
 
 
@@ -237,7 +238,7 @@ def _questions(hot: list[np.ndarray], buckets: int, order: int):
                             words = hashes[own].tobytes()
                             continue
                         some = slice(*np.searchsorted(deal.starts, [low, high]))
-                        contexts.append(_squeezed(deal.name[some].astype(np.int32)))
+                        contexts.append(_squeezed(np.diff(deal.name[some], prepend=0).astype(np.int32)))
                         runs.append(_squeezed(np.diff(np.append(deal.starts[some], high)).astype(np.uint32)))
                         followers.append(_six(hashes[level.word[own]]))
                     out.append((b, row["block"], words, counts, contexts, runs, followers))
@@ -281,7 +282,7 @@ def _answers(hot: list[np.ndarray]):
         kinds, ones, twos, hot_at, hot_t = [], [], [], [], []
         for k, busy in enumerate(hot):
             begin = np.cumsum([0, *map(len, asked)])[:-1]
-            names = [_wide(x[k], np.int32).astype(np.int64) for x in told["contexts"]]
+            names = [np.cumsum(_wide(x[k], np.int32), dtype=np.int64) for x in told["contexts"]]
             lengths = u4("runs", k)
             at = join([np.where(n >= 0, n + b, n) for n, b in zip(names, begin, strict=True)])
             context = len(total) - 1 - at
