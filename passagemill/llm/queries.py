@@ -35,7 +35,8 @@ def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents"))
+    """Bigrams: longer n-grams go beyond the disk budget (README)."""
+    return lm_score.score(table(spark, sf_dir, "documents"), order=2)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
