@@ -33,6 +33,20 @@ def test_lines_of_similarity_are_found_without_a_fingerprint_gate(spark):
     assert near >= 0.95 * len(pairs)
 
 
+@pytest.mark.parametrize("length", [29, 30, 31, 32, 36])
+def test_lines_on_both_sides_of_the_border_of_gram_widths_meet(spark, length):
+    """A line and the same one with letters added, each side of 32 characters, in letters of one or two bytes."""
+    rng = random.Random(length)
+    rows = []
+    for i in range(60):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéü") for _ in range(length))
+        at = rng.randrange(length)
+        rows += [(2 * i, line), (2 * i + 1, line[:at] + "x" * rng.randint(1, 3) + line[at:])]
+    assert all(line_dedup.similar(a, b, 0.8) for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True))
+    gone = {r.doc_id for r in line_dedup.digests(frame(spark, rows)).collect() if r.n_removed}
+    assert gone <= {i for i, _ in rows if i % 2} and len(gone) >= 0.95 * 60
+
+
 def test_a_large_group_of_different_near_lines_is_one(spark):
     rng = random.Random(32)
     base = [f"{rng.choice('bcdfg')}{rng.getrandbits(20):x}" for _ in range(40)]
