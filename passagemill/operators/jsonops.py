@@ -1,12 +1,10 @@
 """Handling of what a model returned (Y1-Y13): JSON inside columns.
 
-Parsing, repair, filtering, merging and defaults are column functions; only the flattening of sections
-nested at will (Y5) is a small Python function.
+Parsing, repair, flattening, filtering, merging and defaults are column functions.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,27 +69,32 @@ def parse_reformulation(rows: DataFrame, column: str = "raw", first: str = "firs
     return rows.withColumn("query", F.when((query != "") & ~again, query))
 
 
-def flattened(raw: str | None) -> str | None:
-    """Nested sections as one object of description, kpis, details and schema."""
-    data = json.loads(raw) if raw else None
-    if not isinstance(data, dict) or isinstance(data.get("description"), str):
-        return raw
-    parts = [x for v in data.values() for x in (v if isinstance(v, list) else [v]) if isinstance(x, dict)]
-    of = lambda name: [str(x) for p in parts if isinstance(p.get(name), list) for x in p[name]]
-    said = [p["description"] for p in parts if isinstance(p.get("description"), str) and p["description"]]
-    kpis, details = of("kpis"), of("details")
-    if not (said or kpis or details):
-        return raw
-    schema = next((p["schema"] for p in parts if isinstance(p.get("schema"), dict)), None)
-    return json.dumps({"description": " ".join(said), "kpis": kpis[:5], "details": details, "schema": schema}, ensure_ascii=False)
+def flat_section(raw: Column) -> Column:
+    """An answer of nested sections as one object of description, kpis (five at most), details and schema.
 
-
-def _each(function: Callable, kind: str, *columns: str) -> Column:
-    @F.pandas_udf(kind)
-    def apply(*series: pd.Series) -> pd.Series:
-        return pd.Series([function(*values) for values in zip(*series, strict=True)], dtype=object)
-
-    return apply(*columns)
+    The sections are the objects among the answer's values and in lists there, in the order of the text, which
+    a map keeps and a variant does not. Answers with a description of their own, or without anything said
+    below, stay as they are; what is no JSON is null. Nulls in lists are dropped.
+    """
+    none = F.array().cast("array<string>")
+    of_kind = lambda v, kind: F.coalesce(F.schema_of_variant(v).startswith(kind), F.lit(False))
+    whole = F.try_parse_json(raw)
+    values = F.filter(F.map_values(F.from_json(raw, "map<string,string>")), lambda x: x.isNotNull())
+    items = F.flatten(F.transform(values, lambda x: F.when(x.startswith("["), F.coalesce(F.from_json(x, "array<string>"), none)).otherwise(F.array(x))))
+    sections = F.filter(F.transform(items, F.try_parse_json), lambda v: of_kind(v, "OBJECT"))
+
+    def joined(found: Column) -> Column:
+        listed = lambda name: F.array_compact(F.flatten(F.transform(found, lambda v: F.coalesce(F.try_variant_get(v, f"$.{name}", "array<string>"), none))))
+        said = F.filter(F.transform(found, lambda v: _text(v, "description")), lambda d: d != "")
+        drawn = F.filter(F.transform(found, lambda v: F.try_variant_get(v, "$.schema", "variant")), lambda v: of_kind(v, "OBJECT"))
+        flat = F.struct(F.array_join(said, " ").alias("description"), F.slice(listed("kpis"), 1, 5).alias("kpis"), listed("details").alias("details"), F.get(drawn, 0).alias("schema"))
+        some = F.size(said) + F.size(listed("kpis")) + F.size(listed("details")) > 0
+        return F.when(some, F.to_json(flat, {"ignoreNullFields": "false"}))
+
+    # As a variable of a lambda, the sections are parsed once.
+    flat = F.get(F.transform(F.array(sections), joined), 0)
+    nested = of_kind(whole, "OBJECT") & _text(whole, "description").isNull()
+    return F.when(nested, F.coalesce(flat, raw)).when(whole.isNotNull(), raw)
 
 
 #: What may close a JSON text that was cut off, in the order of trial: fixed values.
@@ -110,15 +113,7 @@ def repair_json(rows: DataFrame, column: str = "raw", most: int = 200) -> DataFr
 
 def normalize_section(rows: DataFrame, column: str = "raw") -> DataFrame:
     """Y5."""
-    return rows.withColumn("section", _each(lambda raw: flattened(raw if raw and _readable(raw) else None), "string", column))
-
-
-def _readable(raw: str) -> bool:
-    try:
-        json.loads(raw)
-    except ValueError:
-        return False
-    return True
+    return rows.withColumn("section", flat_section(F.col(column)))
 
 
 def clean_section(rows: DataFrame, column: str = "section") -> DataFrame:

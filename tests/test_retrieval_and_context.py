@@ -164,8 +164,18 @@ def test_json(spark):
                     pass
 
     assert [m and json.loads(m) for m in mended] == [plain(t) for t in broken] and mended[0] is not None and mended[1] is None
-    flat = json.loads(jsonops.flattened('{"m": [{"description": "d1", "kpis": ["k"]}, {"details": ["x"]}]}'))
-    assert flat == {"description": "d1", "kpis": ["k"], "details": ["x"], "schema": None}
+
+
+def test_nested_sections_become_one(spark):
+    """In the order of the text; what has a description, says nothing or is no JSON object stays, else null."""
+    nested = '{"m": [{"description": "d1", "kpis": ["k"]}, {"details": ["x", 3, null]}, "s", 4], "a": {"description": "d2", "schema": {"z": [1]}}, "n": null}'
+    long = '{"a": [{"kpis": ["1", "2", "3"]}, {"kpis": ["4", "5", "6"], "description": 7}]}'
+    same = ['{"description":"own","m":{"description":"d"}}', "[1]", '{"a":{"kpis":"no list","schema":{"q":1}}}', "{}", "null"]
+    rows = [nested, long, *same, "no JSON", "", None]
+    got = [r.section for r in jsonops.normalize_section(spark.createDataFrame(list(enumerate(rows)), "i int, raw string")).orderBy("i").collect()]
+    assert json.loads(got[0]) == {"description": "d1 d2", "kpis": ["k"], "details": ["x", "3"], "schema": {"z": [1]}}
+    assert json.loads(got[1]) == {"description": "", "kpis": ["1", "2", "3", "4", "5"], "details": [], "schema": None}
+    assert got[2:] == [*same, None, None, None]
 
 
 def test_tables(spark):
