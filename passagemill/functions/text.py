@@ -50,6 +50,12 @@ def article_dedup_key(text: Column) -> Column:
     return F.lower(collapse(F.regexp_replace(text, P.LEADING_ARTICLE, "")))
 
 
+def plain_key(text: Column) -> Column:
+    """Lower case letter by letter, runs of ASCII white space as one space: T3 without the cut, for texts whose
+    first number is no article (an address, a date)."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(text, "\u0130\u03a3", "i\u03c3")), r"[\t\n\f\r ]+", " "))
+
+
 def dedup_key(text: Column) -> Column:
     """T4: without localisation tails and quantities."""
     return F.lower(collapse(F.regexp_replace(F.regexp_replace(text, P.LOCALISATION_TAIL, ""), P.AMOUNT, "")))

@@ -5,6 +5,8 @@ passages(query_id, seq, text, score, filename, page, lot, position): seq is the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,9 +70,12 @@ def last_messages(messages: DataFrame, n: int = 7) -> DataFrame:
     return last.withColumn("place", F.row_number().over(w.orderBy("turn")))
 
 
-def merge_article_copies(passages: DataFrame) -> DataFrame:
-    """K1: a row for each paragraph: the best copy (the first of equals) and all copies in input order."""
-    key = T.article_dedup_key(F.col("text"))
+def merge_article_copies(passages: DataFrame, key_of: Callable[[Column], Column] = T.article_dedup_key) -> DataFrame:
+    """K1: a row for each paragraph: the best copy (the first of equals) and all copies in input order.
+
+    Texts of one ``key_of`` are copies.
+    """
+    key = key_of(F.col("text"))
     copy = F.struct("seq", "filename", "page")
     best = F.max_by(F.struct("seq", "text", "score", "filename", "page", "lot", "position"), F.struct("score", -F.col("seq")))
     merged = passages.groupBy("query_id", key.alias("key")).agg(best.alias("kept"), F.array_sort(F.collect_list(copy)).alias("copies"))

@@ -241,3 +241,16 @@ def test_streams(spark, tmp_path):
 def test_section_tree_has_all_ancestors(spark):
     rows = spark.createDataFrame([(["a", "b"],), (["a", "b"],), (["c"],), ([],)], "parent_sections array<string>")
     assert {r.path: r.chunks for r in stats.section_tree(rows).collect()} == {"a": 0, "a > b": 2, "c": 1}
+
+
+def test_copies_under_an_address_are_told_apart_where_the_key_is_the_whole_text(spark):
+    """As in the SQL of previews, merge_copies and passage_headers: a leading number of four levels stays."""
+    from passagemill.functions import text as T
+
+    lines = ["10.0.0.1 Mur  Porteur", "10.0.0.2 mur porteur", "10.0.0.1 mur\u00a0porteur", "10.0.0.1\tmur porteur ", "\u0130\u03a3"]
+    rows = spark.createDataFrame([(1, n, t, float(n), "f", n, "x", n) for n, t in enumerate(lines)], "query_id long, seq long, text string, score double, filename string, page long, lot string, position long")
+    keys = [r.key for r in rows.orderBy("seq").select(T.plain_key(F.col("text")).alias("key")).collect()]
+    assert keys == ["10.0.0.1 mur porteur", "10.0.0.2 mur porteur", "10.0.0.1 mur\u00a0porteur", "10.0.0.1 mur porteur", "i\u03c3"]
+    merged = context.merge_article_copies(rows, T.plain_key)
+    assert sorted((r.seq, len(r.copies)) for r in merged.collect()) == [(1, 1), (2, 1), (3, 2), (4, 1)]
+    assert {r.seq: r.header for r in context.passage_header(merged).collect()}[3] == "[f, p.3 ; aussi : f, p.0]"
