@@ -75,13 +75,13 @@ def similar_groups(documents: DataFrame, width: int = WIDTH, least: float = SIMI
     rows = stage(keyed.mapInArrow(_sketches(width), "doc_id long, text_key long, id long, size int, sketch binary"), "document-sketches")
     classes = rows.groupBy("id").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("text_key").alias("text_key"))
     classes = stage(classes, "document-classes")
-    pairs = near_pairs(classes, BANDS, least, AGREE)
+    pairs, large = near_pairs(classes, BANDS, least, AGREE)
     release(spark)
-    met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct()
     wanted = classes.select("id", "text_key").join(met, "id")
     texts = stage(keyed.select("text_key", "text").join(wanted, "text_key").select("id", "text").dropDuplicates(["id"]), "documents-compared")
     release(spark)
-    links = links_of(pairs, texts, lambda a, b: jaccard(a, b, width) >= least, "document-links")
+    links = links_of(pairs, large, texts, lambda a, b: jaccard(a, b, width) >= least, least, AGREE, "document-links")
     release(spark)
     rows = rows.select("doc_id", "text_key", "id")
     if not links.take(1):

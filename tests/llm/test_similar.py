@@ -5,7 +5,7 @@ import random
 import pytest
 
 pytest.importorskip("xxhash")
-from passagemill.llm import line_dedup, quality, similar_documents, simhash_dedup  # noqa: E402
+from passagemill.llm import line_dedup, minhash, quality, similar_documents, simhash_dedup  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -95,3 +95,15 @@ def test_a_common_line_of_a_large_host_is_found(spark):
     got = {r.doc_id: r for r in quality.assess(frame(spark, rows)).collect()}
     assert all(got[i].removed == [1] for i in range(30)) and all(not got[i].removed for i in range(31, 600))
     assert got[30].depleted or got[30].removed == [0, 1]
+
+
+@pytest.mark.parametrize("cell", [7, 8192])
+def test_a_large_bucket_loses_no_link_that_no_pivot_has(spark, monkeypatch, cell):
+    """200 items of one sketch, of which only each two neighbours pass the test."""
+    monkeypatch.setattr(minhash, "CELL", cell)
+    sketch = bytes(4 * 12 + 8)
+    items = spark.createDataFrame([(i, 100, sketch) for i in range(200)], "id long, size int, sketch binary").repartition(3)
+    texts = spark.createDataFrame([(i, str(i // 2)) for i in range(200)], "id long, text string")
+    pairs, large = minhash.near_pairs(items, 12, 0.8, 5)
+    found = minhash.links(pairs, large, texts, lambda a, b: a == b, 0.8, 5, "neighbours")
+    assert sorted((r.a, r.b) for r in found.collect()) == [(i, i + 1) for i in range(0, 200, 2)]
