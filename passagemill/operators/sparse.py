@@ -126,6 +126,13 @@ def load_index(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/count"))
 
 
+def token_counts(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What token_idf() takes, without an index: (token, n) of each point's distinct tokens, and the number of points."""
+    points = points.where("point_id is not null")
+    tokens = points.select(F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("token"), F.lit(1).alias("n"))
+    return tokens, points.agg(F.count("*").alias("n"))
+
+
 def token_idf(blocks: DataFrame, n_points: DataFrame) -> DataFrame:
     """(token, df, idf) with idf = ln(1 + (N - df + 0.5) / (df + 0.5)); only tokens and numbers are read."""
     df = blocks.groupBy("token").agg(F.sum("n").alias("df"))

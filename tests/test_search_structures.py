@@ -203,3 +203,11 @@ def test_texts_within_texts(spark, monkeypatch):
         asked = spark.createDataFrame(items, "query_id long, tenant_id string, text string")
         found = contained.containing(asked, spark.createDataFrame(chunks, kinds).repartition(3), ("tenant_id",))
         assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_token_counts_give_the_idf_of_an_index(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "t", "p", "mur mur béton"), (2, "u", "p", "Béton acier"), (None, "t", "p", "mur"), (3, "t", "p", None)], "point_id long, tenant_id string, project_id string, text string")
+    index = sparse.build_index(rows, str(tmp_path))
+    listed = lambda df: sorted((r.token, r.df, r.idf) for r in df.collect())
+    got = listed(sparse.token_idf(*sparse.token_counts(rows)))
+    assert got == listed(sparse.token_idf(*index)) and [x[:2] for x in got] == [("acier", 1), ("beton", 2), ("mur", 1)]
