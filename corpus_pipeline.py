@@ -26,7 +26,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a 5-word Jaccard similarity of 0.8 or more stays."""
+    """One document of each group linked by a 5-word Jaccard similarity of 0.8 or more stays; SimHash and MinHash find them."""
     return similar_documents.keep_one(docs)
 
 

@@ -35,6 +35,14 @@ PROBE_S, CANDIDATE_S = 1e-6, 5e-9
 SAMPLE = 2048
 
 
+def simhash(hashes: np.ndarray) -> np.uint64:
+    """A bit is set where it is in over half of the hashes (little-endian unsigned 64-bit integers, one at least)."""
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 65536):
+        votes += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0]
+
+
 def _fingerprints(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -53,11 +61,7 @@ def _fingerprints(width: int, seed: int):
                     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
                     starts = np.concatenate([[0], ends[:-1]])[: len(words) - width + 1]
                     hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
-                n, votes = len(hashes), np.zeros(BITS, np.int64)
-                hashes = np.array(hashes, "<u8")
-                for at in range(0, n, 65536):
-                    votes += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                out[row] = np.packbits(2 * votes > n, bitorder="little").view("<u8")[0]
+                out[row] = simhash(np.array(hashes, "<u8"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_key"])
 
     return run

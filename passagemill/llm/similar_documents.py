@@ -1,8 +1,10 @@
 """Near-duplicate documents by the Jaccard similarity of their word shingles.
 
 Words are split at white space, ASCII letters in lower case; a text of fewer words than ``width`` is one
-shingle, and all blank texts are alike. Candidates come from MinHash (8 bands of three minima), and a
-pair is linked only if the similarity of its sets of shingles is ``least`` or more.
+shingle, and all blank texts are alike. Candidates come from SimHash fingerprints of the shingles that differ
+in at most BITS bits (found by the generalised pigeonhole of ``simhash_dedup``) and, as fingerprints of texts
+near ``least`` differ in more bits than that, from MinHash too (8 bands of three minima). A pair is linked only
+if the similarity of its sets of shingles is ``least`` or more.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .minhash import links as links_of
-from .minhash import near_pairs, sketches
+from .minhash import CHECKED, near_pairs, sketches
 from .shared import BoundedCache, pair, release, stage, trim
-from .simhash_dedup import first_rows
+from .simhash_dedup import first_rows, near_links, simhash
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Minima in a band, bands, and how many of the 16 checked minima must agree.
 BAND, BANDS, AGREE = 3, 8, 8
+#: Bits in which fingerprints of candidates may differ.
+BITS = 4
 
 
 def shingles(text: str | None, width: int) -> set[tuple[bytes, ...]]:
@@ -60,22 +64,35 @@ def _sketches(width: int):
                 if not ids:
                     continue
                 sizes = np.array([len(g) for g in grams], np.int64)
+                fps = pa.array(np.array([simhash(g) for g in grams], np.uint64).view(np.int64))
                 sketch = sketches((np.concatenate(grams) >> np.uint64(32)).astype(np.uint32), sizes, BAND, BANDS)
-                columns = [*batch.columns[:2], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(sketch, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "id", "size", "sketch"])
+                columns = [*batch.columns[:2], pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(sketch, pa.binary()), fps]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "id", "size", "sketch", "fp"])
         trim()
 
     return run
 
 
+def fingerprint_pairs(classes: DataFrame, k: int = BITS) -> DataFrame:
+    """(a, b), a < b: classes(id, fp) of one fingerprint with the least of them, and those least ones of
+    fingerprints that links within k bits join."""
+    fps = stage(classes.groupBy("fp").agg(F.min("id").alias("least")), "document-fingerprints")
+    same = classes.join(fps, "fp").where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    of = lambda end: fps.select(F.col("fp").alias(end), F.col("least").alias(f"id_{end}"))
+    linked = near_links(fps, k).join(of("a"), "a").join(of("b"), "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    return stage(same.unionByName(linked), "fingerprint-pairs")
+
+
 def similar_groups(documents: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_key, root) of each row of documents(doc_id, text); rows of one group share root."""
     spark = documents.sparkSession
     keyed = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    rows = stage(keyed.mapInArrow(_sketches(width), "doc_id long, text_key long, id long, size int, sketch binary"), "document-sketches")
-    classes = rows.groupBy("id").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.min("text_key").alias("text_key"))
+    rows = stage(keyed.mapInArrow(_sketches(width), "doc_id long, text_key long, id long, size int, sketch binary, fp long"), "document-sketches")
+    classes = rows.groupBy("id").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"), F.min("text_key").alias("text_key"))
     classes = stage(classes, "document-classes")
     pairs, large = near_pairs(classes, BANDS, least, AGREE)
+    near = fingerprint_pairs(classes).withColumn("agreed", F.lit(CHECKED).cast("long"))
+    pairs = stage(pairs.unionByName(near).groupBy("a", "b").agg(F.max("agreed").alias("agreed")), "document-pairs")
     release(spark)
     met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct()
     wanted = classes.select("id", "text_key").join(met, "id")

@@ -107,3 +107,10 @@ def test_a_large_bucket_loses_no_link_that_no_pivot_has(spark, monkeypatch, cell
     pairs, large = minhash.near_pairs(items, 12, 0.8, 5)
     found = minhash.links(pairs, large, texts, lambda a, b: a == b, 0.8, 5, "neighbours")
     assert sorted((r.a, r.b) for r in found.collect()) == [(i, i + 1) for i in range(0, 200, 2)]
+
+
+def test_documents_of_near_fingerprints_are_candidates(spark):
+    """The near-dedup stage goes through SimHash: equal fingerprints, and those within 4 bits, meet."""
+    a, b, c = 0b1011, 0b1011 ^ 0b11110000, 0x7FFF << 40
+    classes = spark.createDataFrame([(5, a), (3, a), (9, b), (7, c)], "id long, fp long")
+    assert sorted(tuple(r) for r in similar_documents.fingerprint_pairs(classes).collect()) == [(3, 5), (3, 9)]
