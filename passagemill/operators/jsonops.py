@@ -106,9 +106,14 @@ def repair_json(rows: DataFrame, column: str = "raw", most: int = 200) -> DataFr
     that are JSON objects the one that loses most; null where there is none."""
     raw = F.coalesce(F.col(column), F.lit(""))
     lost = F.sequence(F.least(F.length(raw), F.lit(most)), F.lit(1), F.lit(-1))
-    tries = F.flatten(F.transform(lost, lambda n: F.transform(F.array(*map(F.lit, CLOSINGS)), lambda end: F.concat(F.left(raw, F.length(raw) - n), end))))
-    readable = F.filter(tries, lambda t: F.coalesce(F.schema_of_variant(F.try_parse_json(t)).startswith("OBJECT"), F.lit(False)))
-    return rows.withColumn("repaired", F.when(F.length(raw) > 0, F.get(readable, 0)))
+
+    def tried(n: Column) -> list[Column]:
+        texts = [F.concat(F.left(raw, F.length(raw) - n), F.lit(end)) for end in CLOSINGS]
+        return [F.when(F.coalesce(F.schema_of_variant(F.try_parse_json(t)).startswith("OBJECT"), F.lit(False)), t) for t in texts]
+
+    # coalesce() parses nothing more once a text is readable.
+    found = F.aggregate(lost, F.lit(None).cast("string"), lambda found, n: F.coalesce(found, *tried(n)))
+    return rows.withColumn("repaired", F.when(F.length(raw) > 0, found))
 
 
 def normalize_section(rows: DataFrame, column: str = "raw") -> DataFrame:
