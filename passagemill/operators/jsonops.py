@@ -32,26 +32,35 @@ def _text(variant: Column, name: str) -> Column:
 
 
 def first_words(text: Column, n: int) -> Column:
-    return F.array_join(F.slice(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), 1, n), " ")
+    # An empty part may come first, and the last part is what is left unsplit.
+    return F.array_join(F.slice(F.filter(F.split(text, r"(?U)\s+", n + 2), lambda w: w != ""), 1, n), " ")
 
 
 def parse_rewrite(rows: DataFrame, column: str = "raw") -> DataFrame:
     """Query (25 words), related (two of 15 words), scope, structured, schema; the raw text if unreadable."""
-    v = F.try_parse_json(unfenced(F.col(column)))
-    listed = lambda name, usual, values: F.when(F.lower(T.strip(_text(v, name))).isin(values), F.lower(T.strip(_text(v, name)))).otherwise(usual)
-    usable = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
-    query = T.strip(F.coalesce(_text(v, "query"), F.lit("")))
-    related = F.slice(F.coalesce(F.try_variant_get(v, "$.related", "array<string>"), F.array().cast("array<string>")), 1, 2)
-    related = F.filter(F.transform(related, lambda r: first_words(r, 15)), lambda r: r != "")
-    return rows.withColumns(
-        {
-            "query": F.when(usable & (query != ""), first_words(query, 25)).otherwise(F.col(column)),
-            "related": F.when(usable, related).otherwise(F.array().cast("array<string>")),
-            "scope": F.when(usable, listed("scope", "specific", ["broad", "specific"])).otherwise("specific"),
-            "structured": F.when(usable, listed("structured", "none", ["table", "none"])).otherwise("none"),
-            "schema": F.when(usable, listed("schema", "none", ["schema", "none"])).otherwise("none"),
-        }
-    )
+    none = F.array().cast("array<string>")
+
+    def read(v: Column) -> Column:
+        def listed(name: str, usual: str, values: list[str]) -> Column:
+            said = F.lower(T.strip(_text(v, name)))
+            return F.when(said.isin(values), said).otherwise(usual)
+
+        usable = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
+        query = T.strip(F.coalesce(_text(v, "query"), F.lit("")))
+        related = F.slice(F.coalesce(F.try_variant_get(v, "$.related", "array<string>"), none), 1, 2)
+        related = F.filter(F.transform(related, lambda r: first_words(r, 15)), lambda r: r != "")
+        return F.struct(
+            F.when(usable & (query != ""), first_words(query, 25)).otherwise(F.col(column)).alias("query"),
+            F.when(usable, related).otherwise(none).alias("related"),
+            F.when(usable, listed("scope", "specific", ["broad", "specific"])).otherwise("specific").alias("scope"),
+            F.when(usable, listed("structured", "none", ["table", "none"])).otherwise("none").alias("structured"),
+            F.when(usable, listed("schema", "none", ["schema", "none"])).otherwise("none").alias("schema"),
+        )
+
+    # As a variable of a lambda, a reply is parsed once and not for each of its fields.
+    parsed = F.get(F.transform(F.array(F.try_parse_json(unfenced(F.col(column)))), read), 0)
+    rows = rows.withColumn("__read", parsed)
+    return rows.withColumns({n: F.col(f"__read.{n}") for n in ("query", "related", "scope", "structured", "schema")}).drop("__read")
 
 
 def parse_judgment(rows: DataFrame, column: str = "raw", most: int = 300) -> DataFrame:
