@@ -171,7 +171,7 @@ def select_by_score(passages: DataFrame, budget: int) -> DataFrame:
     in_order = Window.partitionBy("query_id").orderBy(*document_order())
     few = few.withColumn("__order", F.row_number().over(in_order))
     place = F.concat("filename", F.lit(", p."), F.col("page").cast("string"))
-    listed = F.struct("__rank", "__order", "score", T.article_dedup_key(F.col("text")).alias("key"), F.col("__lot").alias("lot"), place.alias("place"), F.col("__length").alias("length"))
+    listed = F.struct("__rank", "__order", "score", F.md5(T.article_dedup_key(F.col("text"))).alias("key"), F.col("__lot").alias("lot"), place.alias("place"), F.col("__length").alias("length"))
     folded = few.groupBy("query_id").agg(F.first("__several").alias("several"), F.array_sort(F.collect_list(listed)).alias("p"))
     kept = folded.select("query_id", _kept(budget)("several", "p").alias("__kept"))
     return few.join(kept, "query_id").where("__rank <= __kept").select(*passages.columns)
@@ -180,7 +180,8 @@ def select_by_score(passages: DataFrame, budget: int) -> DataFrame:
 def _kept(budget: int):
     def kept(several: pa.Array, passages: pa.Array) -> pa.Array:
         out = []
-        for lots, rows in zip(several.to_pylist(), passages.to_pylist(), strict=True):
+        for at in range(len(passages)):  # one question's passages as Python objects at a time
+            lots, rows = several[at].as_py(), passages[at].as_py()
             size, n = RenderedSize(lots), 0
             for r in rows:
                 if size.add(r["__order"], r["score"], r["key"], r["lot"], r["place"] or "None, p.None", r["length"]) > budget:
