@@ -7,6 +7,9 @@ holds for the squared and cubed signs.
 
 from __future__ import annotations
 
+import re
+from re import _parser as parser
+
 START, STOP = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 ANY_CASE = "(?iuU)"
 
@@ -15,6 +18,37 @@ def whole(words: str, flags: str = ANY_CASE) -> str:
     return f"{flags}{START}(?:{words}){STOP}"
 
 
+def _needs(tree) -> list[str]:
+    """Literals one of which stands in every match of a parsed pattern, the rarest such; none if that is not known."""
+    rank = lambda literals: min((len(a) + (not a.isalnum()) for a in literals), default=0)
+    best: list[str] = []
+    run = ""
+    for op, of in [*tree, (None, None)]:
+        if op is parser.LITERAL:
+            run += chr(of)
+            continue
+        found = [[run]] if run else []
+        run = ""
+        if op is parser.SUBPATTERN:
+            found.append(_needs(of[3]))
+        elif op is parser.BRANCH:
+            parts = [_needs(part) for part in of[1]]
+            found.append(sum(parts, []) if all(parts) else [])
+        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and of[0]:
+            found.append(_needs(of[2]))
+        best = max([best, *found], key=rank)
+    return best
+
+
+def needed(pattern: str) -> list[str]:
+    """Lower-case literals one of which a text has that the pattern is found in; none if too short to tell texts apart."""
+    body = re.sub(r"^\(\?[a-zA-Z]+\)", "", pattern).replace(r"\p{L}\p{N}", r"\w")
+    found = dict.fromkeys(need.lower() for need in _needs(parser.parse(body)))
+    # What holds another of them adds nothing.
+    kept = [a for a in found if not any(b != a and b in a for b in found)]
+    return kept if all(len(a) > 1 or not a.isalnum() for a in kept) else []
+
+
 # Headings
 LOT = r"(?iuU)^\s*LOT\s*[Nn°]*\s*(\d+)\s*[-–:.]\s*([^\n]+)"
 ARTICLE = r"(?iuU)^\s*(?:Art(?:icle)?\.?\s+)?(\d+)[.\-](\d+)\s*[-–:.]\s*([^\n]+)"
@@ -25,7 +59,7 @@ POINT_HEADING = r"(?U)^\s*\d+[.)]\s+\S[^\n]{9,}"
 SHEET_CUT = r"(?m)(?=^## )"
 
 # Content signals
-QUANTITY = whole("m[²³23]|ml|kg|[Uu]|ens|forfait", "(?uU)")
+QUANTITY = whole("m[²³23]|ml|kg|[Uu]|ens|forfait", "(?uU)").replace(START, "(?=[mkUuef])" + START)
 ADMIN = (
     "(?iuU)(?:conformément à|le titulaire devra|selon les règles|à la charge de|l'entrepreneur|prescriptions|"
     "obligation|responsabilité|réglementation|normes en vigueur)"
@@ -43,7 +77,7 @@ KEYWORDS = [
         "polyuréthane|plâtre|mortier|ciment|gravier|sable|enrobé|bitume|ardoise|tuile|brique|parpaing|agglo|BA13|"
         "fermacell|OSB"
     ),
-    whole(r"DTU\s+\d[\d\-.]*|NF\s*(?:EN\s*)?[A-Z]{0,2}\s*\d[\d\-.:]*|EN\s+\d[\d\-.]*", "(?uU)").removesuffix(STOP) + r"(?<=[\p{L}\p{N}_])" + STOP,
+    whole(r"DTU\s+\d[\d\-.]*|NF\s*(?:EN\s*)?[A-Z]{0,2}\s*\d[\d\-.:]*|EN\s+\d[\d\-.]*", "(?uU)").replace(START, "(?=[DNE])" + START).removesuffix(STOP) + r"(?<=[\p{L}\p{N}_])" + STOP,
     whole(r"C\d{2}/\d{2}", "(?uU)"),
     whole(r"RAL\s*\d{4}", "(?uU)"),
     "(?uU)" + START + r"(?:Ug|Uw|R|Up|Ucw)\s*=\s*[\d.,]+",
@@ -60,7 +94,7 @@ KEYWORDS = [
     "(?iuU)" + START + r"\d+\s*[x×]\s*\d+(?:\s*[x×]\s*\d+)?\s*(?:mm|cm|m)" + STOP
     + r"|(?:ép(?:aisseur)?\.?\s*[:=]?\s*\d+\s*(?:mm|cm|m))|(?:[ØDd]\s*[:=]?\s*\d+\s*(?:mm|cm|m))"
     + r"|(?:[LlHh]\s*[:=]\s*\d+[.,]?\d*\s*(?:mm|cm|m))",
-    whole(r"A[12](?:-s[12],d[012])?|M[0-4]|(?:EI|REI|E|R)\s*\d{2,3}|coupe[- ]feu|pare[- ]flamme|incombustible|ignifug[ée]"),
+    whole(r"A[12](?:-s[12],d[012])?|M[0-4]|(?:EI|REI|E|R)\s*\d{2,3}|coupe[- ]feu|pare[- ]flamme|incombustible|ignifug[ée]").replace(START, "(?=[AMERCPI])" + START),
     whole(r"ACERMI|CSTB|CSTBat|Avis\s+Technique|marquage\s+CE|QB|HQE|BREEAM|LEED|Qualibat|RGE|Effinergie"),
     whole(
         "amiante|chrysotile|crocidolite|amosite|trémolite|actinolite|anthophyllite|MPCA|MCA|fibro[- ]ciment|"
@@ -101,6 +135,19 @@ CHECKLIST_SECTION = (
 RESULT_COLUMN = r"(?iuU)(?:conclusion|résultat|positif|négatif|absence\s+d)"
 MISSION = r"(?iuU)(?:adresse\s+du\s+bâtiment|opérateur.*certifi|date.*(?:visite|commande|mission)|numéro\s+de\s+dossier|périmètre\s+de\s+repérage)"
 
+REGULATORY = [r"article\s+[lr][\s.]?\d{3,4}", r"arrêté|décret|code\s+du\s+travail|code\s+de\s+la\s+santé", r"nf\s*x?\s*46[- ]0\d{2}"]
+
+#: Python patterns one of which is in every lower-cased text that holds the pattern, which needs no literal; those
+#: of the second table hold a digit.
+ROUGHLY = {QUANTITY: r"(?<![a-z0-9_])(?:m[²³23]|ml|kg|u|ens|forfait)(?![a-z0-9_])"}
+ROUGHLY_WITH_DIGIT = {
+    KEYWORDS[1]: r"(?:dtu|en)\s+\d|nf\s*(?:en\s*)?[a-z]{0,2}\s*\d",
+    KEYWORDS[7]: r"\d\s*[x×mc]|[:=]\s*\d",
+    KEYWORDS[8]: r"[ameri]\s*\d",
+}
+#: What the alternatives of a pattern without a digit need.
+WITHOUT_DIGIT = {KEYWORDS[8]: ["coupe", "pare", "incombustible", "ignifug"]}
+
 # Cleaning and deduplication keys
 TOC_LINE = r"(?U)^\s*\S.*\.{3,}\s*\d+\s*$"
 LEADING_ARTICLE = r"(?iuU)^\s*(?:(?>\d+(?:\.\d+)+)\.|(?>\d+(?:\.\d+)+)(?!\s*(?:m[²³23]?|mm|cm|ml|kg|l|u)" + STOP + r"))\s*"
@@ -108,6 +155,8 @@ LOCALISATION_TAIL = r"(?iuU)(?:au droit|localisation\s*:)[^\n]*"
 AMOUNT = r"(?uU)[\d.,]+\s*(?:m[²³23]?|ml|kg|l)" + STOP
 EMPTY_TABLE = r"(?iuU)^<!-- TABLE -->\s*\n(?:\|[^\n]*\n){1,2}(?:\|[\s\-–—|Nn/Aaéant]*\n)*\s*<!-- /TABLE -->$"
 EMPTY_ROW = r"(?iuU)^[\s|]*(?:néant|n[/.]?a|aucun|rien|sans\s+objet|-|–|—|\s)*$"
+#: How a text of EMPTY_TEXTS begins, which is soon told of any other.
+EMPTY_START = r"(?iuU)^\s*(?:néant|n/a|aucun|sans|[-–—]|$)"
 EMPTY_TEXTS = ["néant", "n/a", "aucun", "sans objet", "-", "–", "—", ""]
 
 # Instructions to a model inside a passage

@@ -1,10 +1,13 @@
-"""Scalar text functions: Column -> Column, all inside the JVM."""
+"""Scalar text functions: Column -> Column, inside the JVM but for hints() of what to look for there."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import reduce
+from collections.abc import Callable
+from functools import cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +38,70 @@ def all_matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+#: Letters that Java's patterns take for i, s and k in any case, unlike lower().
+_ODD_CASE = dict(zip("\u0131\u0130\u017f\u212a", "iisk", strict=True))
+#: The patterns that hints() tells about, each a bit.
+_REPORTS = [P.BOILERPLATE, P.RESULT_TABLE, P.CHECKLIST, P.CHECKLIST_SECTION, P.RESULT_COLUMN, P.MISSION, *P.REGULATORY]
+_HINTED = {p: 1 << k for k, p in enumerate([P.QUANTITY, P.ADMIN, P.SPECIFICATION, P.DESCRIPTION, P.LOCATION, *_REPORTS, *P.KEYWORDS])}
+
+
+@cache
+def _seeker() -> tuple:
+    """An automaton over the literals that the patterns need, and quick forms of those that need none."""
+    import ahocorasick
+
+    needs: dict[str, int] = {}
+    rough = P.ROUGHLY | P.ROUGHLY_WITH_DIGIT
+    untold = 0
+    for pattern, bit in _HINTED.items():
+        own = P.WITHOUT_DIGIT.get(pattern, []) if pattern in rough else P.needed(pattern)
+        untold |= bit if not own and pattern not in rough else 0
+        for need in own:
+            needs[need] = needs.get(need, 0) | bit
+    automaton = ahocorasick.Automaton()
+    for need, bits in needs.items():
+        automaton.add_word(need, bits)
+    automaton.make_automaton()
+    return automaton, *([(re.compile(r), _HINTED[p]) for p, r in table.items()] for table in (P.ROUGHLY, P.ROUGHLY_WITH_DIGIT)), untold
+
+
+def _hints(texts: pa.Array) -> pa.Array:
+    automaton, rough, with_digit, untold = _seeker()
+    digit = re.compile(r"\d")
+    out = []
+    for text in texts.to_pylist():
+        low, found = text or "", untold
+        for odd, plain in _ODD_CASE.items():
+            low = low.replace(odd, plain)
+        low = low.lower()
+        for _, bits in automaton.iter(low):
+            found |= bits
+        for pattern, bit in [*rough, *with_digit] if digit.search(low) else rough:
+            found |= bit if pattern.search(low) else 0
+        out.append(found)
+    return pa.array(out, pa.int64())
+
+
+def hints(text: Column) -> Column:
+    """A bit for each pattern of _HINTED that can be in a text, found in one pass; Java's patterns take their time
+    at every letter, and most texts hold none of the words."""
+    return F.arrow_udf(_hints, "long")(text)
+
+
+def _where_hinted(text: Column, match: Callable[[Column, str], Column], pattern: str, none: Column) -> Column:
+    """match(text, pattern), or none where the pattern can't be in the text."""
+    can_be = hints(text).bitwiseAND(F.lit(_HINTED[pattern])) != 0
+    return F.when(can_be, match(text, pattern)).when(text.isNotNull(), none)
+
+
+def _count(text: Column, pattern: str) -> Column:
+    return _where_hinted(text, lambda t, p: F.regexp_count(t, F.lit(p)), pattern, F.lit(0))
+
+
+def _found(text: Column, pattern: str) -> Column:
+    return _where_hinted(text, lambda t, p: t.rlike(p), pattern, F.lit(False))
+
+
 def tokenize(text: Column) -> Column:
     """Tokens; references such as 20.1 and p10-201-1 stay whole."""
     return all_matches(fold(text), r"[a-z0-9]+(?:[.,\-/][a-z0-9]+)*")
@@ -92,7 +159,7 @@ def pad2(number: Column) -> Column:
 def content_type(text: Column) -> Column:
     """Table, heading, the signal with more than 0.6 of all, or mixed."""
     signals = {"quantity": P.QUANTITY, "admin": P.ADMIN, "specification": P.SPECIFICATION, "description": P.DESCRIPTION}
-    counted = F.struct(*(F.regexp_count(text, F.lit(p)).alias(name) for name, p in signals.items()))
+    counted = F.struct(*(_count(text, p).alias(name) for name, p in signals.items()))
 
     def strongest(n: Column) -> Column:
         total = reduce(lambda a, b: a + b, (n[name] for name in signals))
@@ -105,7 +172,8 @@ def content_type(text: Column) -> Column:
 
 
 def _mentions(text: Column, families: list[str]) -> Column:
-    found = F.flatten(F.array(*(all_matches(text, p) for p in families)))
+    none = F.array().cast("array<string>")
+    found = F.flatten(F.array(*(_where_hinted(text, all_matches, p, none) for p in families)))
     return F.array_sort(F.array_distinct(F.transform(found, lambda m: F.lower(strip(m)))))
 
 
@@ -124,17 +192,15 @@ def is_regulatory(text: Column) -> Column:
     low = F.lower(text)
     flags = [
         (low.contains("références réglementaires") | low.contains("références normatives"), 2),
-        (low.rlike(r"article\s+[lr][\s.]?\d{3,4}"), 1),
-        (low.rlike(r"arrêté|décret|code\s+du\s+travail|code\s+de\s+la\s+santé"), 1),
-        (low.rlike(r"nf\s*x?\s*46[- ]0\d{2}"), 1),
+        *((_where_hinted(text, lambda t, p: F.lower(t).rlike(p), pattern, F.lit(False)), 1) for pattern in P.REGULATORY),
     ]
     return reduce(lambda a, b: a + b, (flag.cast("int") * n for flag, n in flags)) >= 2
 
 
 def is_checklist(text: Column) -> Column:
     """T14."""
-    listed = text.rlike(P.CHECKLIST_SECTION) & ~text.rlike(P.RESULT_COLUMN)
-    return text.contains("<!-- TABLE -->") & (text.rlike(P.CHECKLIST) | listed)
+    listed = _found(text, P.CHECKLIST_SECTION) & ~_found(text, P.RESULT_COLUMN)
+    return text.contains("<!-- TABLE -->") & (_found(text, P.CHECKLIST) | listed)
 
 
 def diagnostic_section(text: Column) -> Column:
@@ -145,15 +211,15 @@ def diagnostic_section(text: Column) -> Column:
     rules = rules.when(low.contains("références réglementaires") | low.contains("références normatives"), "Références réglementaires").otherwise("")
     mission = F.when(low.contains("adresse"), "Identification du bâtiment").when(low.contains("opérateur") | low.contains("certifi"), "Opérateur de repérage")
     mission = mission.when(low.contains("périmètre"), "Périmètre de repérage").otherwise("Contexte de la mission")
-    out = F.when(text.rlike(P.RESULT_TABLE), result).when(is_checklist(text), "Programme de repérage (normatif)")
-    out = out.when(is_regulatory(text) | text.rlike(P.BOILERPLATE), rules).when(text.rlike(P.MISSION), mission)
+    out = F.when(_found(text, P.RESULT_TABLE), result).when(is_checklist(text), "Programme de repérage (normatif)")
+    out = out.when(is_regulatory(text) | _found(text, P.BOILERPLATE), rules).when(_found(text, P.MISSION), mission)
     return out.when(low.contains("programme de repérage"), "Programme de repérage").otherwise("")
 
 
 def diagnostic_content(text: Column) -> Column:
     """Results win over checklists, these over rules and boilerplate."""
-    hits, base = F.regexp_count(text, F.lit(P.BOILERPLATE)), content_type(text)
-    out = F.when(text.rlike(P.RESULT_TABLE), F.when(text.contains("<!-- TABLE -->"), "table").otherwise("description"))
+    hits, base = _count(text, P.BOILERPLATE), content_type(text)
+    out = F.when(_found(text, P.RESULT_TABLE), F.when(text.contains("<!-- TABLE -->"), "table").otherwise("description"))
     out = out.when(is_checklist(text) | is_regulatory(text) | (hits >= 2), "admin")
     return out.when(base.isin("mixed", "admin") & (hits >= 1) & (F.length(text) > 500), "admin").otherwise(base)
 
@@ -163,8 +229,9 @@ def is_empty_chunk(text: Column, kind: Column) -> Column:
     rows = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"(?U)^\s*\|"))
     data = F.slice(rows, 3, 1 << 30)
     no_value = text.contains("<!-- TABLE -->") & (F.size(rows) > 2) & F.forall(data, lambda row: row.rlike(P.EMPTY_ROW))
-    said = F.lower(collapse(text)).isin(P.EMPTY_TEXTS)
-    return ((kind == "admin") & (F.regexp_count(text, F.lit(P.BOILERPLATE)) >= 2)) | strip(text).rlike(P.EMPTY_TABLE) | no_value | said
+    said = text.rlike(P.EMPTY_START) & F.lower(collapse(text)).isin(P.EMPTY_TEXTS)
+    admin = F.when(F.coalesce(kind == "admin", F.lit(True)), text)
+    return ((kind == "admin") & (_count(admin, P.BOILERPLATE) >= 2)) | strip(text).rlike(P.EMPTY_TABLE) | no_value | said
 
 
 def looks_like_injection(text: Column) -> Column:

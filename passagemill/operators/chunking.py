@@ -306,7 +306,7 @@ def merge_tiny_chunks(chunks: DataFrame, least: int = TINY) -> DataFrame:
         {
             "keywords": F.when(several, F.slice(every("keywords"), 1, 10)).otherwise(F.get("parts", 0)["keywords"]),
             "locations": every("locations"),
-            "content_type": F.when(several, T.content_type(F.col("text"))).otherwise(F.get("parts", 0)["content_type"]),
+            "content_type": F.when(several, T.content_type(F.when(several, F.col("text")))).otherwise(F.get("parts", 0)["content_type"]),
             "char_count": F.length("text"),
         }
     )

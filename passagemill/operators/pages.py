@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The characters of a chunk that are sought, and the snippets of an automaton, whose size this bounds.
 SNIPPET, MANY = 100, 4000
+#: Up to so many snippets are sought one by one, which takes less time than to build an automaton.
+FEW = 64
 
 
 def first_places(snippets: Iterable[str], texts: list[str]) -> dict[str, int]:
@@ -18,6 +20,9 @@ def first_places(snippets: Iterable[str], texts: list[str]) -> dict[str, int]:
 
     distinct = [s for s in dict.fromkeys(snippets) if s]
     found = {"": 0}
+    if len(distinct) <= FEW:
+        places = ((s, next((number for number, text in enumerate(texts) if s in text), None)) for s in distinct)
+        return found | {s: number for s, number in places if number is not None}
     for begun in range(0, len(distinct), MANY):
         automaton = ahocorasick.Automaton()
         for snippet in distinct[begun : begun + MANY]:

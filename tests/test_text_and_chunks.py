@@ -17,6 +17,33 @@ def test_tokens_keep_references_whole(spark):
     assert got == [["dtu", "20.1"], ["c15-100"], ["nf", "p10-201-1"], ["beton", "arme"], ["coeur", "3,5"], []]
 
 
+def test_hints_let_no_match_pass(spark):
+    """Every pattern is looked for wherever it is in the text, in any case and at the odd letters of Java's patterns."""
+    texts = [
+        "25 m²", "3 ml", "5 U", "u", "ens", "um", "Conformément À", "ÉPAISSEUR : 20", "réſistance de 3", "den\u017fité 5", "d\u0130mension 4", "d\u0131mension 4",
+        "Posé", "R+1", "REZ-DE-CHAUSSÉE", "Étage 3", "SS-1", "local technique", "cage d’escalier", "béton", "\u212anauf", "BA13", "laine de roche",
+        "DTU 20.1", "NF EN AB 12", "NF ENAB 1", "NFP 10", "EN 206", "C25/30", "RAL 9010", "Uw = 1,3", "R=5", "Saint-Gobain", "faux-plafond",
+        "20 x 30 cm", "20×30×4 mm", "ép. : 20 mm", "Ø 20 mm", "d=5m", "H = 2,5 cm", "A2-s1,d0", "M1", "EI 30", "REI120", "e 60", "coupe-feu", "Ignifugée",
+        "QB", "Avis  Technique", "sous-section 4", "SS3", "non  détecté", "déchet amianté", "article L 1234-5 du code", "composant x résultat",
+        "partie du composant à vérifier", "n° échantillon", "absence d'amiante", "date de la visite", "à vérifier", "Plafonds et faux plafonds", "article r.1334", "Code du travail", "nfx46-020", "texte", "",
+    ]
+    for pattern in T._HINTED:
+        subject = (lambda c: F.lower(c)) if pattern in T.P.REGULATORY else (lambda c: c)
+        both = column(spark, texts, lambda c: F.struct(subject(c).rlike(pattern).alias("held"), (T.hints(c).bitwiseAND(F.lit(T._HINTED[pattern])) != 0).alias("told")))  # noqa: B023
+        assert any(r.held for r in both), pattern
+        assert [t for t, r in zip(texts, both, strict=True) if r.held and not r.told] == [], pattern
+    assert column(spark, ["texte sans rien", None], T.hints) == [0, 0]
+
+
+def test_snippets_one_by_one_or_all_at_once():
+    texts = ["abc", "bcd", "", "cde"]
+    few = ["bc", "cd", "x", "", "e"]
+    many = [f"missing {k}" for k in range(100)]
+    from passagemill.operators import pages
+
+    assert pages.first_places(few, texts) == pages.first_places(few + many, texts) == {"": 0, "bc": 0, "cd": 1, "e": 3}
+
+
 def test_headings(spark):
     got = column(spark, ["LOT 3 - Maçonnerie", "lot n° 12 : Peinture", "1.2 - Fondations", "Article 4.1 - Murs", "1.2.3 - Semelles", "Texte", "12 x 30 cm"], T.heading_level)
     assert [(r.level, r.heading) if r else None for r in got] == [(0, "LOT 03 - Maçonnerie"), (0, "LOT 12 - Peinture"), (1, "1.2 - Fondations"), (1, "Article 4.1 - Murs"), (2, "1.2.3 - Semelles"), None, None]
