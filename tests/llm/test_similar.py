@@ -47,6 +47,22 @@ def test_lines_on_both_sides_of_the_border_of_gram_widths_meet(spark, length):
     assert gone <= {i for i, _ in rows if i % 2} and len(gone) >= 0.95 * 60
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh é", "aé漢\U0001f600"])
+def test_many_lines_side_by_side_are_as_similar_as_one_by_one(letters):
+    rng = random.Random(5)
+    a, b = ["", "", "x"], ["", "x", ""]
+    for k in range(3000):
+        line = [rng.choice(letters) for _ in range(rng.choice([1, 2, 5, 31, 62, 63, 64, 65, 127, 128, 129, 200, 300, 600]) if k % 3 else rng.randrange(1, 140))]
+        other = list(line) if k % 4 else [rng.choice(letters) for _ in range(rng.randrange(1, 200))]
+        for _ in range(rng.randrange(0, len(line) // 3 + 2)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+        a.append("".join(line)), b.append("".join(other))
+    expected = [line_dedup.similar(x, y, 0.8) for x, y in zip(a, b, strict=True)]
+    assert 300 < sum(expected) < 2900
+    assert line_dedup.all_similar(a, b, 0.8) == expected
+
+
 def test_a_large_group_of_different_near_lines_is_one(spark):
     rng = random.Random(32)
     base = [f"{rng.choice('bcdfg')}{rng.getrandbits(20):x}" for _ in range(40)]
@@ -114,3 +130,17 @@ def test_documents_of_near_fingerprints_are_candidates(spark):
     a, b, c = 0b1011, 0b1011 ^ 0b11110000, 0x7FFF << 40
     classes = spark.createDataFrame([(5, a), (3, a), (9, b), (7, c)], "id long, fp long")
     assert sorted(tuple(r) for r in similar_documents.fingerprint_pairs(classes).collect()) == [(3, 5), (3, 9)]
+
+
+@pytest.mark.parametrize("passing, links", [(True, 199), (False, 0)])
+def test_a_cell_hands_on_links_and_not_all_its_pairs(passing, links):
+    import pyarrow as pa
+
+    n = 200
+    columns = [[7] * n, [0] * n, [0] * n, list(range(n)), [9] * n, [5] * n, list(range(n)), [False] * n, [False] * n, [[7]] * n, ["text"] * n]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.string()]
+    names = ["key", "low", "high", "id", "size", "check", "root", "other", "pivot", "keys", "text"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+    for many in (None, lambda a, b: [passing] * len(a)):
+        out = list(minhash._cells(0.8, 5, lambda a, b: passing, many)(iter([batch.slice(0, 90), batch.slice(90)])))
+        assert sum(b.num_rows for b in out) == links
