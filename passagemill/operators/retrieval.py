@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.patterns import CONTENT_PRIORITY, DIAGNOSTIC_TERMS, VERSIONED_TYPES
-from . import dense, sparse
+from . import dense, scan, sparse
 from .stats import scored
 
 SCOPE = sparse.SCOPE
@@ -50,8 +50,14 @@ def filtered(points: DataFrame, lot: str | None = None, phase: str | None = None
     return points
 
 
-def sparse_topk(questions: DataFrame, index: sparse.Index, k: int, scope: tuple[str, ...] = SCOPE) -> DataFrame:
-    """The k best points of the question's scope by BM25; blocks that can't reach them are not added up."""
+def sparse_topk(questions: DataFrame, index: sparse.Index | DataFrame, k: int, scope: tuple[str, ...] = SCOPE) -> DataFrame:
+    """The k best points of the question's scope by BM25; blocks that can't reach them are not added up.
+
+    In place of an index, the points(scope..., point_id, text): one pass answers all questions, see ``scan``.
+    """
+    if isinstance(index, DataFrame):
+        found = scan.best(scan.scan(questions, index, scope), k, scope)
+        return top(found.select("query_id", "point_id", "score"), k)
     lists = sparse.asked_lists(questions, index, scope)
     return top(sparse.scores(sparse.needed_blocks(lists, k)), k).drop("common")
 
@@ -91,7 +97,7 @@ def penalised(hits: DataFrame, questions: DataFrame, admin: bool = True) -> Data
     return hits.join(asked, "query_id").withColumn("score", F.round(F.col("score") * factor, 6)).drop("__text")
 
 
-def ranked_hits(questions: DataFrame, points: DataFrame, first: tuple[float, int], second: tuple[float, int] | None = None, index: sparse.Index | None = None) -> DataFrame:
+def ranked_hits(questions: DataFrame, points: DataFrame, first: tuple[float, int], second: tuple[float, int] | None = None, index: sparse.Index | DataFrame | None = None) -> DataFrame:
     """The hits of each question variant at the first (threshold, limit), with their points' columns and ranks.
 
     Questions that have none at all, in any variant, get those at the second. With an index, hits are those of
@@ -121,7 +127,7 @@ def ranked_hits(questions: DataFrame, points: DataFrame, first: tuple[float, int
     return with_points(kept.drop("__found"), points)
 
 
-def search_documents(questions: DataFrame, points: DataFrame, limit: int = 10, high: float = 0.55, low: float = 0.35, index: sparse.Index | None = None) -> DataFrame:
+def search_documents(questions: DataFrame, points: DataFrame, limit: int = 10, high: float = 0.55, low: float = 0.35, index: sparse.Index | DataFrame | None = None) -> DataFrame:
     """Up to 3 x limit hits a question, newest versions, penalties; ranked, not cut to limit."""
     hits = ranked_hits(questions.where("variant = 0"), points, (high, 3 * limit), (low, max(3 * limit, 20)), index)
     scored = penalised(latest_version(hits), questions)
@@ -140,7 +146,7 @@ def _priority(kind: Column) -> Column:
     return F.when(listed > 0, listed - 1).otherwise(2)
 
 
-def search_by_lot(questions: DataFrame, points: DataFrame, pool: int = 250, threshold: float = 0.3, cover: int = 5, relevant: int = 8, index: sparse.Index | None = None) -> DataFrame:
+def search_by_lot(questions: DataFrame, points: DataFrame, pool: int = 250, threshold: float = 0.3, cover: int = 5, relevant: int = 8, index: sparse.Index | DataFrame | None = None) -> DataFrame:
     """Of each lot the first five chunks by content and position, then the eight most relevant others."""
     lot = F.coalesce(F.nullif("lot", F.lit("")), F.lit("unknown"))
     asked = questions.select("query_id", *SCOPE).distinct()
@@ -157,7 +163,7 @@ def search_by_lot(questions: DataFrame, points: DataFrame, pool: int = 250, thre
     return first.select(*columns, F.lit("coverage").alias("part")).unionByName(second.select(*columns, F.lit("relevance").alias("part")))
 
 
-def search_merged(questions: DataFrame, points: DataFrame, limit: int = 10, threshold: float = 0.4, low: float = 0.35, index: sparse.Index | None = None) -> DataFrame:
+def search_merged(questions: DataFrame, points: DataFrame, limit: int = 10, threshold: float = 0.4, low: float = 0.35, index: sparse.Index | DataFrame | None = None) -> DataFrame:
     """Variants merged: best score a point (W6), each variant's best hit first (W5), limit, penalties."""
     hits = ranked_hits(questions, points, (threshold, 3 * limit), (low, max(3 * limit, 20)), index)
     hits = latest_version(hits, ("query_id", "variant"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passagemill.operators import contained, dense, retrieval, sparse
+from passagemill.operators import contained, dense, retrieval, scan, sparse
 
 POINT = "point_id long, tenant_id string, project_id string, text string, dense array<double>"
 ASKED = "query_id long, variant int, tenant_id string, project_id string, text string, vector array<double>"
@@ -187,6 +187,38 @@ def test_fused_hits_and_the_second_threshold(spark, tmp_path):
     assert set(hits[3]) == {4} and retrieval.ranked_hits(asked, own, (0.999, 3), (0.25, 3)).where("query_id = 3").count() == 3
 
 
+# One pass for one batch of questions
+
+
+@pytest.mark.parametrize("limits", [{}, {"HELD": 50, "CELLS": 30, "MET": 40, "ASKED": 2}, {"FEW": 0, "SENT": 0, "PARTS": 3, "HELD": 200}])
+def test_one_pass_gives_the_best_of_all_points(spark, monkeypatch, limits):
+    """Also where little is held at a time, and where nothing is broadcast; no index is built."""
+    for name, value in limits.items():
+        monkeypatch.setattr(scan, name, value)
+    monkeypatch.setattr(sparse, "build_index", None)
+    rows = [*corpus(), (None, None, "p", "w1", None), (900, None, "p", "w0", None)]
+    asked = [(1, "t0", "w0 w3 w40"), (2, "t1", "w55 w2"), (3, "t1", "nothing"), (4, "t0", "w1"), (5, "t9", "w1"), (6, "t0", "w0 w1 w2 w3 w59"), (7, "t0", "")]
+    items = spark.createDataFrame([(q, t, "p", x) for q, t, x in asked], "query_id long, tenant_id string, project_id string, text string")
+    own = spark.createDataFrame(rows, POINT).repartition(4)
+    found, common = defaultdict(list), defaultdict(list)
+    for r in retrieval.sparse_topk(items, own, 6).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.point_id)
+    assert dict(found) == plain_bm25(rows, asked, 6)
+    for r in retrieval.top(scan.best(scan.scan(items, own), 6, plain=True), 6).orderBy("query_id", "rank").collect():
+        common[r.query_id].append((-r.score, r.point_id))
+    texts = {q: (t, set(x.split())) for q, t, x in asked}
+    counts = {q: sorted((-len(words & set((r[3] or "").split())), r[0]) for r in rows if r[0] is not None and r[1] == t) for q, (t, words) in texts.items()}
+    assert dict(common) == {q: kept for q, c in counts.items() if (kept := [x for x in c if x[0] < 0][:6])}
+
+
+def test_one_pass_shuffles_no_postings(spark):
+    """A block hands on k points of a question at most, however many share a token with it."""
+    rows = [(k, "t", "p", "common word", None) for k in range(5000)]
+    items = spark.createDataFrame([(q, "t", "p", "common word") for q in range(20)], "query_id long, tenant_id string, project_id string, text string")
+    scanned = scan.scan(items, spark.createDataFrame(rows, POINT).coalesce(1))
+    assert scan.best(scanned, 3).count() <= 20 * 3 * scanned.blocks.count() and scanned.blocks.count() <= 2
+
+
 # Texts within texts
 
 
