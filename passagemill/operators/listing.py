@@ -224,7 +224,8 @@ def quantity_enrichment(hits: DataFrame, questions: DataFrame, chunks: DataFrame
     name, by an article prefix of a topical hit, or by a lot of the hits; its chunks match by prefix or topic.
     """
     asked = questions.select("query_id", T.question_words(F.col("text")).alias("own"), T.question_words(F.col("text"), F.coalesce("rewritten", F.lit(""))).alias("words"))
-    topical = lambda text: F.exists("words", lambda w: F.contains(F.lower(text), w))
+    # A text is lowered, and its number looked for, once and not for each word or prefix.
+    topical = lambda text: F.exists(F.array(F.lower(text)), lambda low: F.exists("words", lambda w: F.contains(low, w)))
     scope = ["query_id", "tenant_id", "project_id"]
     rows = hits.join(asked, "query_id")
     lists = F.col("type") == "DPGF"
@@ -234,7 +235,7 @@ def quantity_enrichment(hits: DataFrame, questions: DataFrame, chunks: DataFrame
     empty = F.array().cast("array<string>")
     known = known.withColumns({"prefixes": F.coalesce("prefixes", empty), "lots": F.coalesce("lots", empty)})
     number = F.regexp_extract("text", r"^\s*(\d+(?:\.\d+)+)", 1)
-    related = (number != "") & F.exists("prefixes", lambda p: number.startswith(p) | p.startswith(number))
+    related = F.exists(F.array(number), lambda x: (x != "") & F.exists("prefixes", lambda p: x.startswith(p) | p.startswith(x)))
     listed = rows.where(lists).select(*scope, "filename", number.alias("number")).join(known.select(*scope, "prefixes"), scope)
     by_hit = listed.where((F.col("number") != "") & F.exists("prefixes", lambda p: F.col("number").startswith(p) | p.startswith(F.col("number")))).select(*scope, "filename").distinct()
     all_files = chunks.where(lists).groupBy("tenant_id", "project_id", "filename").agg(F.max("lot").alias("lot")).where(~F.col("filename").rlike(NO_QUANTITIES))
