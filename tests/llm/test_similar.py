@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 pytest.importorskip("xxhash")
@@ -63,6 +64,22 @@ def test_many_lines_side_by_side_are_as_similar_as_one_by_one(letters):
     assert line_dedup.all_similar(a, b, 0.8) == expected
 
 
+def test_long_lines_of_the_same_words_are_told_apart_by_their_segments(monkeypatch):
+    """Lines that share most of their grams of three letters, so these don't tell them apart, are not compared whole."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoinsrlu") for _ in range(rng.randrange(2, 9))) for _ in range(30)]
+    a = [" ".join(rng.choices(words, k=150)) for _ in range(60)]
+    b = [" ".join(rng.choices(words, k=150)) if k % 3 else x[:200] + "x" * (k // 2) + x[230:] for k, x in enumerate(a)]
+    expected = [line_dedup.similar(x, y, 0.8) for x, y in zip(a, b, strict=True)]
+    compared, whole = [], line_dedup.edit_distance
+    monkeypatch.setattr(line_dedup, "edit_distance", lambda x, y, most: compared.append(x) or whole(x, y, most))
+    monkeypatch.setattr(line_dedup, "LANES", 100)
+    assert line_dedup.all_similar(a, b, 0.8) == expected and expected == [k % 3 == 0 for k in range(60)]
+    assert len(compared) <= 30
+    most = np.array([whole(x, y, 10**6) for x, y in zip(a, b, strict=True)])
+    assert line_dedup.may_be_near(a, b, most).all()
+
+
 def test_a_large_group_of_different_near_lines_is_one(spark):
     rng = random.Random(32)
     base = [f"{rng.choice('bcdfg')}{rng.getrandbits(20):x}" for _ in range(40)]
