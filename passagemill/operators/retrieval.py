@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.patterns import CONTENT_PRIORITY, DIAGNOSTIC_TERMS, VERSIONED_TYPES
+from ..sources.shared import written
 from . import dense, scan, sparse
 from .stats import scored
 
@@ -102,7 +103,8 @@ def ranked_hits(questions: DataFrame, points: DataFrame, first: tuple[float, int
 
     Questions that have none at all, in any variant, get those at the second. With an index, hits are those of
     the vectors and those of BM25, fused (R5): the threshold admits vectors' hits only, the limit holds for
-    both branches and for what they give together, and a score is 1 at best.
+    both branches and for what they give together, and a score is 1 at best. Those of each branch and the fused
+    ones are written down, as they are read more than once and take all points to find; they are limit a question.
     """
     second = second or first
     (high, many), (low, few) = first, second
@@ -113,8 +115,10 @@ def ranked_hits(questions: DataFrame, points: DataFrame, first: tuple[float, int
         over = Window.partitionBy("query_id")
         near = near.withColumn("__found", F.max((F.col("score") >= high).cast("int")).over(over) == 1)
     else:
+        near = written(near, "near-hits")
         both = questions.withColumn("query_id", F.struct("query_id", "variant"))
         words = sparse_topk(both, index, most).select("query_id.query_id", "query_id.variant", "point_id", "score", "rank")
+        words = written(words, "word-hits")
         scoped = words.join(questions.select("query_id", "variant", *SCOPE), list(by))
         some = near.where(F.col("score") >= high).select("query_id").unionByName(words.select("query_id")).distinct()
         near = near.join(some.withColumn("__found", F.lit(True)), "query_id", "left").na.fill(False, ["__found"])
@@ -124,6 +128,7 @@ def ranked_hits(questions: DataFrame, points: DataFrame, first: tuple[float, int
     if index is not None:
         fused = kept.unionByName(scoped.where(F.col("rank") <= limit)).groupBy(*SCOPE, *by, "point_id", "__found")
         kept = top(fused.agg(F.round(F.sum(1 / (1.0 + F.col("rank"))), 6).alias("score")), most, by).where(F.col("rank") <= limit)
+        kept = written(kept, "fused-hits")
     return with_points(kept.drop("__found"), points)
 
 
