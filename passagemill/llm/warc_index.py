@@ -1,8 +1,8 @@
 """WARC archives and their capture index.
 
 Archives hold a record per page: ``response`` with the payload, or ``revisit`` where another record
-has an equal payload. They are written by Spark's text sink, whose line separator is the blank line
-that ends every record, so that commits are safe on any file system.
+has an equal payload. They are written by Spark's text sink, a line each, whose separator is the blank line
+that ends every record, so that commits are safe on any file system. They are cut by bytes.
 
 The capture index is built by an external merge. Each archive gives a run of entries sorted by URL
 key and timestamp. Runs are cut at common key ranges, and each range is merged from its k runs by a
@@ -24,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, stage
+from .shared import fresh_path, stage, trim
 
 END = "\r\n\r\n"
 VERSION = b"WARC/1.1\r\n"
 MIN_PAYLOAD = 0
-#: Bytes in an archive, about; it is read back as one value, which must stay below 2 GB.
-ARCHIVE_BYTES = 256 << 20
+#: Bytes in an archive, but for one record that is longer. An archive is read back as one value, of which a task has
+#: several copies in the JVM and in Python.
+ARCHIVE_BYTES = 32 << 20
+#: Pages whose records are made at a time, and entries of all runs of a range that are Python values at a time, about.
+AT_ONCE, ENTRIES = 256, 65_536
 #: Entries in a range of the merge, about.
 RANGE_ROWS = 250_000
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -52,29 +55,51 @@ def _header_value(text: str) -> str:
     return text.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for page, url, html, stamp, sha1, keeper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = html.encode()
-            revisit = keeper is not None and keeper != page
-            head = [
-                "WARC/1.1",
-                f"WARC-Type: {'revisit' if revisit else 'response'}",
-                f"WARC-Record-ID: <urn:page:{'' if page is None else page}>",
-                f"WARC-Target-URI: {_header_value(url)}",
-                f"WARC-Date: {_header_value(stamp)}",
-                f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
-                f"X-Payload-Length: {len(data)}",
-            ]
-            if revisit:
-                head += [f"WARC-Refers-To: <urn:page:{keeper}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-                data = b""
-            else:
-                data = HTTP.format(len(data)).encode() + data
-            head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(data)}"]
-            out.append("\r\n".join(head).encode() + END.encode() + data)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+def _record(page: int | None, url: str, html: str, stamp: str, sha1: str, keeper: int | None) -> bytes:
+    data = html.encode()
+    revisit = keeper is not None and keeper != page
+    head = [
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: <urn:page:{'' if page is None else page}>",
+        f"WARC-Target-URI: {_header_value(url)}",
+        f"WARC-Date: {_header_value(stamp)}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
+        f"X-Payload-Length: {len(data)}",
+    ]
+    if revisit:
+        head += [f"WARC-Refers-To: <urn:page:{keeper}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        data = b""
+    else:
+        data = HTTP.format(len(data)).encode() + data
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(data)}"]
+    return "\r\n".join(head).encode() + END.encode() + data
+
+
+def _archives(most: int):
+    """The records of a task, joined to archives of at most ``most`` bytes, or of one record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([END.encode().join(held)], pa.binary())], ["archive"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, AT_ONCE).columns), strict=True):
+                    record = _record(*row)
+                    if held and size + len(record) + len(END) > most:
+                        yield whole()
+                        held, size = [], 0
+                    held.append(record)
+                    size += len(record) + len(END)
+        if held:
+            yield whole()
+        held = []
+        trim()
+
+    return run
 
 
 def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, stamp: str = "2024-01-01T00:00:00Z") -> str:
@@ -92,10 +117,9 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD,
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), date.alias("date"), F.sha1(html).alias("sha1"))
     shared = rows.where(F.octet_length("html") >= min_payload).groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
     keepers = stage(shared.where("n > 1").select("sha1", "keeper"), "keepers")
-    sizes = rows.agg(F.sum(F.octet_length("html") + 500).alias("bytes"), F.count("*").alias("n")).first()
-    per_file = max(1, ARCHIVE_BYTES * sizes["n"] // (sizes["bytes"] or 1))
-    records = rows.join(keepers, "sha1", "left").select("page_id", "url", "html", "date", "sha1", "keeper").mapInArrow(_records, "record binary")
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    records = rows.join(keepers, "sha1", "left").select("page_id", "url", "html", "date", "sha1", "keeper")
+    archives = records.mapInArrow(_archives(ARCHIVE_BYTES), "archive binary")
+    archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -142,6 +166,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run.sort(key=_order)
             columns = zip(*run, strict=True) if run else [[]] * len(NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)], NAMES)
+    trim()
 
 
 class LoserTree:
@@ -182,15 +207,15 @@ class LoserTree:
             self.winner = i
 
 
-def _entries(batch: pa.RecordBatch) -> Iterator[tuple]:
+def _entries(batch: pa.RecordBatch, step: int) -> Iterator[tuple]:
     """A run's entries, a few at a time as Python values."""
-    for at in range(0, batch.num_rows, 1000):
-        yield from zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True)
+    for at in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns), strict=True)
 
 
-def _run_of(pieces: list[pa.RecordBatch]) -> Iterator[tuple]:
+def _run_of(pieces: list[pa.RecordBatch], step: int) -> Iterator[tuple]:
     for piece in pieces:
-        yield from _entries(piece)
+        yield from _entries(piece, step)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +234,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 runs.append([])
                 last = names[a].as_py()
             runs[-1].append(batch.slice(a, b - a))
-    out = []
-    for entry in LoserTree([_run_of(run) for run in runs], _order):
+    out, step = [], max(16, min(1000, ENTRIES // max(1, len(runs))))
+    for entry in LoserTree([_run_of(run, step) for run in runs], _order):
         out.append(entry)
         if len(out) == 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), KINDS, strict=True)], NAMES)

@@ -523,6 +523,17 @@ def test_warc_digests_match_a_plain_version(spark):
     assert text.count(b"WARC-Target-URI: http://h1.org/1%20x\r\n") == 1
 
 
+def test_archives_are_cut_by_bytes_and_not_by_the_mean_of_pages(spark, monkeypatch):
+    """The large pages come one behind the other, so as many pages as go into an archive on average would be too many."""
+    monkeypatch.setattr(warc_index, "ARCHIVE_BYTES", 20_000)
+    rows = [(k, f"http://a.org/{k}", f"{k} " + "x" * (50 if k < 300 else 50_000 if k == 330 else 6000)) for k in range(340)]
+    path = warc_index.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), fresh_path(spark, "w"))
+    archives = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).where("path like '%/part-%'").collect()]
+    assert sum(len(x) > 20_000 for x in archives) == 1 and max(map(len, archives)) < 51_000
+    assert sum(x.count(b"WARC-Target-URI: ") for x in archives) == 340 and len(archives) < 40
+    assert sorted(r.page_id for r in warc_index.capture_index(spark, path).collect()) == list(range(340))
+
+
 def test_loser_tree_merges():
     rng = random.Random(13)
     for k in (0, 1, 2, 5, 33):
