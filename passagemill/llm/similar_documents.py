@@ -16,9 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .minhash import links as links_of
-from .minhash import CHECKED, near_pairs, sketches
+from .minhash import CHECKED, groups, near_pairs, sketches
 from .shared import BoundedCache, pair, release, stage, trim
 from .simhash_dedup import first_rows, near_links, simhash
 
@@ -98,12 +96,11 @@ def similar_groups(documents: DataFrame, width: int = WIDTH, least: float = SIMI
     wanted = classes.select("id", "text_key").join(met, "id")
     texts = stage(keyed.select("text_key", "text").join(wanted, "text_key").select("id", "text").dropDuplicates(["id"]), "documents-compared")
     release(spark)
-    links = links_of(pairs, large, texts, lambda a, b: jaccard(a, b, width) >= least, least, AGREE, "document-links")
+    roots = groups(pairs, large, texts, lambda a, b: jaccard(a, b, width) >= least, least, AGREE, "document-links")
     release(spark)
     rows = rows.select("doc_id", "text_key", "id")
-    if not links.take(1):
+    if roots is None:
         return rows.withColumnRenamed("id", "root")
-    roots = components(links).select(F.col("a").alias("id"), F.col("b").alias("root"))
     return rows.join(roots, "id", "left").select("doc_id", "text_key", F.coalesce("root", "id").alias("root"))
 
 

@@ -80,6 +80,49 @@ def test_long_lines_of_the_same_words_are_told_apart_by_their_segments(monkeypat
     assert line_dedup.may_be_near(a, b, most).all()
 
 
+def test_unlike_lines_are_settled_by_their_first_letters(monkeypatch):
+    """Pairs of which more than the limit differs before their ends, as most candidates of a large bucket, are not read on."""
+    rng = random.Random(61)
+    words = ["".join(rng.choice("etaoinsrlu") for _ in range(rng.randrange(2, 9))) for _ in range(30)]
+    line = lambda: " ".join(rng.choices(words, k=80))[:400]
+    a, b = [line() for _ in range(300)], [line() for _ in range(300)]
+    letters, packed = [], np.packbits
+    monkeypatch.setattr(np, "packbits", lambda x, *args, **more: letters.append(len(x)) or packed(x, *args, **more))
+    assert not any(line_dedup.all_similar(a, b, 0.8))
+    assert 0 < sum(letters) < 0.5 * 300 * 400 * (64 + 128)
+
+
+def test_lines_in_narrow_and_whole_bands_are_as_far_apart_as_they_are():
+    """Letters that move by more than the first band has diagonals, in lines of one word to eight."""
+    rng = random.Random(62)
+    a, b = [], []
+    for k in range(200):
+        x = [rng.choice("abcdefghijkl\u00ff"[: 12 + k % 2]) for _ in range(rng.choice([40, 300, 330, 700, 1200, 2000]))]
+        moved = rng.randrange(0, max(2, len(x) // 9))
+        y = x[moved:] + [rng.choice("abc") for _ in range(moved + rng.randrange(3))]
+        for _ in range(rng.randrange(0, len(x) // 40 + 1)):
+            y[rng.randrange(len(y))] = "z"
+        a.append("".join(x)), b.append("".join(y))
+    for least in (0.7, 0.8, 0.9):
+        most = np.array([int(max(len(x), len(y)) * (1 - least) + 1e-9) for x, y in zip(a, b, strict=True)])
+        expected = [line_dedup.edit_distance(x, y, int(t)) <= t for x, y, t in zip(a, b, most, strict=True)]
+        assert 20 < sum(expected) and line_dedup.all_similar(a, b, least) == expected
+
+
+def test_links_among_large_buckets_join_the_groups_of_small_ones(spark):
+    """80 items of one sketch, linked in twos by another and across by the large bucket; the least id is the root."""
+    other = [bytes([i // 2] * (4 * 12)) + bytes(8) for i in range(100)]
+    items = [(i, 100, bytes(4 * 12 + 8)) for i in range(10, 90)] + [(i, 100, other[i]) for i in range(100)]
+    texts = spark.createDataFrame([(i, str(i)) for i in range(100)], "id long, text string")
+    near = lambda a, b: int(a) // 2 == int(b) // 2 or int(a) % 20 == int(b) % 20 == 15
+    table = spark.createDataFrame(items, "id long, size int, sketch binary").repartition(3)
+    for many in (None, lambda a, b: [near(x, y) for x, y in zip(a, b, strict=True)]):
+        pairs, large = minhash.near_pairs(table, 12, 0.8, 5)
+        found = {r.id: r.root for r in minhash.groups(pairs, large, texts, near, 0.8, 5, "groups", many).collect()}
+        want = {i: 14 if i % 20 in (14, 15) and 10 <= i < 90 else i // 2 * 2 for i in range(100)}
+        assert {i: found.get(i, i) for i in range(100)} == want
+
+
 def test_a_large_group_of_different_near_lines_is_one(spark):
     rng = random.Random(32)
     base = [f"{rng.choice('bcdfg')}{rng.getrandbits(20):x}" for _ in range(40)]
